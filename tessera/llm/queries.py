@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, quality_classifier, quality_rules, url_filter, warc
+from . import decontaminate, line_dedup, minhash, mixing, quality_classifier, quality_rules, url_filter, warc
 from .common import table
 
 #: Fixed values of the URL filter's query: host, path, verdict.
@@ -33,6 +33,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_counts(table(spark, sf_dir, "documents"), width=3)
+    return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -42,13 +47,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filter": op3_url_filter,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
 }
 
 _LOWERED = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,4 +113,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """ % (_LOWERED.format("text"), _LOWERED.format("text")),
+    "op8_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, p - 1 AS pos, l[p] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), full_lines AS (
+  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+  SELECT a.doc_id, a.pos AS a0, b.pos AS a1, c.pos AS a2, a.line || chr(10) || b.line || chr(10) || c.line AS w
+  FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN full_lines c ON a.doc_id = c.doc_id AND c.i = a.i + 2
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, a0) AS n FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([a0, a1, a2]) AS pos FROM ranked WHERE n > 1
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+), counts AS (
+  SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (h.pos IS NULL) AS n_spans FROM gone g LEFT JOIN gone h ON g.doc_id = h.doc_id AND h.pos = g.pos - 1 GROUP BY g.doc_id
+), totals AS (
+  SELECT doc_id, count(*) AS n_lines FROM full_lines GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN totals USING (doc_id)
+""",
 }
