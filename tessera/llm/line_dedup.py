@@ -44,7 +44,7 @@ def deduplicated(docs: DataFrame, width: int = 3) -> DataFrame:
     rows.
     """
     gone = repeated_lines(docs, width).select(F.col("doc_id").alias("__of"), "removed")
-    rows = docs.join(gone, docs["doc_id"].cast("long") == F.col("__of"), "left")
+    rows = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__of"), "left")
     kept = F.array_join(F.filter(_lines(F.col("text").cast("string")), lambda line, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
     return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], "removed")

@@ -206,7 +206,7 @@ def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFram
 
     first = written(_sorted_by_pair(rows.mapInArrow(sample, _ROW)).mapInArrow(settle, _ROW).select("doc_id", "lo", "hi", "kind"), "judged")
     by_doc = first.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == _OPEN, F.struct("lo", "hi"))).alias("open"))
-    texts = written(rows.join(by_doc, "doc_id"), "texts")
+    texts = written(rows.join(by_doc.hint("merge"), "doc_id"), "texts")
 
     def windows(batches):
         def found():
@@ -244,7 +244,7 @@ def _cut(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 rows.append({"doc_id": ids[d].as_py(), "spans": [{"first": a, "after": b} for a, b in zip(lo.tolist(), hi.tolist())], "kept_sha256": hashlib.sha256(keep).hexdigest(), "kept": keep if with_text else None})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
-    return texts.join(lists, "doc_id").mapInArrow(run, "doc_id long, spans array<struct<first:long,after:long>>, kept_sha256 string, kept binary")
+    return texts.join(lists.hint("merge"), "doc_id").mapInArrow(run, "doc_id long, spans array<struct<first:long,after:long>>, kept_sha256 string, kept binary")
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:

@@ -76,7 +76,7 @@ def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("hex", F.sha1(F.col("html").cast("binary")))
     narrow = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "hex")
     firsts = narrow.groupBy("hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hex", "first")
-    marks = narrow.distinct().join(firsts, "hex").withColumnRenamed("hex", "of")
+    marks = narrow.distinct().join(firsts, "hex").withColumnRenamed("hex", "of").hint("merge")
     rows = rows.join(marks.withColumnRenamed("page_id", "of_page"), (F.col("page_id") == F.col("of_page")) & (F.col("hex") == F.col("of")), "left")
     again = F.row_number().over(Window.partitionBy("page_id", "hex").orderBy("url"))
     rows = rows.withColumn("again", again)
