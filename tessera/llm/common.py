@@ -65,6 +65,14 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *[docs[c] for c in more])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # ---- text buffers -----------------------------------------------------------------
 
 

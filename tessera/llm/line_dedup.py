@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 _BLANK = " \t\x0b\x0c\r"
 
 
@@ -41,13 +43,14 @@ def deduplicated(docs: DataFrame, width: int = 3) -> DataFrame:
     never removed. Null texts stay null, a text of fewer than `width` lines stays as it is, and one that loses all its
     lines becomes empty. Rows that repeat a doc_id are one document: an occurrence at the same place is not a later
     one, and a line to be removed goes from all of them; rows without doc_id stay as they are. An empty table gives no
-    rows.
+    rows. A column of docs named removed is left out.
     """
-    gone = repeated_lines(docs, width).select(F.col("doc_id").alias("__of"), "removed")
-    rows = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__of"), "left")
-    kept = F.array_join(F.filter(_lines(F.col("text").cast("string")), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], "removed")
+    of, gone = unused(docs, "of"), unused(docs, "gone")
+    found = repeated_lines(docs, width).select(F.col("doc_id").alias(of), F.col("removed").alias(gone))
+    rows = docs.join(found.hint("merge"), docs["doc_id"].cast("long") == F.col(of), "left")
+    kept = F.array_join(F.filter(_lines(F.col("text").cast("string")), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "removed"], F.col(gone).alias("removed"))
 
 
 def line_counts(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
+from . import decontaminate, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
 from .common import table
 
 #: Fixed values of the URL filter's query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: The key of the PII query; in production it is a secret of the caller's.
+PII_KEY = "tessera"
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
@@ -33,6 +36,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -61,6 +68,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
