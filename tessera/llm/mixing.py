@@ -84,7 +84,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], buckets:
     return rows.withColumn("g0", rest)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = 60, tolerance: float = 1e-4, grid: int = 256, **model) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = 25, tolerance: float = 2e-4, grid: int = 256, **model) -> DataFrame:
     """doc_id, n_tokens, p_<domain> for each domain, rate and copies for every row of docs (doc_id, text).
 
     labels (doc_id, quality, toxic) names the domains, see domain(). The targets are shares of the tokens of docs, that
@@ -107,9 +107,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
         off = [(a - g) / max(c, 1.0) for a, g, c in zip(now, goal, base)]
         if max(abs(a - g) for a, g in zip(now, goal)) <= tolerance * max(1.0, sum(base)):
             break
-        # the scaled normal matrix has no eigenvalue above 1, so a step of 1 descends
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [q * F.lit(o) for q, o in zip(p, off)]))
-        now = totals(rate)
+        # the scaled normal matrix has no eigenvalue above 1, so any step below 2 descends
+        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [q * F.lit(1.5 * o) for q, o in zip(p, off)]))
+        before, now = now, totals(rate)
+        if max(abs(a - b) for a, b in zip(now, before)) <= tolerance / 20 * sum(base):
+            break  # a target that can't be reached
     out = rows.select("doc_id", "n_tokens", *[q.alias(f"p_{d}") for q, d in zip(p, domains)], F.round(rate, 6).alias("rate"))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return out.withColumn("copies", (F.floor("rate") + (F.col("rate") - F.floor("rate") > chance).cast("long")).cast("long"))
