@@ -6,16 +6,16 @@ it. Later rounds aim at one bin each, so that after at most twice as many rounds
 Two documents agree in a coordinate with a chance equal to their Jaccard similarity, and since a round samples without
 replacement the estimate is at least as concentrated as with independent minima.
 
-Documents with equal sets are one class from the start. Classes that share a band meet in a bucket. Every member of a
-bucket is verified against the bucket's least member; those of a bucket that still lie in different components are
-compared with each other in blocks, by their whole sketches first and by their full sets then. So no link between
-members of a bucket is lost, and no bucket is expanded into pairs that are known to be connected.
+Documents with equal sets are one class from the start. Classes that share a band meet in a bucket; the buckets with
+the same least member, its hub, make one family, so that a class is in as many families as it has hubs, and any two
+classes that share a bucket share a family. A family's members are verified against its hub on full sets, and those
+that stay apart against all others that they aren't connected with. Only links that connect something are returned:
+no link between components is lost, and no group is expanded into pairs. Families are cut into blocks of bounded size,
+and each pair of blocks is one group.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,11 +71,11 @@ def band_hashes(sketch: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (s1, s2), band hashes and a byte of every coordinate."""
+    """doc_id, n_shingles, a 128-bit hash of the set (s1, s2) and the sketch's band hashes."""
 
     def run(batches):
         rule, sketcher = WordRule(SPACED, lower), Sketcher(bands * rows)
@@ -86,120 +86,122 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, lower: bool = Tru
                 lo = offs[i]
                 hashes, _, _, at = rule.words(data[lo : offs[j]], offs[i : j + 1] - lo)
                 n, s1, s2 = (np.zeros(j - i, np.int64) for _ in range(3))
-                all_bands, sketches = [], []
+                all_bands = []
                 for d in range(j - i):
                     items = shingle_set(hashes[at[d] : at[d + 1]], k)
                     if len(items):
-                        sketch = sketcher(items)
                         n[d], s1[d], s2[d] = len(items), signed(mix(items).sum(keepdims=True))[0], signed(mix(items ^ _EMPTY).sum(keepdims=True))[0]
-                        all_bands.append(signed(band_hashes(sketch, bands)))
-                        sketches.append((sketch & np.uint64(255)).astype(np.uint8).tobytes())
+                        all_bands.append(signed(band_hashes(sketcher(items), bands)))
                     else:
                         all_bands.append(np.zeros(0, np.int64))
-                        sketches.append(b"")
                 counts = np.cumsum([0, *map(len, all_bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(counts), pa.array(np.concatenate(all_bands)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(s1), pa.array(s2), lists, pa.array(sketches, pa.binary())], schema=_SIGNED)
-
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True, salt_rows: int = 64) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
-
-    A document of many pairs is read as b; its text goes to one task for each salt_rows of them."""
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    degree = pairs.groupBy("b").count().select("b", F.ceil(F.col("count") / salt_rows).cast("int").alias("parts"))
-    text = id_text(docs)
-    left = pairs.join(degree, "b").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    left = left.select("a", "b", "text_a", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"))
-    right = text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(degree, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    both = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
-
-    def run(batches):
-        rule, known = WordRule(SPACED, lower), OrderedDict()
-
-        def sets(column, ids):
-            data, offs = text_bytes(column)
-            for d in range(len(ids)):
-                if (got := known.get(ids[d])) is None:
-                    part = data[offs[d] : offs[d + 1]]
-                    got = known[ids[d]] = shingle_set(rule.words(part, np.array([0, len(part)]))[0], k)
-                    if len(known) > 64:
-                        known.popitem(last=False)
-                yield got
-
-        for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
-            keep = []
-            for x, y in zip(sets(batch.column("text_a"), a), sets(batch.column("text_b"), b)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _blocks(buckets: DataFrame, least_equal: int, block: int = 128) -> DataFrame:
-    """Pairs of bucket members in different components whose sketches agree in least_equal coordinates or more."""
-    size = F.ceil(F.col("members") / block).cast("int")
-    rows = buckets.withColumn("n", size).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    rows = rows.select("h", "rep", "component", "sketch", "blk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    rows = rows.select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "component", "sketch")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(s1), pa.array(s2), lists], schema=_SIGNED)
+
+    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+
+
+class Family:
+    """Full sets of some documents, compared by 100 * intersection >= percent * union.
+
+    A set's parity bitmap has a bit for each bin that holds an odd number of its items. Two bitmaps differ in at most
+    as many bits as the sets have items that they do not share, so a pair that differs in more bits than the threshold
+    allows is ruled out for certain; what is left is intersected."""
+
+    BINS = 2048
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.percent = sets, percent
+        self.size = np.array([len(x) for x in sets])
+        bits = np.zeros((len(sets), self.BINS), np.uint8)
+        for row, items in zip(bits, sets):
+            row[:] = np.bincount((items >> np.uint64(32)).astype(np.int64) % self.BINS, minlength=self.BINS) & 1
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        self.parent = list(range(len(sets)))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def possible(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Those of ys that may be linked with x, the likeliest first."""
+        differ = np.bitwise_count(self.bits[ys] ^ self.bits[x]).sum(axis=1)
+        total = self.size[ys] + self.size[x]
+        # shared >= percent * union / 100 means that at most this many items are not shared
+        most = total - 2 * np.ceil(self.percent * total / (100 + self.percent)).astype(np.int64)
+        may = (np.maximum(differ, np.abs(self.size[ys] - self.size[x])) <= most) & (self.size[ys] > 0)
+        return ys[may][np.argsort(differ[may], kind="stable")]
+
+    def linked(self, x: int, y: int) -> bool:
+        shared = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
+        return shared > 0 and 100 * shared >= self.percent * (self.size[x] + self.size[y] - shared)
+
+    def links(self, x: int, ys: np.ndarray):
+        """Joins x with those of ys that it is linked with and not connected with yet; yields the new links."""
+        for y in self.possible(x, ys):
+            if self.root(x) != self.root(y) and self.linked(x, y):
+                self.parent[self.root(x)] = self.root(y)
+                yield x, int(y)
+
+
+def family_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True, block: int = 2048) -> DataFrame:
+    """Links (a, b) that connect whatever is linked within the families of pairs (member, hub)."""
+    sizes = pairs.groupBy("hub").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("blocks"))
+    rows = pairs.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("at")
+    rows = rows.select("hub", "member", "block", spread).select("hub", "member", "block", "at.i", "at.j")
+    # the hub itself goes to every pair of blocks
+    all_pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    hubs = sizes.select("hub", F.col("hub").alias("member"), F.lit(-1).alias("block"), F.explode(all_pairs).alias("at")).select("hub", "member", "block", "at.i", "at.j")
+    texts = id_text(docs).select(F.col("doc_id").alias("member"), "text")
+    rows = rows.unionByName(hubs).join(texts, "member")
 
     def run(key, group):
-        reps, comps, blk = (group.column(c).to_numpy() for c in ("rep", "component", "blk"))
-        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(reps), -1)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        out_a, out_b = [], []
-        for x in left:
-            ys = right[(comps[right] != comps[x]) & (reps[right] > reps[x] if i == j else True)]
-            ys = ys[(sketches[ys] == sketches[x]).sum(axis=1) >= least_equal]
-            out_a.append(np.full(len(ys), reps[x]))
-            out_b.append(reps[ys])
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": np.maximum(a, b).astype(np.int64), "b": np.minimum(a, b).astype(np.int64)})
-
-    return rows.groupBy("h", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links for every row of docs (doc_id, text).
+        rule, i, j = WordRule(SPACED, lower), key[1].as_py(), key[2].as_py()
+        ids, blocks = group.column("member").to_numpy(), group.column("block").to_numpy()
+        order = np.lexsort((ids, blocks))
+        ids, blocks = ids[order], blocks[order]
+        data, offs = text_bytes(group.column("text"))
+        sets = []
+        for d in order:
+            part = data[offs[d] : offs[d + 1]]
+            sets.append(shingle_set(rule.words(part, np.array([0, len(part)]))[0], k))
+        family = Family(sets, percent)
+        everyone = np.arange(len(ids))
+        found = list(family.links(0, everyone[1:])) if len(ids) > 1 else []
+        for x in everyone[1:]:
+            if family.root(x) != family.root(0):
+                others = everyone[1:] if i == j else everyone[1:][blocks[1:] != blocks[x]]
+                found += family.links(int(x), others[others != x])
+        a, b = (np.array([ids[f[n]] for f in found], np.int64) for n in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return rows.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Documents are linked whose sets of k-word shingles have 100 * intersection >= percent * union; component_id is the
     least doc_id that can be reached. Words are runs of characters other than ASCII white space; A-Z are lower-cased.
-    A null, empty or blank text has an empty set and links with nothing. Rows that repeat a doc_id are returned each
-    and join one another only as equal texts do. Extra columns are ignored. An empty table gives no rows.
-    n_links counts the verified links of the document's class with other classes.
+    A null, empty or blank text has an empty set and links with nothing. Rows that repeat a doc_id are returned each;
+    they are one document whose texts are all looked at. Extra columns are ignored. An empty table gives no rows.
+    A link at the threshold is missed with a chance of (1 - (percent / 100) ** rows) ** bands, below 1e-6.
     """
     sigs = written(signatures(docs, k, bands, rows), "signatures")
     full = sigs.where("n_shingles > 0")
     classes = written(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-    rep_rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("h"))
-    shared = rep_rows.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    buckets = written(rep_rows.join(shared, "h"), "buckets")
-    tried = written(buckets.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    first = written(verified(tried, docs, k, percent), "links")
-    found = written(components(first), "components")
-
-    # what a bucket's least member did not connect
-    labelled = buckets.where("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    rest = labelled.join(mixed, "h").join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
-    t = bands * rows
-    p = percent / 100
-    least_equal = int(t * p - 6 * (t * p * (1 - p)) ** 0.5)
-    more = written(_blocks(rest, least_equal).join(tried, ["a", "b"], "left_anti"), "more")
-    second = written(verified(more, docs, k, percent), "links")
-    links = first.unionByName(second)
-    found = written(components(links), "components") if not second.isEmpty() else found
-    drop_written(buckets, more)
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends, "rep", "left")
-    named = written(named.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
+    rep_rows = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("h"))
+    shared = rep_rows.groupBy("h").agg(F.min("member").alias("hub"), F.count("*").alias("n")).where("n > 1").select("h", "hub")
+    pairs = written(rep_rows.join(shared, "h").where("member <> hub").select("member", "hub").distinct(), "pairs")
+    links = written(family_links(pairs, docs, k, percent), "links")
+    found = components(links)
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep").select("s1", "s2", "n_shingles", "component")
+    copies = classes.join(found.select(F.col("node").alias("rep")), "rep", "left_anti").select("s1", "s2", "n_shingles", F.col("rep").alias("component"))
+    out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(named.unionByName(copies), ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    drop_written(pairs)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
