@@ -156,7 +156,7 @@ def family_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower:
     all_pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     hubs = sizes.select("hub", F.col("hub").alias("member"), F.lit(-1).alias("block"), F.explode(all_pairs).alias("at")).select("hub", "member", "block", "at.i", "at.j")
     texts = id_text(docs).select(F.col("doc_id").alias("member"), "text")
-    rows = rows.unionByName(hubs).join(texts, "member")
+    rows = rows.unionByName(hubs).hint("merge").join(texts, "member")
 
     def run(key, group):
         rule, i, j = WordRule(SPACED, lower), key[1].as_py(), key[2].as_py()
