@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import matching_queries, novelty_queries  # noqa: F401
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
