@@ -86,7 +86,7 @@ def aliases_of(text: Column) -> Column:
 
 def split_aliases(text: Column) -> Column:
     """Parts between bars, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def without_parentheses(text: Column) -> Column:
@@ -123,7 +123,7 @@ def holdout_variants(name: Column) -> Column:
 def letter_case(text: Column) -> Column:
     """title_case, uppercase, lowercase or mixed."""
     return (
-        F.when(text.rlike(r"^(?U)(\P{L}*\p{Lu}\p{Ll}*)+\P{L}*$"), "title_case")
+        F.when(text.rlike(r"^\P{L}*(\p{Lu}\p{Ll}*\P{L}+)*\p{Lu}\p{Ll}*\P{L}*$"), "title_case")
         .when((F.upper(text) == text) & (F.lower(text) != text), "uppercase").when((F.lower(text) == text) & (F.upper(text) != text), "lowercase").otherwise("mixed")
     )
 

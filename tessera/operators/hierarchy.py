@@ -25,7 +25,7 @@ def closure(edge: DataFrame, max_depth: int = 32) -> DataFrame:
     step = edge.select(F.col("dst").alias("id"), F.col("src").alias("ancestor"))
     out = front = step.withColumn("depth", F.lit(1)).distinct()
     for depth in range(2, max_depth + 1):
-        front = front.join(step.withColumnsRenamed({"id": "ancestor", "ancestor": "next"}), "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
+        front = front.join(step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
         front = front.join(out, ["id", "ancestor"], "left_anti").where("id <> ancestor")
         if front.isEmpty():
             break

@@ -81,7 +81,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
         raise ValueError(f"no metric {metric!r}")
     n_ref, n_query = (max(1, -(-df.count() // block_rows)) for df in (refs, queries))
     n_query = max(n_query, 8 // n_ref)
-    dealt = lambda df, id_, n, other, m: df.select(id_, "v", F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    dealt = lambda df, id_, n, other, m: df.select(F.col(id_).alias(id_), F.col("v").alias("v"), F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     q = dealt(queries, "query_id", n_query, "j", n_ref).withColumnsRenamed({"i": "qb", "j": "rb"})
     r = dealt(refs, "ref_id", n_ref, "j", n_query).withColumnsRenamed({"i": "rb", "j": "qb"})
 

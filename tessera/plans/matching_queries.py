@@ -63,7 +63,7 @@ def text_perturb_holdout(t):
     return C.holdout_queries(catalog_of_parts(t))
 
 
-@query("text_letter_case", r"""SELECT DISTINCT p_brand, CASE WHEN regexp_matches(p_brand, '^(\P{L}*\p{Lu}\p{Ll}*)+\P{L}*$') THEN 'title_case' WHEN upper(p_brand) = p_brand AND lower(p_brand) <> p_brand THEN 'uppercase'
+@query("text_letter_case", r"""SELECT DISTINCT p_brand, CASE WHEN regexp_matches(p_brand, '^\P{L}*(\p{Lu}\p{Ll}*\P{L}+)*\p{Lu}\p{Ll}*\P{L}*$') THEN 'title_case' WHEN upper(p_brand) = p_brand AND lower(p_brand) <> p_brand THEN 'uppercase'
 WHEN lower(p_brand) = p_brand AND upper(p_brand) <> p_brand THEN 'lowercase' ELSE 'mixed' END AS letter_case, list_distinct(regexp_extract_all(p_brand, '\\b[A-Z]{2,}')) = [] AS no_alias FROM part""".replace(r"\\b", r"\b"))
 def text_letter_case(t):
     return t("part").select("p_brand").distinct().select("p_brand", T.letter_case(F.col("p_brand")).alias("letter_case"), (F.size(T.aliases_of(F.col("p_brand"))) == 0).alias("no_alias"))
