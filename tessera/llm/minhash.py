@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, lower: bool = Tru
         rule, sketcher = WordRule(SPACED, lower), Sketcher(bands * rows)
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id")
             for i, j in pieces(offs):
                 lo = offs[i]
                 hashes, _, _, at = rule.words(data[lo : offs[j]], offs[i : j + 1] - lo)
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, lower: bool = Tru
                         all_bands.append(np.zeros(0, np.int64))
                 counts = np.cumsum([0, *map(len, all_bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(counts), pa.array(np.concatenate(all_bands)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n), pa.array(s1), pa.array(s2), lists], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), pa.array(s1), pa.array(s2), lists], schema=_SIGNED)
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents are linked whose sets of k-word shingles have 100 * intersection >= percent * union; component_id is the
     least doc_id that can be reached. Words are runs of characters other than ASCII white space; A-Z are lower-cased.
     A null, empty or blank text has an empty set and links with nothing. Rows that repeat a doc_id are returned each;
-    they are one document whose texts are all looked at. Extra columns are ignored. An empty table gives no rows.
+    they are one document whose texts are all looked at. Rows without doc_id are kept unless they are copies of a row
+    that has one. Extra columns are ignored. An empty table gives no rows.
     A link at the threshold is missed with a chance of (1 - (percent / 100) ** rows) ** bands, below 1e-6.
     """
     sigs = written(signatures(docs, k, bands, rows), "signatures")
@@ -204,4 +205,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(named.unionByName(copies), ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     drop_written(pairs)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

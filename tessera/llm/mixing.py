@@ -38,7 +38,7 @@ def _buckets(buckets: int) -> Column:
     return F.transform(F.array_distinct("words"), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int, max_labelled: int) -> tuple[list[float], dict[str, list[float]]]:
+def learn(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int, max_labelled: int, smoothing: float = 200.0) -> tuple[list[float], dict[str, list[float]]]:
     """(log priors, log odds by bucket of each domain against the first) of a Bernoulli-like model over distinct words.
 
     Fitted on at most max_labelled labelled documents, those of the least hash; the table that comes to the driver has
@@ -51,7 +51,14 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int,
     counts = {r["bucket"]: [r[f"n{k}"] for k in range(len(domains))] for r in words.groupBy("bucket").agg(*is_of).collect()}
     n = counts.pop(-1, [0] * len(domains))  # documents
     total = [sum(c[k] for c in counts.values()) for k in range(len(domains))]
-    rate = lambda b, k: log((counts.get(b, [0] * len(domains))[k] + 1) / (total[k] + buckets))
+    everything = sum(total)
+    none = [0] * len(domains)
+
+    def rate(b: int, k: int) -> float:
+        """Smoothed towards all domains together, so that a word that a small domain lacks tells little."""
+        c = counts.get(b, none)
+        return log((c[k] + smoothing * (sum(c) + 1) / (everything + buckets)) / (total[k] + smoothing))
+
     priors = [log((n[k] + 1) / (sum(n) + len(domains))) for k in range(len(domains))]
     odds = {d: [rate(b, k) - rate(b, 0) for b in range(buckets)] for k, d in enumerate(domains) if k}
     return priors, odds

@@ -40,11 +40,11 @@ def _header(text: str | None) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text or "")
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """An uncompressed WARC record. A revisit holds the HTTP header, with the length of the full payload, but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_header(url)}")
     if refers_to is not None:
@@ -60,7 +60,11 @@ def parse_record(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    page = lambda name: int(re.fullmatch(r"<urn:page:(-?\d+)>", fields[name])[1])
+
+    def page(name: str) -> int | None:
+        found = re.fullmatch(r"<urn:page:(-?\d+|null)>", fields[name])[1]
+        return None if found == "null" else int(found)
+
     if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not have its digest")
     length = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1]) if revisit else len(payload)

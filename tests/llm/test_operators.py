@@ -1,0 +1,487 @@
+"""Each operator against brute force and on odd tables."""
+
+import base64
+import collections
+import gzip
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, graph, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
+from tessera.llm.common import SPACED, WordRule
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = r"[^\x20\x09-\x0D]+"
+DOCS = "doc_id long, text string, lang string, kept string, score int, removed int, of int, n_replaced int"
+
+
+def docs_of(spark, texts):
+    """Texts, or (doc_id, text) pairs, with other columns whose names clash with results."""
+    rows = [(t if isinstance(t, tuple) else (i, t)) + ("en", "x", 1, 2, 3, 4) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def corpus(seed=0, n=60, words=80):
+    """Random texts with copies, near copies, repeated lines, shared passages and non-ASCII words."""
+    rng = np.random.default_rng(seed)
+    vocab = [f"w{i}é" if i % 7 == 0 else f"word{i}" for i in range(400)]
+    make = lambda k: [vocab[i] for i in rng.integers(0, len(vocab), k)]
+    shared = make(30)
+    out = []
+    for i in range(n):
+        w = make(int(rng.integers(1, words)))
+        if i % 5 == 1 and out:
+            w = out[int(rng.integers(0, len(out)))].split(" ")
+        if i % 5 == 2 and out:
+            w = out[int(rng.integers(0, len(out)))].split(" ")
+            w[int(rng.integers(0, len(w)))] = "changed"
+        if i % 6 == 3:
+            w = w[:5] + shared + w[5:]
+        if i % 9 == 4:
+            w = w + w
+        out.append(" ".join(w))
+    return [t.replace("word1 ", "word1\n") for t in out]
+
+
+ODD = [None, "", "  \n\t ", "one", "One", "one two", "a b c d e f", "A B c d e f", "x" * 300, "　wide　", "é \U0001f600 \x00 z"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = " ".join(f"t{i % 5000}" for i in range(500_000))  # about 2.8 MB, with repeats
+    rows = list(enumerate(ODD)) + [(3, "one"), (3, "one"), (None, "a b c d e f"), (None, None), (50, long)]
+    return docs_of(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+def labels_of(spark, pairs):
+    return spark.createDataFrame([(i, q, 0, "x") for i, q in pairs], "doc_id long, quality int, toxic int, text string")
+
+
+# ---- near duplicates ------------------------------------------------------------------
+
+
+def shingles(text, k):
+    w = re.findall(WORD, (text or "").translate(LOWER))
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_components(rows, k, percent):
+    sets = {i: shingles(t, k) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, k, percent):
+    texts = corpus(1, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(spark, texts), k, percent).collect()}
+    assert got == brute_components(enumerate(texts), k, percent)
+
+
+def test_chains_of_near_copies_connect(spark):
+    """Neighbours are linked, the ends are not; the hub misses most of them."""
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for n in range(12):
+        texts.append(" ".join(f"c{i}" if i < 3 * n else w for i, w in enumerate(base)))
+    got = [r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()]
+    assert got == [c for _, c in brute_components(enumerate(texts), 3, 85).values()] and len(set(got)) == 1
+
+
+def test_families_in_blocks(spark):
+    texts = corpus(3, 40)
+    docs = docs_of(spark, texts)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 40)], "member long, hub long")
+    one = graph.components(minhash.family_links(pairs, docs, 3, 60))
+    many = graph.components(minhash.family_links(pairs, docs, 3, 60, block=4))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_near_duplicates_on_odd_tables(spark, odd, empty):
+    rows = minhash.near_duplicates(odd, 3, 85).collect()
+    assert len(rows) == odd.count()
+    by = {r["doc_id"]: r for r in rows}
+    assert [by[i]["n_shingles"] for i in (0, 1, 2, 3)] == [0, 0, 0, 1] and all(by[i]["kept"] for i in (0, 1, 2, 3, 50))
+    assert by[4]["component_id"] == 3 and by[7]["component_id"] == 6 and not by[7]["kept"]
+    assert sum(r["doc_id"] is None and not r["kept"] for r in rows) == 1
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(0)
+    sketch = minhash.Sketcher(400)
+    for n in (3, 40, 1000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: 2 * n // 3], rng.integers(0, 2**63, n - 2 * n // 3).astype(np.uint64)])
+        same = (sketch(np.unique(a)) == sketch(np.unique(b))).mean()
+        true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+        assert abs(same - true) < 0.12 and (sketch(np.unique(a)) != minhash._EMPTY).all()
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 6)], "a long, b long")
+    assert {r["component"] for r in graph.components(edges).collect()} == {0}
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+# ---- quality --------------------------------------------------------------------------
+
+
+def base_counts(text):
+    text = text or ""
+    w = re.findall(WORD, text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(WORD, line):
+            dup += line in seen
+            seen.add(line)
+    grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(hit)
+
+
+def test_quality_rules(spark, odd, empty):
+    clean = corpus(5, 60, 120)
+    junk = [" ".join(f"{w}{s}" for w, s in zip(t.split(), "*#%$&" * 99)) for t in clean[:20]]
+    texts = clean + junk + ODD[:8]
+    labels = labels_of(spark, [(i, 1) for i in range(40)] + [(60 + i, 0) for i in range(10)])
+    rows = {r["doc_id"]: r for r in quality_rules.judged(docs_of(spark, texts), labels).collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        want = base_counts(t)
+        r = rows[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= -0.15)
+        w = re.findall(WORD, t or "")
+        for g in [(x,) for x in w] + list(zip(w, w[1:])):
+            raw[g] += 1
+            target[g] += i < 40
+    # the score, with exact n-grams instead of buckets, up to collisions
+    size = [{n: sum(c.values()) for n, c in ((1, {g: v for g, v in x.items() if len(g) == 1}), (2, {g: v for g, v in x.items() if len(g) == 2}))} for x in (raw, target)]
+    for i in (0, 45, 65):
+        w = re.findall(WORD, texts[i])
+        grams = [(x,) for x in w] + list(zip(w, w[1:]))
+        b = 1 << quality_rules.BITS
+        want = np.mean([np.log((target[g] + 1) / (size[1][len(g)] + b)) - np.log((raw[g] + 1) / (size[0][len(g)] + b)) for g in grams])
+        assert rows[i]["score"] == pytest.approx(want, abs=0.1)
+    assert all(not rows[60 + i]["kept"] for i in range(20))
+    assert quality_rules.judged(odd, labels).count() == odd.count()
+    assert quality_rules.judged(empty, labels.limit(0)).count() == 0
+
+
+def test_quality_classifier(spark, odd, empty):
+    clean = corpus(6, 300, 120)
+    texts = [t if i % 3 else " ".join(f"{w.upper()}!!" for w in t.split()) for i, t in enumerate(clean)]
+    docs = docs_of(spark, texts)
+    labels = labels_of(spark, [(i, int(i % 3 > 0)) for i in range(300)])
+    rows = quality_classifier.scored(docs, labels).collect()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held]) > 0.9
+    again = quality_classifier.scored(docs, labels).collect()
+    assert sorted(rows) == sorted(again)
+    kept = quality_classifier.accepted(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in rows)
+    assert quality_classifier.scored(odd, labels).count() == odd.count()
+    assert quality_classifier.accepted(empty, labels).count() == 0
+    assert {r["score"] for r in quality_classifier.scored(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_class_prior():
+    rng = np.random.default_rng(0)
+    pos, neg = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
+    for share in (0.3, 0.8):
+        n = int(4000 * share)
+        got = quality_classifier.class_prior(pos, np.concatenate([rng.normal(2, 1, n), neg[: 4000 - n]]))
+        assert abs(got - share) < 0.08
+
+
+# ---- urls -----------------------------------------------------------------------------
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def judge(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = re.split(r"[?#]", url.split("://", 1)[1])[0]
+        host, slash, path = rest.partition("/")
+        host, path = host.translate(LOWER), slash + path
+    fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow"
+
+
+def test_url_filter(spark):
+    urls = [None, "", "x.net/", "http://", "http://NET/", "http://a.b.example.NET/en/x?y", "http://example.net/en", "http://example.net", "https://anet/", "http://x.example.com/de/#a", "http://x.example.com/de?q=/de/",
+            "http://a.org/fr/../de/", "http://user@example.com:80/de/", "http://net/#/", "http://é.net/ü", "http://..net/", "http://x.net//en/"]
+    pages = spark.createDataFrame([(i, u, "z", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, rule int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filtered(pages, RULES).collect()}
+    assert got == {i: judge(u) for i, u in enumerate(urls)}
+    assert url_filter.filtered(pages.limit(0), RULES).count() == 0
+    assert {r["verdict"] for r in url_filter.filtered(pages, [], default="block").collect()} == {"block"}
+
+
+def test_digest_collisions_are_confirmed(tmp_path):
+    path = tmp_path / "d"
+    path.write_bytes(url_filter.index_bytes(RULES + [("net", "/", "allow")]))
+    index = url_filter.DigestIndex(str(path))
+    key = b"net\0/"
+    assert index.lookup([key, b"com\0/"])[1] == -1 and index.lookup([key])[0] >= 0
+    index.keys = np.zeros_like(index.keys)  # every stored key is another than its digest says
+    assert index.lookup([key])[0] == -1
+    path.write_bytes(b"something else")
+    with pytest.raises(ValueError):
+        url_filter.DigestIndex(str(path))
+
+
+# ---- substrings -----------------------------------------------------------------------
+
+
+def brute_repeats(rows, length):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - length + 1):
+            s = b[p : p + length]
+            if s in seen:
+                gone[p : p + length] = True
+            seen.add(s)
+        gone = gone[: len(b)]
+        keep = bytes(x for x, g in zip(b, gone) if not g)
+        runs = int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum())
+        out[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(keep).hexdigest())
+    return out
+
+
+def test_suffix_dedup_equals_brute_force(spark):
+    texts = corpus(7, 60) + ["ab" * 200, "xyz" + "ab" * 120, "a" * 99, "a" * 100, "a" * 101, None, "", "é" * 80, "é" * 70 + "x"]
+    rows = list(enumerate(texts))[::-1]
+    docs = docs_of(spark, rows).repartition(5)
+    for length in (100, 64):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeats(docs, length).collect()}
+        assert got == brute_repeats(rows, length)
+    kept = {r["doc_id"]: hashlib.sha256(r["kept"]).hexdigest() for r in suffix_dedup.without_repeats(docs).collect()}
+    assert kept == {i: v[3] for i, v in brute_repeats(rows, 100).items()}
+
+
+def test_suffix_dedup_on_odd_tables(spark, odd, empty):
+    rows = {r["doc_id"]: r for r in suffix_dedup.repeats(odd).collect()}
+    assert len(rows) == odd.where("doc_id is not null").select("doc_id").distinct().count()
+    assert rows[0]["n_bytes"] == 0 and rows[8]["n_removed"] == 299 - 0 and rows[8]["n_spans"] == 1
+    long = odd.where("doc_id = 50").first()["text"]
+    period = len(" ".join(f"t{i}" for i in range(5000)) + " ")
+    assert rows[50]["n_removed"] == len(long) - period
+    assert suffix_dedup.repeats(empty).count() == 0
+
+
+# ---- personal data ----------------------------------------------------------------------
+
+
+def test_surrogates(spark, odd, empty):
+    texts = [
+        "Mail bob.smith@mail.example.com or BOB.SMITH@MAIL.EXAMPLE.COM, card 4111 1111 1111 1111 and 4111111111111111, not 4111111111111112.",
+        "Mr. John Smith met Frau Anna Smith and Dr. Smith at 10.1.2.3, +1 (013) 555-9871.",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" version 1.2.3, 300.1.1.1',
+        "Herr Иван Петров again 10.1.2.3 and bob.smith@mail.example.com", "nothing here", None, "",
+    ]
+    docs = docs_of(spark, texts)
+    rows = {r["doc_id"]: r for r in pii.pseudonymised(docs, "k").collect()}
+    out = [rows[i]["text"] for i in range(len(texts))]
+    for secret in ("bob.smith", "BOB.SMITH", "4111 1111", "4111111111111111", "John", "Smith", "Anna", "10.1.2.3", "555-9871", "04dbebab", "Иван", "Петров"):
+        assert not any(t and secret in t for t in out)
+    for plain in ("4111111111111112", "version 1.2.3", "300.1.1.1", "nothing here"):
+        assert any(t and plain in t for t in out)
+    assert out[4:] == texts[4:] and [rows[i]["n_replaced"] for i in range(7)] == [4, 5, 1, 3, 0, 0, 0]
+    a, b = re.search(r"Mail (\S+) or (\S+),", out[0]).groups()
+    assert b == a.upper() and a in out[3]
+    spaced, solid = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", out[0]).groups()
+    digits = [int(c) for c in solid[::-1]]
+    assert spaced.replace(" ", "") == solid and sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    john, smith, anna, smith2, smith3, ip = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+) (\w+) and Dr\. (\w+) at ([\d.]+), \+1 \(\d{3}\) \d{3}-\d{4}\.", out[1]).groups()
+    assert smith == smith2 == smith3 and anna.endswith("a") and john.endswith("n") and ip in out[3]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" version 1.2.3, 300.1.1.1', out[2])
+    assert re.match(r"Herr [А-Я][а-я]+ [А-Я][а-я]+ again", out[3])
+    assert sorted(r["text"] or "" for r in pii.pseudonymised(docs, "k").collect()) == sorted(t or "" for t in out)
+    assert [r["text"] for r in pii.pseudonymised(docs, "other").orderBy("doc_id").collect()] != out
+    assert pii.pseudonymised(odd, "k").count() == odd.count() and pii.pseudonymised(empty, "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """Few surrogates are possible, so first draws clash."""
+    docs = docs_of(spark, [f"{a}{b}@x.yy" for a in "abcdefghij" for b in "klmno"] + [f"a@{c}.yy" for c in "abcdefghi"])
+    table, _ = pii.surrogate_table(docs, "k")
+    rows = table.collect()
+    assert len({r["surrogate"] for r in rows}) == len(rows) == 59
+    assert not {r["surrogate"] for r in rows} & {r["raw"] for r in rows}
+
+
+# ---- archives ---------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    html = [None, "", "same", "same", "x", "ü\x00\r\n\r\nWARC/1.0", "y" * 3_000_000] + [rng.bytes(600).hex() for _ in range(200)] + ["same"]
+    pages = spark.createDataFrame([(1000 - i, f"http://h/{i}\r\nX: y", h, "q") for i, h in enumerate(html)] + [(998, None, "same", "q")], "page_id long, url string, html string, record_type string")
+    want = collections.Counter()
+    firsts = {}
+    for r in pages.collect():
+        h = r["html"] or ""
+        firsts[h] = min(firsts.get(h, 1 << 60), r["page_id"])
+    seen = set()
+    for r in sorted(pages.collect(), key=lambda r: r["page_id"]):
+        b = (r["html"] or "").encode()
+        first = firsts[r["html"] or ""]
+        again = first != r["page_id"] or (r["html"] or "") in seen
+        seen.add(r["html"] or "")
+        want[(r["page_id"], len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first if again else None)] += 1
+    for split in (8 << 20, 700, 64):
+        rows = warc.round_trip(pages.repartition(3), split_bytes=split).collect()
+        assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows) == want
+    files = [r["path"] for r in warc.write_archives(pages, str(tmp_path / "w")).collect()]
+    data = b"".join(gzip.open(f).read() for f in files)
+    assert data.count(b"WARC-Record-ID") == len(html) + 1 and "X: y".encode() in data and b"\r\nX: y" not in data
+    assert warc.round_trip(pages.limit(0)).count() == 0
+    few = warc.round_trip(pages, min_bytes=10).where("record_type = 'revisit'").count()
+    assert few == 0
+    nameless = spark.createDataFrame([(None, None, "a"), (None, None, "a"), (5, None, "a")], "page_id long, url string, html string")
+    assert sorted(r["record_type"] for r in warc.round_trip(nameless).collect()) == ["response"] * 3
+
+
+# ---- lines ------------------------------------------------------------------------------
+
+
+def brute_lines(rows):
+    first = {}
+    docs = {i: [(n, x) for n, x in enumerate((t or "").split("\n")) if re.search(WORD, x)] for i, t in rows}
+    for i in sorted(docs):
+        for j in range(len(docs[i]) - 2):
+            first.setdefault(tuple(x for _, x in docs[i][j : j + 3]), (i, j))
+    out = {}
+    for i, t in rows:
+        gone = {n for j in range(len(docs[i]) - 2) if first[tuple(x for _, x in docs[i][j : j + 3])] != (i, j) for n, _ in docs[i][j : j + 3]}
+        out[i] = (len(docs[i]), len(gone), "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone))
+    return out
+
+
+def test_line_dedup(spark, odd, empty):
+    rng = np.random.default_rng(4)
+    texts = ["\n".join(["", "a", "b", "c", "d", " "][i] for i in rng.integers(0, 6, int(rng.integers(0, 14)))) for _ in range(60)] + [None, "x\ny\nz\nx\ny\nz"]
+    rows = list(enumerate(texts))
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.line_counts(docs).collect()}
+    assert got == brute_lines(rows)
+    out = line_dedup.deduplicated(docs)
+    assert out.columns == [c for c in docs.columns if c != "removed"] + ["removed"]
+    assert out.where("doc_id = 60").first()["text"] is None
+    assert line_dedup.line_counts(odd).count() == odd.count() and line_dedup.line_counts(empty).count() == 0
+    plans = line_dedup.deduplicated(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plans and "Arrow" not in plans
+
+
+# ---- benchmark ----------------------------------------------------------------------------
+
+
+def brute_hits(text, items, window):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    w, hit, found = words(text), set(), set()
+    for name, item in items:
+        b = words(item)
+        if name is None or not b:
+            continue
+        n = min(window, len(b))
+        for s in {tuple(b[p : p + n]) for p in range(len(b) - n + 1)}:
+            for p in range(len(w) - n + 1):
+                if tuple(w[p : p + n]) == s:
+                    hit |= set(range(p, p + n))
+                    found.add(name)
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination(spark, odd, empty):
+    rng = np.random.default_rng(3)
+    items = [(str(n), " ".join(f"v{i}" for i in rng.integers(0, 30, int(rng.integers(1, 30))))) for n in range(12)] + [("10", "V1, v2-v3"), ("x", None), ("y", " .. "), (None, "v1 v2"), ("12", "É É é")]
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 34, 40)) for _ in range(40)]
+    texts += [f"lead {items[n][1]} tail" for n in range(12)] + ["v1\nV2\tv3", "é É é!"] + ODD
+    bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id string, text string, doc_id int")
+    for window in (13, 4):
+        rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs_of(spark, texts), bench, window).collect()}
+        assert rows == {i: brute_hits(t, items, window) for i, t in enumerate(texts)}
+    docs = docs_of(spark, texts)
+    out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(docs, bench, 13, 0.5).collect()}
+    for i, t in enumerate(texts):
+        n, hit, _ = brute_hits(t, items, 13)
+        assert (i in out) == (hit == 0 or hit < 0.5 * n)
+        if i in out:
+            assert out[i] == t if not hit else len(out[i]) < len(t)
+    assert decontaminate.contamination(odd, bench).count() == odd.count() and decontaminate.contamination(empty, bench).count() == 0
+    assert {r["n_hit"] for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
+
+
+# ---- mixing -------------------------------------------------------------------------------
+
+
+def test_mixing(spark, odd, empty):
+    rng = np.random.default_rng(0)
+    texts, labels = [], []
+    for i in range(240):
+        kind = ("good", "junk", "toxic")[0 if i % 4 else 1 + (i // 4) % 2]
+        texts.append(" ".join([f"{kind}{j}" for j in rng.integers(0, 20, 8)] + [f"w{j}" for j in rng.integers(0, 50, int(rng.integers(5, 60)))]))
+        labels.append((i, int(kind == "good"), int(kind == "toxic")))
+    lab = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    rows = mixing.mixed(docs_of(spark, texts), lab, {"good": 0.9, "junk": 0.05, "toxic": 0.05}, buckets=1 << 12).collect()
+    total = sum(r["n_tokens"] for r in rows)
+    assert total == sum(len(t.split()) for t in texts)
+    for d, share in (("good", 0.9), ("junk", 0.05), ("toxic", 0.05)):
+        assert sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in rows) / total == pytest.approx(share, abs=5e-3)
+    assert all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 and abs(r["p_good"] + r["p_junk"] + r["p_toxic"] - 1) < 1e-9 for r in rows)
+    right = [max(("good", "junk", "toxic"), key=lambda d: r[f"p_{d}"]) == ("toxic" if labels[r["doc_id"]][2] else "good" if labels[r["doc_id"]][1] else "junk") for r in rows if r["doc_id"] >= 200]
+    assert np.mean(right) > 0.9
+    assert mixing.mixed(odd, lab).count() == odd.count() and mixing.mixed(empty, lab).count() == 0
+    alike = mixing.mixed(docs_of(spark, texts), lab.limit(0)).first()
+    assert abs(alike["p_good"] - 1 / 3) < 0.01
+
+
+def test_word_buckets_are_those_of_xxhash(spark):
+    got = spark.createDataFrame([(1, "Éa b")], "doc_id long, text string")
+    row = mixing._words(got).select(mixing._buckets(97).alias("b")).first()
+    assert row["b"] == [(x - (1 << 64) if x >= 1 << 63 else x) % 97 for x in (xxhash.xxh64_intdigest(w.encode(), 42) for w in ("Éa", "b"))]
+
+
+# ---- words --------------------------------------------------------------------------------
+
+
+def test_long_texts_are_cut_between_words():
+    data = (" ".join(f"w{i % 977}" for i in range(400_000)) + "z" * 700_000 + " end").encode()
+    raw = np.frombuffer(data, np.uint8)
+    hashes, starts, ends, at = WordRule(SPACED, False).words(raw, np.array([0, len(raw)]))
+    words = data.split()
+    assert len(hashes) == len(words) == at[1] and (ends - starts).tolist() == list(map(len, words))
+    first = {}
+    assert all(first.setdefault(w, h) == h for w, h in zip(words, hashes.tolist())) and len(set(hashes.tolist())) == len(set(words))
