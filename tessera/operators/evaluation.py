@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _by_score(rows: DataFrame) -> DataFrame:
-    """(score, p, n): positives and negatives of each distinct score; rows (score, novel)."""
+    """(score, p, n): positives and negatives of each distinct score; rows (score, novel). Scores are compared at six
+    decimals, so there are no more than some millions of them however many rows there are."""
     novel = F.col("novel").cast("int")
-    return rows.groupBy("score").agg(F.sum(novel).alias("p"), F.sum(1 - novel).alias("n"))
+    return rows.groupBy(F.round("score", 6).alias("score")).agg(F.sum(novel).alias("p"), F.sum(1 - novel).alias("n"))
 
 
 def _running(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.clusters import _cut
+
 #: How a relation's score is raised, and how depth lowers it.
 BOOSTS = {"self": 0.5, "parent": 0.4, "child": 0.4, "ancestor": 0.3, "descendant": 0.3}
 PENALTIES = [1.0, 0.9, 0.75, 0.6, 0.5]
@@ -26,7 +28,7 @@ def closure(edge: DataFrame, max_depth: int = 32) -> DataFrame:
     out = front = step.withColumn("depth", F.lit(1)).distinct()
     for depth in range(2, max_depth + 1):
         front = front.join(step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = front.join(out, ["id", "ancestor"], "left_anti").where("id <> ancestor")
+        front = _cut(front.join(out, ["id", "ancestor"], "left_anti").where("id <> ancestor"))
         if front.isEmpty():
             break
         out = out.unionByName(front)
@@ -58,7 +60,7 @@ def root_paths(edge: DataFrame, max_depth: int = 32) -> DataFrame:
         up = now.join(parent.withColumnsRenamed({"id": "top"}), "top", "left")
         if up.where("parent is not null").isEmpty():
             break
-        now = up.select("id", F.coalesce("parent", "top").alias("top"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"))
+        now = _cut(up.select("id", F.coalesce("parent", "top").alias("top"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path")))
     return now.select("id", "path")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -329,23 +329,26 @@ def calibration_split(refs: DataFrame, id_: str = "ref_id", share: int = 20) ->
     return F.conv(F.substring(F.md5(refs[id_].cast("string")), 1, 8), 16, 10).cast("long") % 100 < share
 
 
-def p_values(tests: DataFrame, calibration: DataFrame, by: str | None = None) -> DataFrame:
+#: Calibration scores that are sent to every task as sorted arrays; more are taken from the least hashes.
+MAX_CALIBRATION = 1_000_000
+
+
+def p_values(tests: DataFrame, calibration: DataFrame, by: str | None = None, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
     """(id, p): (calibration scores not below a test's score + 1) / (calibration scores + 1).
 
     Both have score, tests also id; with `by` each class is calibrated by itself, and one without calibration by all.
-    Ranks come from one running count over the union of both, not from a join of all pairs."""
-
-    def counted(t, c, keys):
-        both = t.select("id", *keys, "score", F.lit(0).alias("c")).unionByName(c.select(F.lit(None).cast("long").alias("id"), *keys, "score", F.lit(1).alias("c")))
-        order = Window.partitionBy(*keys).orderBy("score", "c").rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("c").over(order), F.lit(0))
-        n = F.sum("c").over(Window.partitionBy(*keys))
-        return both.withColumn("below", below).withColumn("n", n).where("c = 0")
-
-    everything = counted(tests, calibration, [])
-    if by is None:
-        return everything.select("id", ((F.col("n") - F.col("below") + 1) / (F.col("n") + 1)).alias("p"))
-    own = counted(tests, calibration, [by]).select("id", F.col("n").alias("n_own"), F.col("below").alias("below_own"))
-    rows = everything.join(own, "id")
-    n, below = (F.when(F.col("n_own") > 0, F.col(f"{c}_own")).otherwise(F.col(c)) for c in ("n", "below"))
-    return rows.select("id", ((n - below + 1) / (n + 1)).alias("p"))
+    The calibration set is a bounded sample, at most max_calibration scores by hash, which every task searches."""
+    rows = calibration.select("score", *([by] if by else []))
+    if rows.count() > max_calibration:
+        rows = rows.orderBy(F.xxhash64(*rows.columns)).limit(max_calibration)
+    pdf = rows.toPandas()
+    everything = np.sort(pdf["score"].to_numpy(np.float64))
+    own = {k: np.sort(g["score"].to_numpy(np.float64)) for k, g in pdf.groupby(by)} if by else {}
+
+    def run(batches):
+        for batch in batches:
+            keys = batch[by] if by else [None] * len(batch)
+            p = [(len(c) - np.searchsorted(c, s, "left") + 1) / (len(c) + 1) for c, s in ((own.get(k, everything), s) for k, s in zip(keys, batch["score"]))]
+            yield pd.DataFrame({"id": batch["id"], "p": np.array(p, np.float64)})
+
+    return tests.select("id", "score", *([by] if by else [])).mapInPandas(run, "id long, p double")
