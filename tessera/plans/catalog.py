@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import discovery_queries, matching_queries, novelty_queries, streaming_queries  # noqa: F401
+from tessera.plans import discovery_queries, matching_queries, more_queries, novelty_queries, streaming_queries  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

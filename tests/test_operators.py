@@ -241,3 +241,35 @@ def test_sources_and_sinks(spark, tmp_path):
     for name, text in (("tableA", "id,n\n1,x\n"), ("tableB", "id,n\n2,y\n"), ("test", "ltable_id,rtable_id,label\n1,2,1\n1,9,0\n")):
         (tmp_path / f"{name}.csv").write_text(text)
     assert {tuple(r) for r in readers.pairs(spark, str(tmp_path)).collect()} == {("x", "y", 1), ("x", "", 0)}
+
+
+def test_encoder(spark):
+    from tessera.functions import encode
+
+    rows = encode.encoded(spark.createDataFrame([(1, "small ring"), (2, "small ring"), (3, "zz")], "id int, text string")).orderBy("id").collect()
+    assert rows[0]["v"] == rows[1]["v"] and sum(x * x for x in rows[0]["v"]) == pytest.approx(1) and set(rows[2]["v"]) == {0.0}
+
+
+def test_datasets(spark, tmp_path, six):
+    from tessera.sources import datasets as X
+
+    spark.createDataFrame([("a", "x", 1)], "text string, label string, more int").write.parquet(str(tmp_path / "d"))
+    reg = X.Registry([X.Dataset("d", "classification", str(tmp_path / "d"))])
+    assert reg.load(spark, "d", str(tmp_path / "cache")).columns == ["text", "label"] and reg.load(spark, "d", str(tmp_path / "cache")).count() == 1
+    with pytest.raises(ValueError):
+        reg.add(reg.by_name["d"])
+    assert [d.name for d in reg.of_task("classification")] == ["d"]
+    raw = spark.createDataFrame([("EUR", "978", "Euro", "X")], ["AlphabeticCode", "NumericCode", "Currency", "Entity"])
+
+    def broken():
+        raise OSError("no network")
+
+    jobs = [X.Ingestion("currencies", broken, readers.currencies, lambda: raw), X.Ingestion("bad", broken, readers.currencies)]
+    got = X.ingest_all(jobs, str(tmp_path / "out"))
+    assert got[0] == {"name": "currencies", "rows": 1} and "no network" in got[1]["error"]
+    with pytest.raises(OSError):
+        X.ingest_all(jobs, str(tmp_path / "out"), continue_on_error=False)
+    a, b = (X.snapshot(df, 3).where("label is null").first() for df in (six, six.orderBy(F.desc("ref_id"))))
+    assert a == b and a["n"] == 6
+    (tmp_path / "discovery_20240102_030405_x.json").write_text("{}")
+    assert X.proposal_files(spark, str(tmp_path)).first()["created"].year == 2024
