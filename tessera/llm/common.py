@@ -41,9 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    gone_at_exit(spark, path)
     return out
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete path when it ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Deletes what written() made, once nothing reads it any more."""
     for df in frames:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, gone_at_exit, written
 
 _MAGIC = b"\x1f\x8b\x08"
 _STEP = 1 << 16
@@ -193,4 +193,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, split_bytes: int = 8 << 20)
     repeat a page_id and payload are one response and revisits of it; extra columns are ignored; no pages, no records.
     """
     spark = pages.sparkSession
-    return read_archives(spark, write_archives(pages, fresh_path(spark, "warc"), min_bytes), split_bytes)
+    folder = fresh_path(spark, "warc")
+    files = write_archives(pages, folder, min_bytes)
+    gone_at_exit(spark, folder)
+    return read_archives(spark, files, split_bytes)
