@@ -123,7 +123,7 @@ def match_candidates_restricted(t):
 
 
 @query("match_diagnose", _LEX + """, best AS (SELECT query_id, id, round(score, 6) AS score FROM rowz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, text) = 1)
-SELECT query_id, id, score, CASE WHEN id IS NULL THEN 'no candidate' WHEN score < 0.7 THEN 'below threshold' ELSE 'matched' END AS issue, CASE WHEN score < 0.7 THEN 0.6 END AS suggested_threshold
+SELECT query_id, id, score, CASE WHEN id IS NULL THEN 'no candidate' WHEN score < 0.7 THEN 'below threshold' ELSE 'matched' END AS issue, CASE WHEN score < 0.7 THEN 0.6::DOUBLE END AS suggested_threshold
 FROM q LEFT JOIN best USING (query_id)""")
 def match_diagnose(t):
     return M.diagnosis(_typo_queries(t), C.flatten(catalog_of_parts(t)).distinct(), threshold=0.7)
