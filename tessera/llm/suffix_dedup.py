@@ -11,7 +11,7 @@ place, so each window is judged with the positions that share its sampled prefix
 2. All windows of the positions that go on are sorted by the rank pair of their first half and of the half that
    follows, at an offset of length / 2: the threshold is reached. All but the first of each pair are covered.
 
-A name is a 64-bit hash, so that ranks need no renumbering between machines. Each task sorts its own positions first
+A name is a 64-bit hash, cut to 32 bits as the second of a pair, so that ranks need no renumbering between machines. Each task sorts its own positions first
 and sends one of a kind, so a passage that many documents share reaches any task a few times only.
 """
 
@@ -28,6 +28,8 @@ from .common import _powers, drop_written, mix, pieces, signed, text_bytes, writ
 
 _PREFIX = 32
 _PLACE = np.uint64((1 << 20) - 1)
+#: A pair's second name keeps 32 bits, which makes 96 with the first.
+_SHORT = np.uint64(0xFFFFFFFF00000000)
 #: Positions that a task sorts at a time before it sends them.
 _CHUNK = 1 << 20
 _ROW = "n1 long, n2 long, doc_id long, lo long, hi long, kind int"
@@ -73,7 +75,7 @@ def sampled(data: np.ndarray, offs: np.ndarray, length: int):
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
     lo, hi, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
     shape = (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return lo, hi, prefix[at], mix(names(lo, hi + length) + shape)
+    return lo, hi, prefix[at], mix(names(lo, hi + length) + shape) & _SHORT
 
 
 def _segments(data: np.ndarray, offs: np.ndarray, length: int):
@@ -218,7 +220,7 @@ def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFram
                         names = Names(data[offs[d] : offs[d + 1]])
                         for at in range(0, len(ranges), 1000):
                             p = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges[at : at + 1000]])
-                            yield names(p, p + length // 2), names(p + length // 2, p + length), np.full(len(p), ids[d]), p, p
+                            yield names(p, p + length // 2), names(p + length // 2, p + length) & _SHORT, np.full(len(p), ids[d]), p, p
 
         yield from _collected(found(), length)
 
