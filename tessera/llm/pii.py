@@ -1,7 +1,11 @@
 """Personal data replaced by surrogates, in DataFrame operations only.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards (13 to 19 digits with a valid check digit),
-secrets (32 to 64 hexadecimal digits with a digit among them) and titled names. An entity consists of units: the local part and the
+secrets and titled names. Phone numbers have 7 to 15 digits: international ones in any grouping or none, national ones
+that start with a zero or a code in parentheses, have hyphens, dots or spaces between groups of 3-3-4, 2-4-4 or 3-4-4
+digits, hyphens between 3-3-3, or follow a word for telephone; dates and spans of times are none. Secrets are 32 or more
+hexadecimal digits with a digit among them, 32 or more letters of both cases and digits in two places or more (three
+if there are signs of base 64 among them, and not in a URL), values with a letter and a digit of 16 characters or more behind a word for key, and known forms of keys. An entity consists of units: the local part and the
 domain of an address, the given name and the surname of a person, else one. Each distinct unit of the corpus gets one
 surrogate from a keyed digest, so the same unit has the same surrogate in every document, and two units never share
 one, nor is a surrogate a unit that occurs: units in conflict draw again until none is left. Surrogates have the type,
@@ -21,12 +25,29 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "x": ["Dr", "Prof"]}
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.?"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
+_GAP = r"[ \t\u00a0\u202f.()/\u2010-\u2015\-]"
+_MORE = rf"(?![\p{{L}}\p{{N}}])(?!{_GAP}?\d)"
+_DATE = r"\d{1,2}[.\-/ ]\d{1,2}[.\-/ ](?:\d\d){1,2}(?![.\-/ ]?\d)|\d\d\.\d\d ?[\-\u2013] ?\d\d\.\d\d(?!\d)"
+_PHONE_WORD = r"(?i:tel|tel\.|t[eé]l[eé]phone|tel[eé]fono|telefon|phone|fax|mobile|m[oó]vil|mobil|handy|portable|call)"
+_NATIONAL = "|".join([
+    rf"\((?!(?:19|20)\d\d\))\d{{2,6}}\)(?={_GAP}*\d(?:{_GAP}{{0,2}}\d){{4,}})(?:{_GAP}{{0,2}}\d){{5,13}}{_MORE}",
+    rf"(?!000|{_DATE})0\d(?:{_GAP}{{0,2}}\d){{5,13}}{_MORE}",
+    rf"(?:1[ .\-])?(?:\d{{3}}[ .\-]\d{{3}}|\d{{2,3}}[ .\-]\d{{4}})[ .\-]\d{{4}}{_MORE}",
+    rf"\d{{3}}-\d{{3}}-\d{{3}}{_MORE}",
+    rf"(?=\d(?:{_GAP}{{0,2}}\d){{6}})(?<={_PHONE_WORD}[.: ]{{1,3}})(?!{_DATE})\d(?:{_GAP}{{0,2}}\d){{6,14}}{_MORE}",
+])
+_SECRET_WORD = r"(?i:key|token|secret|password|passwd|pwd)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    "phone": r"\+\d{1,3}[^\w\n]{1,5}\d{3}[^\w\n]{1,6}\d{3}[^\w\n]{1,4}\d{4}(?!\d)",
+    "phone": rf"\+\d{{1,3}}[^\w\n]{{1,5}}\d{{3}}[^\w\n]{{1,6}}\d{{3}}[^\w\n]{{1,4}}\d{{4}}(?!\d)|(?<!\p{{N}})\+(?:{_GAP}{{0,3}}\d){{7,15}}(?!\d)",
     "ip": rf"(?<![\p{{L}}\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "secret": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}_+/\-])(?=[A-Za-z0-9_+/=~.\-]{15})(?:(?=[a-z0-9_]*[A-Z])(?=[A-Z0-9_]*[a-z])(?=[A-Za-z_]*\d+[A-Za-z_]+\d)[A-Za-z0-9_]{32,}+"
+    r"|(?=[a-z0-9_+/\-]*[A-Z])(?=[A-Z0-9_+/\-]*[a-z])(?=(?:[A-Za-z_+/\-]*\d+){2}[A-Za-z_+/\-]+\d)(?<!\.)[A-Za-z0-9_+/\-]{32,}+={0,2}"
+    r"|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]+|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_\-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|xox[a-z]-[A-Za-z0-9\-]{10,}|[sr]k[_\-][A-Za-z0-9_\-]{16,}"
+    rf"|(?<={_SECRET_WORD}[\"' :=]{{1,6}})(?=[^\s\d]*\d)(?=[^\sA-Za-z]*[A-Za-z])[A-Za-z0-9_+/=~.\-]{{15,}}[A-Za-z0-9_+/=~\-])(?![\p{{L}}\p{{N}}@])",
     "card": r"(?<![\p{L}\d.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\d])",
+    "national": rf"(?=[(\d])(?<![\p{{L}}\p{{N}}])(?<!\p{{N}}[.,\-/:])(?:{_NATIONAL})",
     "name": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -45,9 +66,12 @@ def _luhn(digits: Column) -> Column:
 
 
 def _kind(raw: Column) -> Column:
+    card = raw.rlike(r"^\d(?:[ \-]?\d){12,18}$")
     return (
         F.when(raw.contains("@"), "email").when(raw.startswith("+"), "phone").when(raw.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), "ip")
-        .when(raw.rlike("^[0-9A-Fa-f]{32,64}$"), "secret").when(raw.rlike(r"^[\d \-]+$"), "card").otherwise("name")
+        .when(raw.rlike("^[0-9A-Fa-f]{32,}$"), "secret").when(card & (_luhn(_digits(raw)) == 0), "card")
+        .when(~raw.rlike(r"\p{L}") & (~card | raw.startswith("0")), "phone").when(card, "none")
+        .when(~raw.rlike(r"\s"), "key").otherwise("name")
     )
 
 
@@ -66,7 +90,7 @@ def _units(raw: Column, kind: Column) -> Column:
         F.when(kind == "email", F.array(_unit("local", F.substring_index(low, "@", 1)), _unit("domain", F.substring_index(low, "@", -1))))
         .when((kind == "name") & (F.size(name) > 1), F.array(_unit(gender, F.lower(F.get(name, F.lit(0)))), _unit("surname", F.lower(F.get(name, F.lit(1))))))
         .when(kind == "name", F.array(_unit("surname", F.lower(F.get(name, F.lit(0))))))
-        .when(kind.isin("phone", "card"), F.array(_unit(kind, _digits(raw)))).otherwise(F.array(_unit(kind, low)))
+        .when(kind.isin("phone", "card"), F.array(_unit(kind, _digits(raw)))).when(kind == "key", F.array(_unit("key", raw))).otherwise(F.array(_unit(kind, low)))
     )
 
 
@@ -89,12 +113,16 @@ def _surrogate(key: str) -> Column:
     card = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(mapped(canon), F.lit(2), F.length(canon) - 2))
     check = lambda body: ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
     given = lambda ends: F.concat(F.substr(mapped(canon), F.lit(1), F.length(canon) - 1), ends)
+    # all but the last ten digits of a phone number stay, and zeros that it starts with
+    stays = F.greatest(F.length(canon) - 10, F.length(F.regexp_extract(canon, "^0{0,2}", 0)))
+    alike = lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(pick("abcdefghijklmnopqrstuvwxyz", i))).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", i)).when(c.rlike("[0-9]"), pick("0123456789", i)).otherwise(c)
     script_end = lambda n: F.when(canon.rlike(r"\p{IsCyrillic}"), ("а", "н")[n]).when(canon.rlike(r"\p{IsGreek}"), ("α", "ς")[n]).otherwise(("a", "n")[n])
     return (
         F.when(kind == "ip", F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[byte(F.lit(n)).cast("string") for n in (1, 2, 3)]))
         .when(kind == "secret", F.array_join(F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), lambda c, i: pick("0123456789abcdef", i)), ""))
         .when(kind == "card", F.concat(card, check(card)))
-        .when(kind == "phone", F.concat(F.substr(canon, F.lit(1), F.length(canon) - 10), F.substr(mapped(canon), F.length(canon) - 9, F.lit(10))))
+        .when(kind == "phone", F.concat(F.substr(canon, F.lit(1), stays), F.substr(mapped(canon), stays + 1)))
+        .when(kind == "key", F.array_join(F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), alike), ""))
         .when(kind == "domain", F.concat(mapped(F.regexp_extract("canon", r"^(.*)\.[^.]*$", 1)), F.lit("."), F.substring_index(canon, ".", -1)))
         .when(kind == "given_f", given(script_end(0))).when(kind == "given_m", given(script_end(1)))
         .otherwise(mapped(full))
@@ -131,7 +159,7 @@ def _laid(raw: Column, kind: Column, surrogates: Column) -> Column:
     rest = F.regexp_replace(raw, rf"^{_TITLE} ", "")
     same_case = lambda s: F.when(upper, F.upper(s)).otherwise(s)
     return (
-        F.when(kind == "email", same_case(F.concat(first, F.lit("@"), second))).when(kind.isin("phone", "card"), F.array_join(digits, ""))
+        F.when(kind == "email", same_case(F.concat(first, F.lit("@"), second))).when(kind.isin("phone", "card"), F.array_join(digits, "")).when(kind == "key", first)
         .when(kind == "name", F.concat(title, F.when(rest == F.upper(rest), F.upper(person)).otherwise(person))).otherwise(same_case(first))
     )
 
@@ -142,7 +170,7 @@ def surrogate_table(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))).alias("raw"))
     found = written(found, "found")
     entities = found.select("raw").distinct().withColumn("kind", _kind(F.col("raw")))
-    entities = entities.where((F.col("kind") != "card") | (_luhn(_digits(F.col("raw"))) == 0)).withColumn("units", _units(F.col("raw"), F.col("kind")))
+    entities = entities.where("kind <> 'none'").withColumn("units", _units(F.col("raw"), F.col("kind")))
     entities = written(entities, "entities")
     parts = entities.select("raw", F.posexplode("units").alias("at", "u")).select("raw", "at", "u.kind", "u.canon")
     named = _named(parts.select("kind", "canon").distinct(), key)
