@@ -108,16 +108,27 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
     return ranked(part, k, id_="ref_id").select("query_id", "rank", "ref_id", "score")
 
 
-def nearest_lsh(queries: DataFrame, refs: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 8, max_distance: float = 1.2) -> DataFrame:
-    """Approximate: the best k of the pairs that random projections of unit vectors bring together."""
+def nearest_lsh(queries: DataFrame, refs: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 8, max_distance: float | None = None) -> DataFrame:
+    """Approximate: the best k of the pairs that random projections of unit vectors bring together, at any distance or
+    below max_distance. Queries that the projections leave with fewer than k are searched exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    from tessera.operators.clusters import _cut
+
     vec = lambda df: df.withColumn("u", array_to_vector(V.unit(V.dbl(F.col("v")))))
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=42).fit(vec(refs))
-    pairs = model.approxSimilarityJoin(vec(queries), vec(refs), max_distance, "d")
+    pairs = model.approxSimilarityJoin(vec(queries), vec(refs), max_distance or 2.1, "d")  # unit vectors are at most 2 apart
     rows = pairs.select(F.col("datasetA.query_id"), F.col("datasetB.ref_id"), F.round(1 - F.col("d") * F.col("d") / 2, 9).alias("score"))
-    return ranked(rows, k, id_="ref_id").select("query_id", "rank", "ref_id", "score")
+    found = ranked(rows, k, id_="ref_id").select("query_id", "rank", "ref_id", "score")
+    if max_distance is not None:
+        return found
+    found = _cut(found)
+    full = found.where(F.col("rank") == min(k, max(1, refs.limit(k).count()))).select("query_id")
+    short = _cut(queries.join(full, "query_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    return found.join(full, "query_id", "left_semi").unionByName(nearest(short, refs, k))
 
 
 def class_means(refs: DataFrame, dims: int, label: str = "label") -> DataFrame:

@@ -273,3 +273,14 @@ def test_datasets(spark, tmp_path, six):
     assert a == b and a["n"] == 6
     (tmp_path / "discovery_20240102_030405_x.json").write_text("{}")
     assert X.proposal_files(spark, str(tmp_path)).first()["created"].year == 2024
+
+
+def test_lsh_recall(spark):
+    """Spread vectors, close groups, and buckets so narrow that queries find too few."""
+    rng = np.random.default_rng(3)
+    spread, groups = rng.normal(size=(300, 64)), np.repeat(rng.normal(size=(10, 64)), 30, 0) + rng.normal(size=(300, 64)) * 0.3
+    for x, length in ((spread, 0.5), (groups, 0.5), (rng.normal(size=(300, 8)), 0.5), (spread[:60], 1e-6)):
+        v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "query_id long, v array<double>")
+        refs = v.withColumnRenamed("query_id", "ref_id")
+        got, want = ({(r["query_id"], r["ref_id"]) for r in d.collect()} for d in (M.nearest_lsh(v, refs, 10, bucket_length=length), M.nearest(v, refs, 10)))
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
