@@ -284,3 +284,25 @@ def test_lsh_recall(spark):
         refs = v.withColumnRenamed("query_id", "ref_id")
         got, want = ({(r["query_id"], r["ref_id"]) for r in d.collect()} for d in (M.nearest_lsh(v, refs, 10, bucket_length=length), M.nearest(v, refs, 10)))
         assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_density_beyond_twenty_neighbours(spark):
+    """Against brute force: groups of copies, a dense class, zero vectors, several blocks."""
+    rng = np.random.default_rng(4)
+    two = np.repeat([[1.0, 0.0], [0.9, np.sqrt(0.19)]], 25, 0)
+    mixed = np.concatenate([np.repeat(rng.normal(size=(3, 6)), 30, 0), rng.normal(size=(60, 6)), rng.normal(size=6) * 3 + rng.normal(size=(40, 6)), np.zeros((8, 6))])
+    for x, eps, block in ((two, 0.3, 4096), (mixed, 0.3, 4096), (mixed, 0.3, 30), (mixed, 0.1, 30)):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        got = {r["id"]: r["component"] for r in G.density_components(rows, eps=eps, block_rows=block).collect()}
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        s = np.round(u @ u.T, 9)
+        np.fill_diagonal(s, -1)
+        core = (s >= 1 - eps).sum(1) >= 5
+        label = np.where(core, np.arange(len(x)), -1)
+        for _ in range(len(x)):
+            label = np.array([min([label[i], *label[core & (s[i] >= 1 - eps)]]) if core[i] else -1 for i in range(len(x))])
+        near = np.where(core, s, -1).argmax(1)
+        want = [label[i] if core[i] else label[near[i]] if core.any() and s[i, near[i]] >= 1 - eps else -1 for i in range(len(x))]
+        want = [c if want.count(c) >= 5 else -1 for c in want]
+        assert [got[i] for i in range(len(x))] == want
+    assert len(set(want)) > 2
