@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -329,26 +329,33 @@ def calibration_split(refs: DataFrame, id_: str = "ref_id", share: int = 20) ->
     return F.conv(F.substring(F.md5(refs[id_].cast("string")), 1, 8), 16, 10).cast("long") % 100 < share
 
 
-#: Calibration scores that are sent to every task as sorted arrays; more are taken from the least hashes.
-MAX_CALIBRATION = 1_000_000
-
-
-def p_values(tests: DataFrame, calibration: DataFrame, by: str | None = None, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
+def p_values(tests: DataFrame, calibration: DataFrame, by: str | None = None) -> DataFrame:
     """(id, p): (calibration scores not below a test's score + 1) / (calibration scores + 1).
 
     Both have score, tests also id; with `by` each class is calibrated by itself, and one without calibration by all.
-    The calibration set is a bounded sample, at most max_calibration scores by hash, which every task searches."""
-    rows = calibration.select("score", *([by] if by else []))
-    if rows.count() > max_calibration:
-        rows = rows.orderBy(F.xxhash64(*rows.columns)).limit(max_calibration)
-    pdf = rows.toPandas()
-    everything = np.sort(pdf["score"].to_numpy(np.float64))
-    own = {k: np.sort(g["score"].to_numpy(np.float64)) for k, g in pdf.groupby(by)} if by else {}
-
-    def run(batches):
-        for batch in batches:
-            keys = batch[by] if by else [None] * len(batch)
-            p = [(len(c) - np.searchsorted(c, s, "left") + 1) / (len(c) + 1) for c, s in ((own.get(k, everything), s) for k, s in zip(keys, batch["score"]))]
-            yield pd.DataFrame({"id": batch["id"], "p": np.array(p, np.float64)})
-
-    return tests.select("id", "score", *([by] if by else [])).mapInPandas(run, "id long, p double")
+    Exact over all rows: distinct scores are counted, dealt by range and added up within and then over the ranges. Null
+    scores count as the greatest."""
+    from tessera.operators.clusters import _cut
+
+    score = F.coalesce(F.col("score").cast("double"), F.lit(float("nan"))).alias("score")
+    of = (F.col(by) if by else F.lit(None)).cast("string").alias("of")
+    cal = calibration.select(of, score).groupBy("of", "score").agg(F.count("*").alias("n"))
+    # own: a class by itself, else all
+    counts = cal.select(F.lit(False).alias("own"), F.lit("").alias("class"), "score", "n")
+    rows = tests.select(F.col("id").cast("long").alias("id"), of, score)
+    if by:
+        classes = cal.where("of is not null").select("of").distinct().withColumn("known", F.lit(True))
+        counts = counts.unionByName(cal.where("of is not null").select(F.lit(True).alias("own"), F.col("of").alias("class"), "score", "n"))
+        rows = rows.join(classes, "of", "left").withColumn("own", F.col("known").isNotNull())
+    else:
+        rows = rows.withColumn("own", F.lit(False))
+    rows = _cut(rows.select("id", "own", F.when(F.col("own"), F.col("of")).otherwise(F.lit("")).alias("class"), "score"))
+    key = ["own", "class"]
+    marks = counts.unionByName(rows.select(*key, "score", F.lit(0).cast("long").alias("n"))).groupBy(*key, "score").agg(F.sum("n").alias("n"))
+    dealt = _cut(marks.repartitionByRange(*key, "score").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy(*key, "part").agg(F.sum("n").alias("here"))
+    of_key = Window.partitionBy(*key)
+    parts = parts.select(*key, "part", (F.sum("here").over(of_key.orderBy(F.desc("part"))) - F.col("here")).alias("later"), F.sum("here").over(of_key).alias("size"))
+    falling = Window.partitionBy(*key, "part").orderBy(F.desc("score"))
+    above = dealt.join(parts, [*key, "part"]).select(*key, "score", "size", (F.sum("n").over(falling) + F.col("later")).alias("above"))
+    return rows.join(above, [*key, "score"]).select("id", ((F.col("above") + 1) / (F.col("size") + 1)).alias("p"))

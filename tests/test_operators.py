@@ -306,3 +306,19 @@ def test_density_beyond_twenty_neighbours(spark):
         want = [c if want.count(c) >= 5 else -1 for c in want]
         assert [got[i] for i in range(len(x))] == want
     assert len(set(want)) > 2
+
+
+def test_conformal_counts_all(spark):
+    """Against direct counts: ties, a third of the rows on one score, small, missing and null classes, null scores."""
+    assert "max_calibration" not in S.p_values.__code__.co_varnames
+    rng = np.random.default_rng(5)
+    cal = [(0.5 if i % 3 == 0 else float(rng.integers(0, 50)) / 10, ["a", "b", None][i % 3] if i else "rare") for i in range(3000)] + [(None, "b")]
+    tests = [(i, float(rng.integers(-2, 60)) / 10, ["a", "b", "rare", "new", None][i % 5]) for i in range(200)]
+    c, t = spark.createDataFrame(cal, "score double, label string"), spark.createDataFrame(tests, "id long, score double, label string")
+    for by in (None, "label"):
+        got = {r["id"]: r["p"] for r in S.p_values(t, c, by).collect()}
+        assert len(got) == len(tests)
+        for i, score, label in tests:
+            own = [s for s, of in cal if by and of == label and label is not None] or [s for s, _ in cal]
+            assert got[i] == pytest.approx((sum(s is None or s >= score for s in own) + 1) / (len(own) + 1))
+    assert [r["p"] for r in S.p_values(t, c.limit(0), "label").collect()] == [1.0] * len(tests)
