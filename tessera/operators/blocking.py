@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,18 +77,43 @@ def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-def fuzzy(queries: DataFrame, entities: DataFrame, k: int, cutoff: float = 70.0) -> DataFrame:
-    """(query_id, rank, id, score): token-sorted indel ratio; the best k first, of them those of cutoff or more.
-
-    Pairs share a token's first two characters or a token's 3-gram, as a ratio of 70 asks for common runs."""
-    def keyed(df, id_):
-        sorted_text = F.array_join(F.array_sort(T.spaced_tokens(F.col("text"))), " ")
-        grams = F.flatten(F.transform(T.spaced_tokens(F.col("text")), lambda w: F.concat(F.array(F.left(w, F.lit(2))), T.char_ngrams(w, 3))))
-        return df.select(id_, sorted_text.alias(f"s_{id_}"), F.explode(F.array_distinct(grams)).alias("gram"))
-
-    pairs = keyed(queries, "query_id").join(keyed(entities, "id"), "gram").select("query_id", "id", "s_query_id", "s_id").distinct()
-    scores = pairs.select("query_id", "id", F.round(indel_ratio_udf("s_query_id", "s_id"), 6).alias("score"))
-    return ranked(scores, k).where(F.col("score") >= cutoff).select("query_id", "rank", "id", "score")
+def fuzzy(queries: DataFrame, entities: DataFrame, k: int, cutoff: float = 70.0, block_rows: int = 4096) -> DataFrame:
+    """(query_id, rank, id, score): token-sorted indel ratio; the best k of cutoff or more. Texts without tokens have none.
+
+    Exact: all pairs meet block by block, and those whose counts of shared characters, which bound the longest common
+    subsequence, allow the cutoff are scored; only k rows a query leave a task."""
+    def sorted_text(df, id_):
+        rows = df.select(F.col(id_).alias(id_), F.array_join(F.array_sort(T.spaced_tokens(F.col("text"))), " ").alias("s"))
+        return rows.where(F.length("s") > 0)
+
+    q, e = sorted_text(queries, "query_id"), sorted_text(entities, "id")
+    n = max(1, -(-e.count() // block_rows))
+    m = max(-(-q.count() // block_rows), -(-16 // n))
+    dealt = lambda df, id_, own, at, other, to: df.withColumn(at, F.pmod(F.xxhash64(id_), F.lit(own)).cast("int")).withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).groupBy("qb", "eb")
+
+    def counts(texts):
+        # characters share 64 counts, which only raises the bound
+        out = np.zeros((len(texts), 64), np.int32)
+        for i, t in enumerate(texts):
+            np.add.at(out[i], np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, 1)
+        return out
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            ids, texts = right["id"].tolist(), right["s"].tolist()
+            have = counts(texts)
+            size = have.sum(1)
+            for query_id, text, own in zip(left["query_id"], left["s"], counts(left["s"].tolist())):
+                bound = 200.0 * np.minimum(have, own).sum(1) / (size + own.sum())
+                scored = [(round(indel_ratio(text, texts[i]), 6), i) for i in np.flatnonzero(bound >= cutoff - 1e-5)]
+                rows += [(query_id, ids[i], x) for x, i in sorted((x for x in scored if x[0] >= cutoff), key=lambda x: (-x[0], x[1]))[:k]]
+        return pd.DataFrame(rows, columns=["query_id", "id", "score"])
+
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {e.schema['id'].dataType.simpleString()}, score double"
+    scores = dealt(q, "query_id", m, "qb", n, "eb").cogroup(dealt(e, "id", n, "eb", m, "qb")).applyInPandas(meet, schema)
+    return ranked(scores, k).select("query_id", "rank", "id", "score")
 
 
 def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -322,3 +322,21 @@ def test_conformal_counts_all(spark):
             own = [s for s, of in cal if by and of == label and label is not None] or [s for s, _ in cal]
             assert got[i] == pytest.approx((sum(s is None or s >= score for s in own) + 1) / (len(own) + 1))
     assert [r["p"] for r in S.p_values(t, c.limit(0), "label").collect()] == [1.0] * len(tests)
+
+
+def test_fuzzy_scores_all_pairs(spark):
+    """Short names and scattered typos share no run of letters."""
+    rng = np.random.default_rng(6)
+    names = ["abc", "ibm", "wabxcdxef", "éa b", "b a"] + ["".join(rng.choice(list("abcd é"), rng.integers(1, 9))) for _ in range(150)]
+    asked = ["bc", "bm", "qabcdef", "", None] + ["".join(rng.choice(list("abcd é"), rng.integers(1, 9))) for _ in range(40)]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    e = spark.createDataFrame(list(enumerate(names)), "id long, text string")
+    key = lambda t: " ".join(sorted((t or "").lower().split()))
+    for block in (4096, 20):
+        got = {}
+        for r in sorted(B.fuzzy(q, e, 3, block_rows=block).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+        for i, text in enumerate(asked):
+            scores = [(-round(B.indel_ratio(key(text), key(t)), 6), j) for j, t in enumerate(names) if key(text) and key(t)]
+            assert got.get(i, []) == [(j, -s) for s, j in sorted(scores)[:3] if -s >= 70]
+        assert (0, 80.0) in got[0] and (1, 80.0) in got[1] and (2, 75.0) in got[2]
