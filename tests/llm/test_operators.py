@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -330,7 +331,8 @@ def test_surrogates(spark, odd, empty):
     assert re.match(r"Herr [А-Я][а-я]+ [А-Я][а-я]+ again", out[3])
     assert sorted(r["text"] or "" for r in pii.pseudonymised(docs, "k").collect()) == sorted(t or "" for t in out)
     assert [r["text"] for r in pii.pseudonymised(docs, "other").orderBy("doc_id").collect()] != out
-    assert pii.pseudonymised(odd, "k").count() == odd.count() and pii.pseudonymised(empty, "k").count() == 0
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["n_replaced"]) for r in pii.pseudonymised(odd, "k").collect()) == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", 0) for r in odd.collect())
+    assert pii.pseudonymised(odd, "k").columns == [c for c in odd.columns if c != "n_replaced"] + ["n_replaced"] and pii.pseudonymised(empty, "k").count() == 0
 
 
 def test_phone_and_secret_formats(spark):
@@ -350,13 +352,93 @@ def test_phone_and_secret_formats(spark):
     assert "912 345 678" not in out[-2] and layout(out[-2]) == "Teléfono: 000 000 000." and "hunter2" not in out[-1]
 
 
+def surrogates_of(spark, docs):
+    """The table of the entities of docs, found by Python."""
+    raws = [(e,) for r in docs.collect() for e in entities_in(r["text"] or "")]
+    return {r["raw"]: r for r in pii.surrogate_table(spark.createDataFrame(raws, "raw string"), "k").collect()}
+
+
+def entities_in(text):
+    return [m.group() for m in regex.finditer(pii.ENTITY, text)]
+
+
 def test_surrogates_stay_distinct(spark):
     """Few surrogates are possible, so first draws clash."""
     docs = docs_of(spark, [f"{a}{b}@x.yy" for a in "abcdefghij" for b in "klmno"] + [f"a@{c}.yy" for c in "abcdefghi"])
-    table, _ = pii.surrogate_table(docs, "k")
-    rows = table.collect()
-    assert len({r["surrogate"] for r in rows}) == len(rows) == 59
-    assert not {r["surrogate"] for r in rows} & {r["raw"] for r in rows}
+    table = surrogates_of(spark, docs)
+    assert len({r["surrogate"] for r in table.values()}) == len(table) == 59
+    assert not {r["surrogate"] for r in table.values()} & set(table)
+
+
+def test_short_names_and_domains(spark):
+    """More units of a length than there are surrogates of it: surrogates grow."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)] + list("éàöüñçøåîûõ")
+    two = [a.upper() + b for a in letters for b in letters][:1000]
+    one = [chr(c) for c in range(0x4E00, 0x4E00 + 1000)]
+    docs = docs_of(spark, [f"Mrs {a} Johnson, Mr {b}, bob@{c}.yy" for a, b, c in zip(two, two[::-1], one)])
+    out = [r["text"] for r in pii.pseudonymised(docs, "k").collect()]
+    seen = [re.fullmatch(r"Mrs (\w+) (\w+), Mr (\w+), (\w+)@(\w+)\.yy", t).groups() for t in out]
+    assert len({x[0].lower() for x in seen}) == 1000 and {x[0] for x in seen} == {x[2] for x in seen} and len({x[4] for x in seen}) == 1000
+    assert len({x[1] for x in seen} | {x[0] for x in seen}) == 1001 and len({x[3] for x in seen}) == 1
+    assert not {x[0] for x in seen} & set(two) and not {x[4] for x in seen} & set(one)
+
+
+def test_names_keep_who_is_who(spark):
+    texts = ["Mr Alex Smith met Dr Alex Smith. Smith's dog, SMITH and Alex; smith Smithson", "Frau Anna Berg, Prof Anna Berg, Herr Kim Berg, Frau Kim Berg", "Smith and Berg", "Mr J. R. O'Neil-Berg, O'Neil-Berg"]
+    out = [r["text"] for r in pii.pseudonymised(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    alex, smith = re.match(r"Mr (\w+) (\w+) met", out[0]).groups()
+    assert out[0] == f"Mr {alex} {smith} met Dr {alex} {smith}. {smith}'s dog, {smith.upper()} and {alex}; smith Smithson" and alex.endswith("n")
+    anna, berg, kim = re.match(r"Frau (\w+) (\w+), Prof \1 \2, Herr (\w+) \2, Frau \3 \2", out[1]).groups()
+    assert anna.endswith("a") and len({alex, smith, anna, berg, kim}) == 5 and out[2] == "Smith and Berg"
+    last = re.fullmatch(r"Mr (\w)\. \1\. (\w'\w{4}-\w{4}), \2", out[3])
+    assert last and last[2][0] == last[1] and last[2] != "O'Neil-Berg"
+
+
+def test_numbers_with_check_digits(spark):
+    texts = ["123-45-6789 and 000-12-3456", "DE89 3704 0044 0532 0130 00, DE89370400440532013000", "2001:db8::8a2e:370:7334 FE80:0:0:0:0:0:0:1 12:30:45 std::vector"]
+    out = [r["text"] for r in pii.pseudonymised(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"[1-5]\d\d-\d\d-\d{4} and 000-12-3456", out[0]) and "6789" not in out[0]
+    spaced, solid = out[1].split(", ")
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", spaced) and spaced.replace(" ", "") == solid != texts[1].split(", ")[1]
+    assert int("".join(str(int(c, 36)) for c in solid[4:] + solid[:4])) % 97 == 1
+    a, b, *rest = out[2].split()
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", a) and re.fullmatch(r"[0-9A-F]{4}(:[0-9A-F]){7}", b) and rest == ["12:30:45", "std::vector"]
+
+
+def test_pseudonymised_equals_brute_force(spark):
+    """Detection, lookups, recurrences and counts by Python's regular expressions, from the table of surrogates."""
+    rng = np.random.default_rng(9)
+    some = ["Mr Ian Holm", "Dr. Holm", "Frau Eva Holm-Lind", "Holm", "eva", "Eva", "LIND", "a.b@c.dd", "A.B@C.DD", "10.0.0.1", "+1 (013) 555-9871", "4111 1111 1111 1111", "4111 1111 1111 1112", "0a" * 20, "plain", "words,", "123-45-6789", "Señora Łucja Żak", "\ufdd0", "Żak's", "\n"]
+    texts = [" ".join(some[i] for i in rng.integers(0, len(some), int(rng.integers(0, 12)))) for _ in range(150)] + [None]
+    docs = docs_of(spark, texts)
+    table = surrogates_of(spark, docs)
+    assert len({r["surrogate"].lower() for r in table.values()}) == len({r.lower() for r in table})
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.pseudonymised(docs, "k").collect()}
+
+    def cased(like, s):
+        return s.upper() if like == like.upper() else " ".join(w[:1].upper() + w[1:] for w in s.split(" "))
+
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] == (None, 0)
+            continue
+        words = {w["word"]: w["surrogate"] for e in entities_in(t) if e in table for w in table[e]["words"]}
+        count = 0
+
+        def recur(m):
+            nonlocal count
+            count += m.group().lower() in words
+            return cased(m.group(), words[m.group().lower()]) if m.group().lower() in words else m.group()
+
+        out, at = "", 0
+        for m in regex.finditer(pii.ENTITY, t):
+            out += regex.sub(pii._WORD, recur, t[at : m.start()]) + (table[m.group()]["surrogate"] if m.group() in table else m.group())
+            count += m.group() in table
+            at = m.end()
+        out += regex.sub(pii._WORD, recur, t[at:])
+        assert got[i] == (out, count), t
+    plans = pii.pseudonymised(docs, "k")._jdf.queryExecution().toString()
+    assert "Python" not in plans and "Arrow" not in plans
 
 
 # ---- archives ---------------------------------------------------------------------------
