@@ -65,9 +65,11 @@ PATTERNS = {
 #: The others.
 _PAREN = rf"\((?!(?:19|20)\d\d\))\d{{2,6}}\)(?={_GAP}*\d(?:{_GAP}{{0,2}}\d){{4,}})(?:{_GAP}{{0,2}}\d){{5,13}}{_MORE}"
 _TITLED = rf"{_TITLE} {_INITIALS}{_NAME}(?: {_NAME})?"
-_PLUS = rf"\+\d{{1,3}}[^\w\n]{{1,5}}\d{{3}}[^\w\n]{{1,6}}\d{{3}}[^\w\n]{{1,4}}\d{{4}}(?!\d)|(?<!\p{{N}})\+(?:{_GAP}{{0,3}}\d){{7,15}}(?!\d)"
-#: One pass finds all: words without a digit or an @ are left after the first look.
-ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:(?=[\p{{L}}\p{{N}}._%+])(?=[^\s@\d]{{0,100}}+[@\d])(?:{'|'.join(PATTERNS.values())})|(?=[A-Z]){_TITLED}|(?<!\p{{N}}[.,\-/:]){_PAREN})|{_PLUS}"
+_PLUS = rf"\+(?:\d{{1,3}}[^\w\n]{{1,5}}\d{{3}}[^\w\n]{{1,6}}\d{{3}}[^\w\n]{{1,4}}\d{{4}}(?!\d)|(?<!\p{{N}}\+)(?:{_GAP}{{0,3}}\d){{7,15}}(?!\d))"
+#: What a word needs to be looked at: a digit or an @ near its start. ASCII letters are passed over first, as that is faster.
+_GUARD = r"(?=[a-zA-Z]{0,30}+[^\s@\d]{0,100}+[@\d])(?=[\p{L}\p{N}._%+])"
+#: One pass finds all. The first look behind is one range, which rules out most places.
+ENTITY = rf"(?<![a-z])(?<![\p{{L}}\p{{N}}])(?:(?=[^ ]){_GUARD}(?:{'|'.join(PATTERNS.values())})|(?=[A-Z]){_TITLED}|(?=\()(?<!\p{{N}}[.,\-/:]){_PAREN})|{_PLUS}"
 _WORD = rf"(?<!\p{{L}}){_NAME}"
 #: What entities are marked with in a text; no character.
 _MARK = "\ufdd0"
