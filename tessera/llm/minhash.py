@@ -8,17 +8,18 @@ replacement the estimate is at least as concentrated as with independent minima.
 
 Documents with equal sets are one class from the start. Classes that share a band meet in a bucket; the buckets with
 the same least member, its hub, make one family, so that a class is in as many families as it has hubs, and any two
-classes that share a bucket share a family. A family's members are verified against its hub on full sets, and those
-that stay apart against all others that they aren't connected with. Only links that connect something are returned:
-no link between components is lost, and no group is expanded into pairs. Families are cut into blocks of bounded size,
-and each pair of blocks is one group.
+classes that share a bucket share a family. First each member is verified against its hub on full sets, in blocks that
+a family of any size is dealt to, so that every text is sent once for each of its families. Buckets whose members are
+then of one component are done. The members of the others meet in pairs of blocks, where only those of different
+components are compared. Only links that connect something are returned: no link between components is lost, and no
+group is expanded into pairs. Blocks are bounded by the number of their members and of their shingles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, WordRule, drop_written, id_text, mix, pieces, shingle_hashes, signed, text_bytes, written
@@ -146,39 +147,75 @@ class Family:
                 yield x, int(y)
 
 
-def family_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True, block: int = 2048) -> DataFrame:
-    """Links (a, b) that connect whatever is linked within the families of pairs (member, hub)."""
-    sizes = pairs.groupBy("hub").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("blocks"))
-    rows = pairs.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("at")
-    rows = rows.select("hub", "member", "block", spread).select("hub", "member", "block", "at.i", "at.j")
-    # the hub itself goes to every pair of blocks
-    all_pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    hubs = sizes.select("hub", F.col("hub").alias("member"), F.lit(-1).alias("block"), F.explode(all_pairs).alias("at")).select("hub", "member", "block", "at.i", "at.j")
-    texts = id_text(docs).select(F.col("doc_id").alias("member"), "text")
-    rows = rows.unionByName(hubs).hint("merge").join(texts, "member")
+#: What a block of a family holds at most: members, and shingles of them all together.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 17
+
+
+def _blocks(size: str) -> Column:
+    """How many blocks the rows of a group are dealt to by their hash."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int")
+
+
+def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.hint("merge").join(id_text(docs).select(F.col("doc_id").alias("member"), "text"), "member")
+
+
+def _sets(group: pa.Table, order: np.ndarray, k: int, lower: bool) -> list[np.ndarray]:
+    rule = WordRule(SPACED, lower)
+    data, offs = text_bytes(group.column("text"))
+    out = []
+    for d in order:
+        part = data[offs[d] : offs[d + 1]]
+        out.append(shingle_set(rule.words(part, np.array([0, len(part)]))[0], k))
+    return out
+
+
+def _link_table(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    a, b = (np.array([ids[f[n]] for f in found], np.int64) for n in (0, 1))
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def hub_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
+    """Links (a, b) of members with their hubs; pairs (member, hub, size). One row and one text for each pair."""
+    sizes = pairs.groupBy("hub").agg(_blocks("size").alias("blocks"))
+    rows = pairs.join(sizes, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    hubs = sizes.select("hub", F.col("hub").alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(key, group):
+        ids = group.column("member").to_numpy()
+        order = np.argsort(np.where(ids == key[0].as_py(), np.iinfo(np.int64).min, ids), kind="stable")
+        family = Family(_sets(group, order, k, lower), percent)
+        return _link_table(ids[order], list(family.links(0, np.arange(1, len(ids)))) if len(ids) > 1 else [])
+
+    return _with_text(rows.unionByName(hubs), docs).groupBy("hub", "block").applyInArrow(run, "a long, b long")
+
+
+def block_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
+    """Links (a, b) that connect what is linked between different components of each family; rows (hub, member,
+    component, size)."""
+    sizes = rows.groupBy("hub").agg(_blocks("size").alias("blocks"))
+    dealt = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("at")
+    dealt = dealt.select("hub", "member", "component", "block", meet).select("hub", "member", "component", "block", "at.i", "at.j")
 
     def run(key, group):
-        rule, i, j = WordRule(SPACED, lower), key[1].as_py(), key[2].as_py()
-        ids, blocks = group.column("member").to_numpy(), group.column("block").to_numpy()
+        ids, blocks, parts = (group.column(c).to_numpy() for c in ("member", "block", "component"))
         order = np.lexsort((ids, blocks))
-        ids, blocks = ids[order], blocks[order]
-        data, offs = text_bytes(group.column("text"))
-        sets = []
-        for d in order:
-            part = data[offs[d] : offs[d + 1]]
-            sets.append(shingle_set(rule.words(part, np.array([0, len(part)]))[0], k))
-        family = Family(sets, percent)
-        everyone = np.arange(len(ids))
-        found = list(family.links(0, everyone[1:])) if len(ids) > 1 else []
-        for x in everyone[1:]:
-            if family.root(x) != family.root(0):
-                others = everyone[1:] if i == j else everyone[1:][blocks[1:] != blocks[x]]
-                found += family.links(int(x), others[others != x])
-        a, b = (np.array([ids[f[n]] for f in found], np.int64) for n in (0, 1))
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return rows.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+        ids, blocks, parts = ids[order], blocks[order], parts[order]
+        found: list[tuple[int, int]] = []
+        if len(ids) and (parts != parts[0]).any():
+            family = Family(_sets(group, order, k, lower), percent)
+            # members of one component are connected from the start
+            _, first, same = np.unique(parts, return_index=True, return_inverse=True)
+            family.parent = first[same].tolist()
+            everyone = np.arange(len(ids))
+            for x in everyone:
+                others = everyone[x + 1 :]
+                others = others[(parts[others] != parts[x]) & ((blocks[others] != blocks[x]) | (key[1].as_py() == key[2].as_py()))]
+                found += family.links(int(x), others)
+        return _link_table(ids, found)
+
+    return _with_text(dealt, docs).groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -195,14 +232,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     full = sigs.where("n_shingles > 0")
     classes = written(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
-    rep_rows = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("h"))
+    rep_rows = reps.select(F.col("doc_id").alias("member"), F.col("n_shingles").alias("size"), F.explode("bands").alias("h"))
     shared = rep_rows.groupBy("h").agg(F.min("member").alias("hub"), F.count("*").alias("n")).where("n > 1").select("h", "hub")
-    pairs = written(rep_rows.join(shared, "h").where("member <> hub").select("member", "hub").distinct(), "pairs")
-    links = written(family_links(pairs, docs, k, percent), "links")
-    found = components(links)
+    buckets = written(rep_rows.join(shared, "h"), "buckets")
+    links = written(hub_links(buckets.where("member <> hub").select("member", "hub", "size").distinct(), docs, k, percent), "links")
+    found = written(components(links), "components")
+    # buckets whose members are not all of one component
+    of = buckets.join(found.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    apart = of.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    left = written(of.join(apart, "h", "left_semi").select("hub", "member", "component", "size").distinct(), "apart")
+    if not left.isEmpty():
+        more = written(block_links(left, docs, k, percent), "links")
+        if not more.isEmpty():
+            found = written(components(links.unionByName(more)), "components")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep").select("s1", "s2", "n_shingles", "component")
     copies = classes.join(found.select(F.col("node").alias("rep")), "rep", "left_anti").select("s1", "s2", "n_shingles", F.col("rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(named.unionByName(copies), ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
-    drop_written(pairs)
+    drop_written(buckets, left)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -112,13 +112,35 @@ def test_chains_of_near_copies_connect(spark):
     assert got == [c for _, c in brute_components(enumerate(texts), 3, 85).values()] and len(set(got)) == 1
 
 
-def test_families_in_blocks(spark):
+def test_families_in_blocks(spark, monkeypatch):
+    """Hubs that most members are not linked with, and blocks of few members."""
     texts = corpus(3, 40)
     docs = docs_of(spark, texts)
-    pairs = spark.createDataFrame([(i, 0) for i in range(1, 40)], "member long, hub long")
-    one = graph.components(minhash.family_links(pairs, docs, 3, 60))
-    many = graph.components(minhash.family_links(pairs, docs, 3, 60, block=4))
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    want = brute_components(enumerate(texts), 3, 60)
+    rows = spark.createDataFrame([(i, 0, i, 50) for i in range(40)], "member long, hub long, component long, size int")
+
+    def parts(links):
+        got = {r["node"]: r["component"] for r in graph.components(links).collect()}
+        return {i: got.get(i, i) for i in range(40)}
+
+    for members in (256, 4):
+        monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+        assert parts(minhash.block_links(rows, docs, 3, 60)) == {i: c for i, (_, c) in want.items()}
+        near = {(r["a"], r["b"]) for r in minhash.hub_links(rows.where("member > 0").select("member", "hub", "size"), docs, 3, 60).collect()}
+        first = shingles(texts[0], 3)
+        assert near == {(i, 0) for i in range(1, 40) if 100 * len(first & shingles(texts[i], 3)) >= 60 * len(first | shingles(texts[i], 3))}
+    of = {i: c for i, (_, c) in want.items()}
+    merged = spark.createDataFrame([(i, 0, of[i], 50) for i in range(40)], rows.schema)
+    assert minhash.block_links(merged, docs, 3, 60).count() == 0
+
+
+def test_a_large_family_sends_each_text_once(spark):
+    """Near copies of one text: all are linked with their hubs, so that no pair of blocks is left to meet."""
+    base = [f"b{i}" for i in range(300)]
+    texts = [" ".join(base[:n] + [f"c{n}"] + base[n + 1 :]) for n in range(300)] * 2
+    docs = docs_of(spark, texts)
+    rows = minhash.near_duplicates(docs, 3, 85).collect()
+    assert {r["component_id"] for r in rows} == {0} and len(rows) == 600
 
 
 def test_near_duplicates_on_odd_tables(spark, odd, empty):
