@@ -521,7 +521,20 @@ def test_line_dedup(spark, odd, empty):
     out = line_dedup.deduplicated(docs)
     assert out.columns == [c for c in docs.columns if c != "removed"] + ["removed"]
     assert out.where("doc_id = 60").first()["text"] is None
-    assert line_dedup.line_counts(odd).count() == odd.count() and line_dedup.line_counts(empty).count() == 0
+    plain = {(r["doc_id"], r["text"] or ""): (r["n_lines"], r["n_removed"], r["n_spans"]) for r in line_dedup.line_counts(odd).collect()}
+    assert len(plain) == len({(r["doc_id"], r["text"] or "") for r in odd.collect()}) and line_dedup.line_counts(empty).count() == 0
+    for (_, t), counts in plain.items():
+        assert counts == (sum(bool(re.search(WORD, x)) for x in t.split("\n")), 0, 0)
+    # a long text whose second half repeats the first, in runs that blank lines part
+    half = [" " if i % 5 == 0 else f"line {i}" for i in range(40_000)]
+    big = line_dedup.line_counts(docs_of(spark, ["\n".join(half * 2), "short\n\nline 1"])).orderBy("doc_id").collect()
+    assert big[0]["text"] == "\n".join(half + [" "] * 8000) and (big[0]["n_lines"], big[0]["n_removed"], big[0]["n_spans"]) == (64_000, 32_000, 8000)
+    # rows that repeat a doc_id with fewer lines than are removed
+    again = docs_of(spark, [(1, "a\nb\nc\na\nb\nc"), (1, "a\nb\nc\nd")])
+    assert sorted(r["text"] for r in line_dedup.deduplicated(again).collect()) == ["a\nb\nc"] * 2
+    # a row without doc_id comes first and stays
+    first = docs_of(spark, [(1, "a\nb\nc\nd"), (None, "a\nb\nc")])
+    assert sorted(r["text"] for r in line_dedup.deduplicated(first).collect()) == ["a\nb\nc", "d"]
     plans = line_dedup.deduplicated(docs)._jdf.queryExecution().toString()
     assert "Python" not in plans and "Arrow" not in plans
 
