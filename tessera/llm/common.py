@@ -63,6 +63,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what nothing holds any more, upon which Spark deletes the shuffle files of finished
+    jobs; else they stay on the executors' disks until the driver's memory is scarce."""
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,14 +5,19 @@ all suffixes of a corpus would take many times its size, so the sort starts from
 window of `length` bytes, the leftmost position whose 32-byte prefix has the least hash. Equal windows sample the same
 place, so each window is judged with the positions that share its sampled prefix.
 
-1. Positions are sorted by their rank pair: the name of the 32-byte prefix, and the name of the whole text that the
+1. Positions are sorted by their first rank, that of the 32-byte prefix, and by the name of the whole text that the
    position's windows span. A position whose prefix is unique is done. One whose pair is not the first of its kind is
-   covered. The first ones of several kinds go on.
-2. All windows of the positions that go on are sorted by the rank pair of their first half and of the half that
-   follows, at an offset of length / 2: the threshold is reached. All but the first of each pair are covered.
-
-A name is a 64-bit hash, cut to 32 bits as the second of a pair, so that ranks need no renumbering between machines. Each task sorts its own positions first
-and sends one of a kind, so a passage that many documents share reaches any task a few times only.
+   covered. The first ones of several kinds go on, each with the text that its windows span.
+2. Prefix doubling: positions are sorted by the pair of their rank and of the bytes that follow at an offset, which are
+   as many as the rank stands for, and get the pair as their new rank: offsets of 32, 64 and so on until the rank
+   stands for `length` bytes, or no position is left. A position whose pair is unique loses the windows that reach as
+   far as its new rank, as none of them can be found elsewhere. The same is done with what precedes a position.
+3. The windows that are left are sorted by the rank pair of their first half and of the half that follows, at an offset
+   of length / 2. All but the first of each pair are covered.
+
+A rank is a 64-bit hash of the bytes that it stands for, cut to 32 bits as the second of a pair, so that ranks need no
+renumbering between machines. Each task sorts its own positions first and sends one of a kind, so a passage that many
+documents share reaches any task a few times only.
 """
 
 from __future__ import annotations
@@ -24,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, drop_written, mix, pieces, signed, text_bytes, written
+from .common import _powers, drop_written, free_shuffles, mix, pieces, signed, text_bytes, written
 
 _PREFIX = 32
 _PLACE = np.uint64((1 << 20) - 1)
+_LOW = (1 << 32) - 1
 #: A pair's second name keeps 32 bits, which makes 96 with the first.
 _SHORT = np.uint64(0xFFFFFFFF00000000)
 #: Positions that a task sorts at a time before it sends them.
 _CHUNK = 1 << 20
 _ROW = "n1 long, n2 long, doc_id long, lo long, hi long, kind int"
 _FIELDS = ["n1", "n2", "doc_id", "lo", "hi", "kind"]
+#: A position that goes on: where the text that its windows span starts, that text, the first and last windows that are
+#: left, its rank by the context on one side, and the name of the bytes that come next there.
+_OPEN_ROW = "doc_id long, start long, lo long, hi long, at long, span binary, rank long, next long"
 _SAMPLED, _COVERED, _OPEN = 0, 1, 2
 
 
@@ -51,7 +60,8 @@ class Names:
 
 
 def sampled(data: np.ndarray, offs: np.ndarray, length: int):
-    """(first window, last window, n1, n2) of all sampled positions of a piece of less than 2**20 bytes."""
+    """(first window, last window, n1, n2) of all sampled positions of a piece of less than 2**20 bytes; the low bits
+    of n2 are the position behind its first window."""
     n, width = len(data), length - _PREFIX + 1
     none = np.zeros(0, np.int64)
     if n < length:
@@ -75,7 +85,7 @@ def sampled(data: np.ndarray, offs: np.ndarray, length: int):
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
     lo, hi, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], at[new]
     shape = (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return lo, hi, prefix[at], mix(names(lo, hi + length) + shape) & _SHORT
+    return lo, hi, prefix[at], (mix(names(lo, hi + length) + shape) & _SHORT) | (at - lo).astype(np.uint64)
 
 
 def _segments(data: np.ndarray, offs: np.ndarray, length: int):
@@ -171,8 +181,112 @@ def _judged(batches, length, open_too: bool):
         last = (n1[-1], n2[-1], first_doc[-1], first_lo[-1])
 
 
-def _sorted_by_pair(rows: DataFrame) -> DataFrame:
-    return rows.repartition("n1").sortWithinPartitions("n1", "n2", "doc_id", "lo")
+class Contexts:
+    """The spans of a batch of open positions, and names of the bytes around each position."""
+
+    def __init__(self, table: pa.RecordBatch, length: int):
+        self.length, self.table = length, table
+        self.start, self.lo, self.hi, self.at, self.rank, self.next = (table.column(c).to_numpy() for c in ("start", "lo", "hi", "at", "rank", "next"))
+        data, offs = text_bytes(table.column("span"))
+        self.first, self.after = offs[:-1], offs[1:]
+        self.names = Names(data)
+        self.place = self.first + self.at - self.start
+
+    def prefix(self) -> np.ndarray:
+        return signed(self.names(self.place, self.place + _PREFIX))
+
+    def beyond(self, side: int, known: int, reach: int) -> np.ndarray:
+        """Names of the bytes by which a rank of known bytes grows to reach bytes, after the position (side 1) or before
+        it (side -1); at the span's ends fewer."""
+        if side > 0:
+            a, b = self.place + known, self.place + reach
+        else:
+            a, b = self.place + _PREFIX - reach, self.place + _PREFIX - known
+        a, b = (np.clip(x, self.first, self.after) for x in (a, b))
+        return signed(self.names(np.minimum(a, len(self.names.down) - 1), b))
+
+    def shrunk(self, side: int, reach: int, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lo, hi) without the windows that hold the reach bytes of a unique rank."""
+        if side > 0:
+            return self.lo, np.where(unique, np.minimum(self.hi, self.at - self.length + reach - 1), self.hi)
+        return np.where(unique, np.maximum(self.lo, self.at - (reach - _PREFIX) + 1), self.lo), self.hi
+
+    def rows(self, keep, lo, hi, rank, following) -> pa.RecordBatch:
+        t = self.table
+        out = [t.column("doc_id"), t.column("start"), pa.array(lo), pa.array(hi), t.column("at"), t.column("span"), pa.array(rank), pa.array(following)]
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "lo", "hi", "at", "span", "rank", "next"]).filter(pa.array(keep))
+
+    def windows(self):
+        """(n1, n2, doc_id, start) of all windows that are left: the names of their halves."""
+        counts = self.hi - self.lo + 1
+        row = np.repeat(np.arange(len(counts)), counts)
+        p = self.lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        a, half = self.first[row] + p - self.start[row], self.length // 2
+        return self.names(a, a + half), self.names(a + half, a + self.length) & _SHORT, self.table.column("doc_id").to_numpy()[row], p
+
+
+def _with_repeats(batches):
+    """(table, whether each row's (rank, next) is that of another row) of sorted batches; the last row of each batch
+    waits for the next one."""
+    held, was = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+        rank, following = (t.column(c).to_numpy() for c in ("rank", "next"))
+        same = (rank[1:] == rank[:-1]) & (following[1:] == following[:-1])
+        repeated = np.concatenate((same, [False])) | np.concatenate(([was], same))
+        was = bool(repeated[-1])
+        held = t.slice(t.num_rows - 1)
+        if t.num_rows > 1:
+            yield t.slice(0, t.num_rows - 1), repeated[:-1]
+    if held is not None:
+        yield held, np.array([was])
+
+
+def doubled(positions: DataFrame, length: int, parts: int) -> DataFrame:
+    """positions (_OPEN_ROW, with their first ranks) without the windows that prefix doubling finds to be unique."""
+    for side in (1, -1):
+        known = _PREFIX
+        while known < length:
+            reach = min(2 * known, length)
+            after = min(2 * reach, length)
+
+            def rerank(batches, side=side, known=known, reach=reach, after=after):
+                for table, repeated in _with_repeats(batches):
+                    c = Contexts(table, length)
+                    lo, hi = c.shrunk(side, reach, ~repeated)
+                    if reach < length:
+                        rank, following = signed(mix(c.rank.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.next.view(np.uint64))), c.beyond(side, reach, after)
+                    else:  # the other side starts anew
+                        rank, following = c.prefix(), c.beyond(-1, _PREFIX, min(2 * _PREFIX, length))
+                    yield c.rows(lo <= hi, lo, hi, rank, following)
+
+            before = positions
+            positions = written(_dealt(positions, "rank", parts).sortWithinPartitions("rank", "next").mapInArrow(rerank, _OPEN_ROW), f"offset-{known}")
+            drop_written(before)
+            free_shuffles(positions.sparkSession)
+            if positions.isEmpty():
+                return positions
+            known = reach
+    return positions
+
+
+def _dealt(rows: DataFrame, by: str, parts: int) -> DataFrame:
+    """rows dealt by a column to parts, or to the session's number where that is enough."""
+    enough = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= parts
+    return rows.repartition(by) if enough else rows.repartition(parts, by)
+
+
+def _parts(docs: DataFrame) -> int:
+    """Partitions for the positions of docs: some 64 MB each, by the plan's estimate of the input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a plan without an estimate says 2**63 - 1 or a product of it
+    return 1 if size >= 1 << 60 else max(1, min(100_000, -(-3 * size // (64 << 20))))
+
+
+def _sorted_by_pair(rows: DataFrame, parts: int) -> DataFrame:
+    return _dealt(rows, "n1", parts).sortWithinPartitions("n1", "n2", "doc_id", "lo")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -186,6 +300,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): doc_id and text of documents with something covered; (doc_id, lo, hi) of what is, unmerged.
     Both are written. rows: what _documents returns."""
+    spark, parts = rows.sparkSession, _parts(rows)
 
     def sample(batches):
         def found():
@@ -206,27 +321,41 @@ def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFram
     def finish(batches):
         return _judged(batches, length, open_too=False)
 
-    first = written(_sorted_by_pair(rows.mapInArrow(sample, _ROW)).mapInArrow(settle, _ROW).select("doc_id", "lo", "hi", "kind"), "judged")
-    by_doc = first.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == _OPEN, F.struct("lo", "hi"))).alias("open"))
+    judged = _sorted_by_pair(rows.mapInArrow(sample, _ROW), parts).mapInArrow(settle, _ROW)
+    first = written(judged.select("doc_id", "lo", "hi", F.col("n2").bitwiseAND(_LOW).alias("behind"), "kind"), "offset-0")
+    free_shuffles(spark)
+    by_doc = first.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == _OPEN, F.struct("lo", "hi", "behind"))).alias("open"))
     texts = written(rows.join(by_doc.hint("merge"), "doc_id"), "texts")
+    free_shuffles(spark)
+
+    def contexts(batches):
+        for batch in batches:
+            data, offs = text_bytes(batch.column("text"))
+            for d, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("open").to_pylist())):
+                text = data[offs[d] : offs[d + 1]].tobytes()
+                for at in range(0, len(ranges), 10_000):
+                    part = ranges[at : at + 10_000]
+                    lo, hi, behind = (np.array([r[n] for r in part], np.int64) for n in ("lo", "hi", "behind"))
+                    none = pa.array(np.zeros(len(part), np.int64))
+                    spans = pa.array([text[a : b + length] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
+                    c = Contexts(pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc, np.int64)), pa.array(lo), pa.array(lo), pa.array(hi), pa.array(lo + behind), spans, none, none], ["doc_id", "start", "lo", "hi", "at", "span", "rank", "next"]), length)
+                    yield c.rows(np.ones(len(part), bool), lo, hi, c.prefix(), c.beyond(1, _PREFIX, min(2 * _PREFIX, length)))
 
     def windows(batches):
         def found():
             for batch in batches:
-                data, offs = text_bytes(batch.column("text"))
-                ids = batch.column("doc_id").to_numpy()
-                for d, ranges in enumerate(batch.column("open").to_pylist()):
-                    if ranges:
-                        names = Names(data[offs[d] : offs[d + 1]])
-                        for at in range(0, len(ranges), 1000):
-                            p = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges[at : at + 1000]])
-                            yield names(p, p + length // 2), names(p + length // 2, p + length) & _SHORT, np.full(len(p), ids[d]), p, p
+                for at in range(0, batch.num_rows, 2000):
+                    n1, n2, doc, p = Contexts(batch.slice(at, 2000), length).windows()
+                    yield n1, n2, doc, p, p
 
         yield from _collected(found(), length)
 
-    second = _sorted_by_pair(texts.where(F.size("open") > 0).mapInArrow(windows, _ROW)).mapInArrow(finish, _ROW)
+    positions = written(texts.where(F.size("open") > 0).select("doc_id", "text", "open").mapInArrow(contexts, _OPEN_ROW), "positions")
+    left = doubled(positions, length, parts)
+    second = _sorted_by_pair(left.mapInArrow(windows, _ROW), parts).mapInArrow(finish, _ROW)
     spans = written(first.where(F.col("kind") == _COVERED).select("doc_id", "lo", "hi").unionByName(second.select("doc_id", "lo", "hi")), "spans")
-    drop_written(first)
+    free_shuffles(spark)
+    drop_written(first, left)
     return texts.select("doc_id", "text"), spans
 
 

@@ -314,6 +314,29 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert kept == {i: v[3] for i, v in brute_repeats(rows, 100).items()}
 
 
+def test_prefix_doubling_leaves_what_may_repeat(spark, monkeypatch):
+    """Near copies that differ in one place: the windows that are left after the offsets 32 and 64 are few more than
+    those that repeat, and none of these is lost."""
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh "), 3000))
+    texts = [base] + [base[: 400 * i] + "#" + base[400 * i + 1 :] for i in range(1, 7)]
+    counts = {}
+
+    def counted(positions, length, parts):
+        out = whole(positions, length, parts)
+        total = lambda df: df.selectExpr("sum(hi - lo + 1)").first()[0]
+        counts["before"], counts["after"] = total(positions_copy[0]), total(out)
+        return out
+
+    whole, positions_copy = suffix_dedup.doubled, []
+    monkeypatch.setattr(suffix_dedup, "drop_written", lambda *a: None)
+    monkeypatch.setattr(suffix_dedup, "doubled", lambda p, n, m: (positions_copy.append(p), counted(p, n, m))[1])
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeats(docs_of(spark, rows)).collect()}
+    assert got == brute_repeats(rows, 100)
+    assert counts["after"] < counts["before"]
+
+
 def test_suffix_dedup_on_odd_tables(spark, odd, empty):
     rows = {r["doc_id"]: r for r in suffix_dedup.repeats(odd).collect()}
     assert len(rows) == odd.where("doc_id is not null").select("doc_id").distinct().count()
