@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, WordRule, drop_written, id_text, mix, pieces, shingle_hashes, signed, text_bytes, written
@@ -151,9 +151,14 @@ class Family:
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 17
 
 
-def _blocks(size: str) -> Column:
-    """How many blocks the rows of a group are dealt to by their hash."""
-    return F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int")
+def _in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (hub, member, size, ...) with blocks and block, by the hash of the member; (hub, blocks) of all hubs.
+
+    Only families of several blocks are joined back, from a written table, so that the rows of a large one can be split."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(rows.groupBy("hub").agg(blocks.alias("blocks")), "sizes")
+    dealt = rows.join(sizes.where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return dealt.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")), sizes
 
 
 def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -177,9 +182,9 @@ def _link_table(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
 
 def hub_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
     """Links (a, b) of members with their hubs; pairs (member, hub, size). One row and one text for each pair."""
-    sizes = pairs.groupBy("hub").agg(_blocks("size").alias("blocks"))
-    rows = pairs.join(sizes, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    rows, sizes = _in_blocks(pairs)
     hubs = sizes.select("hub", F.col("hub").alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = rows.select("hub", "member", "block")
 
     def run(key, group):
         ids = group.column("member").to_numpy()
@@ -193,8 +198,7 @@ def hub_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bo
 def block_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
     """Links (a, b) that connect what is linked between different components of each family; rows (hub, member,
     component, size)."""
-    sizes = rows.groupBy("hub").agg(_blocks("size").alias("blocks"))
-    dealt = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    dealt, _ = _in_blocks(rows)
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("at")
     dealt = dealt.select("hub", "member", "component", "block", meet).select("hub", "member", "component", "block", "at.i", "at.j")
 

@@ -44,6 +44,7 @@ _FIELDS = ["n1", "n2", "doc_id", "lo", "hi", "kind"]
 #: left, its rank by the context on one side, and the name of the bytes that come next there.
 _OPEN_ROW = "doc_id long, start long, lo long, hi long, at long, span binary, rank long, next long"
 _SAMPLED, _COVERED, _OPEN = 0, 1, 2
+_ALONE, _SEVERAL, _MARK = 0, 1, 2
 
 
 class Names:
@@ -51,7 +52,7 @@ class Names:
 
     def __init__(self, data: np.ndarray):
         codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-        self.down = _powers(len(data) + 1)[1]
+        self.down = _powers(len(data) + 1)[1]  # has a place for the end of the data
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(codes[data] * _powers(len(data) + 1)[0][: len(data)], out=self.total[1:])
 
@@ -203,7 +204,7 @@ class Contexts:
         else:
             a, b = self.place + _PREFIX - reach, self.place + _PREFIX - known
         a, b = (np.clip(x, self.first, self.after) for x in (a, b))
-        return signed(self.names(np.minimum(a, len(self.names.down) - 1), b))
+        return signed(self.names(a, b))
 
     def shrunk(self, side: int, reach: int, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lo, hi) without the windows that hold the reach bytes of a unique rank."""
@@ -244,6 +245,28 @@ def _with_repeats(batches):
         yield held, np.array([was])
 
 
+def _one_of_a_pair(batches):
+    """Open positions with where to deal them: a position that is alone with its rank pair in the batch goes to its pair,
+    as does a mark for each pair that several have; these go anywhere, as they are known to repeat. So a pair that very
+    many positions have meets in one place a few times only."""
+    for batch in batches:
+        rank, following = (batch.column(c).to_numpy() for c in ("rank", "next"))
+        order = np.lexsort((following, rank))
+        same = (rank[order][1:] == rank[order][:-1]) & (following[order][1:] == following[order][:-1])
+        again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        several = np.zeros(len(rank), bool)
+        several[order] = again
+        pair = signed(mix(rank.view(np.uint64) + following.view(np.uint64)))
+        own = signed(mix(batch.column("doc_id").to_numpy().view(np.uint64) ^ mix(batch.column("at").to_numpy().astype(np.uint64))))
+        deal, kind = np.where(several, own, pair), np.where(several, _SEVERAL, _ALONE).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deal), pa.array(kind)], [*batch.schema.names, "deal", "kind"])
+        marked = order[again & ~np.concatenate(([False], same))]
+        if len(marked):
+            t = batch.take(pa.array(marked))
+            spans = pa.array([b""] * len(marked), pa.binary())
+            yield pa.RecordBatch.from_arrays([spans if n == "span" else t.column(n) for n in t.schema.names] + [pa.array(pair[marked]), pa.array(np.full(len(marked), _MARK, np.int32))], [*batch.schema.names, "deal", "kind"])
+
+
 def doubled(positions: DataFrame, length: int, parts: int) -> DataFrame:
     """positions (_OPEN_ROW, with their first ranks) without the windows that prefix doubling finds to be unique."""
     for side in (1, -1):
@@ -254,8 +277,10 @@ def doubled(positions: DataFrame, length: int, parts: int) -> DataFrame:
 
             def rerank(batches, side=side, known=known, reach=reach, after=after):
                 for table, repeated in _with_repeats(batches):
-                    c = Contexts(table, length)
-                    lo, hi = c.shrunk(side, reach, ~repeated)
+                    kind = table.column("kind").to_numpy()
+                    unique = (~repeated & (kind == _ALONE))[kind != _MARK]
+                    c = Contexts(table.filter(pa.array(kind != _MARK)), length)
+                    lo, hi = c.shrunk(side, reach, unique)
                     if reach < length:
                         rank, following = signed(mix(c.rank.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.next.view(np.uint64))), c.beyond(side, reach, after)
                     else:  # the other side starts anew
@@ -263,7 +288,8 @@ def doubled(positions: DataFrame, length: int, parts: int) -> DataFrame:
                     yield c.rows(lo <= hi, lo, hi, rank, following)
 
             before = positions
-            positions = written(_dealt(positions, "rank", parts).sortWithinPartitions("rank", "next").mapInArrow(rerank, _OPEN_ROW), f"offset-{known}")
+            sent = positions.mapInArrow(_one_of_a_pair, f"{_OPEN_ROW}, deal long, kind int")
+            positions = written(_dealt(sent, "deal", parts).sortWithinPartitions("rank", "next").mapInArrow(rerank, _OPEN_ROW), f"offset-{known}")
             drop_written(before)
             free_shuffles(positions.sparkSession)
             if positions.isEmpty():
@@ -331,15 +357,21 @@ def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFram
     def contexts(batches):
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
-            for d, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("open").to_pylist())):
-                text = data[offs[d] : offs[d + 1]].tobytes()
-                for at in range(0, len(ranges), 10_000):
-                    part = ranges[at : at + 10_000]
-                    lo, hi, behind = (np.array([r[n] for r in part], np.int64) for n in ("lo", "hi", "behind"))
-                    none = pa.array(np.zeros(len(part), np.int64))
-                    spans = pa.array([text[a : b + length] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
-                    c = Contexts(pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc, np.int64)), pa.array(lo), pa.array(lo), pa.array(hi), pa.array(lo + behind), spans, none, none], ["doc_id", "start", "lo", "hi", "at", "span", "rank", "next"]), length)
-                    yield c.rows(np.ones(len(part), bool), lo, hi, c.prefix(), c.beyond(1, _PREFIX, min(2 * _PREFIX, length)))
+            lists = batch.column("open")
+            ends = lists.offsets.to_numpy()
+            inner = lists.values.slice(ends[0], ends[-1] - ends[0]).flatten()
+            doc = np.repeat(np.arange(len(lists)), np.diff(ends))
+            lo, hi, behind = (x.to_numpy() for x in inner)
+            for at in range(0, len(doc), 10_000):
+                d, a, b, c = (x[at : at + 10_000] for x in (doc, lo, hi, behind))
+                size = b + length - a
+                edge = np.concatenate(([0], np.cumsum(size)))
+                body = data[np.arange(edge[-1]) + np.repeat(offs[d] + a - edge[:-1], size)]
+                spans = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(body)])
+                none = pa.array(np.zeros(len(d), np.int64))
+                ids = batch.column("doc_id").take(pa.array(d))
+                c = Contexts(pa.RecordBatch.from_arrays([ids, pa.array(a), pa.array(a), pa.array(b), pa.array(a + c), spans, none, none], ["doc_id", "start", "lo", "hi", "at", "span", "rank", "next"]), length)
+                yield c.rows(np.ones(len(d), bool), a, b, c.prefix(), c.beyond(1, _PREFIX, min(2 * _PREFIX, length)))
 
     def windows(batches):
         def found():
