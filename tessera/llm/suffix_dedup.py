@@ -41,8 +41,8 @@ _CHUNK = 1 << 20
 _ROW = "n1 long, n2 long, doc_id long, lo long, hi long, kind int"
 _FIELDS = ["n1", "n2", "doc_id", "lo", "hi", "kind"]
 #: A position that goes on: where the text that its windows span starts, that text, the first and last windows that are
-#: left, its rank by the context on one side, and the name of the bytes that come next there.
-_OPEN_ROW = "doc_id long, start long, lo long, hi long, at long, span binary, rank long, next long"
+#: left, its rank by the context on one side, the name of the bytes that come next there, and where it is dealt, see _dealt_rows.
+_OPEN_ROW = "doc_id long, start long, lo long, hi long, at long, span binary, rank long, next long, deal long, kind int"
 _SAMPLED, _COVERED, _OPEN = 0, 1, 2
 _ALONE, _SEVERAL, _MARK = 0, 1, 2
 
@@ -245,26 +245,28 @@ def _with_repeats(batches):
         yield held, np.array([was])
 
 
-def _one_of_a_pair(batches):
+def _dealt_rows(batch: pa.RecordBatch):
     """Open positions with where to deal them: a position that is alone with its rank pair in the batch goes to its pair,
     as does a mark for each pair that several have; these go anywhere, as they are known to repeat. So a pair that very
     many positions have meets in one place a few times only."""
-    for batch in batches:
-        rank, following = (batch.column(c).to_numpy() for c in ("rank", "next"))
-        order = np.lexsort((following, rank))
-        same = (rank[order][1:] == rank[order][:-1]) & (following[order][1:] == following[order][:-1])
-        again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        several = np.zeros(len(rank), bool)
-        several[order] = again
-        pair = signed(mix(rank.view(np.uint64) + following.view(np.uint64)))
-        own = signed(mix(batch.column("doc_id").to_numpy().view(np.uint64) ^ mix(batch.column("at").to_numpy().astype(np.uint64))))
-        deal, kind = np.where(several, own, pair), np.where(several, _SEVERAL, _ALONE).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deal), pa.array(kind)], [*batch.schema.names, "deal", "kind"])
-        marked = order[again & ~np.concatenate(([False], same))]
-        if len(marked):
-            t = batch.take(pa.array(marked))
-            spans = pa.array([b""] * len(marked), pa.binary())
-            yield pa.RecordBatch.from_arrays([spans if n == "span" else t.column(n) for n in t.schema.names] + [pa.array(pair[marked]), pa.array(np.full(len(marked), _MARK, np.int32))], [*batch.schema.names, "deal", "kind"])
+    if not batch.num_rows:
+        return
+    rank, following = (batch.column(c).to_numpy() for c in ("rank", "next"))
+    order = np.lexsort((following, rank))
+    same = (rank[order][1:] == rank[order][:-1]) & (following[order][1:] == following[order][:-1])
+    again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    several = np.zeros(len(rank), bool)
+    several[order] = again
+    pair = signed(mix(rank.view(np.uint64) + following.view(np.uint64)))
+    own = signed(mix(batch.column("doc_id").to_numpy().view(np.uint64) ^ mix(batch.column("at").to_numpy().astype(np.uint64))))
+    deal, kind = np.where(several, own, pair), np.where(several, _SEVERAL, _ALONE).astype(np.int32)
+    names = [*batch.schema.names, "deal", "kind"]
+    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deal), pa.array(kind)], names)
+    marked = order[again & ~np.concatenate(([False], same))]
+    if len(marked):
+        t = batch.take(pa.array(marked))
+        spans = pa.array([b""] * len(marked), pa.binary())
+        yield pa.RecordBatch.from_arrays([spans if n == "span" else t.column(n) for n in t.schema.names] + [pa.array(pair[marked]), pa.array(np.full(len(marked), _MARK, np.int32))], names)
 
 
 def doubled(positions: DataFrame, length: int, parts: int) -> DataFrame:
@@ -285,11 +287,10 @@ def doubled(positions: DataFrame, length: int, parts: int) -> DataFrame:
                         rank, following = signed(mix(c.rank.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.next.view(np.uint64))), c.beyond(side, reach, after)
                     else:  # the other side starts anew
                         rank, following = c.prefix(), c.beyond(-1, _PREFIX, min(2 * _PREFIX, length))
-                    yield c.rows(lo <= hi, lo, hi, rank, following)
+                    yield from _dealt_rows(c.rows(lo <= hi, lo, hi, rank, following))
 
             before = positions
-            sent = positions.mapInArrow(_one_of_a_pair, f"{_OPEN_ROW}, deal long, kind int")
-            positions = written(_dealt(sent, "deal", parts).sortWithinPartitions("rank", "next").mapInArrow(rerank, _OPEN_ROW), f"offset-{known}")
+            positions = written(_dealt(positions, "deal", parts).sortWithinPartitions("rank", "next").mapInArrow(rerank, _OPEN_ROW), f"offset-{known}")
             drop_written(before)
             free_shuffles(positions.sparkSession)
             if positions.isEmpty():
@@ -371,7 +372,7 @@ def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFram
                 none = pa.array(np.zeros(len(d), np.int64))
                 ids = batch.column("doc_id").take(pa.array(d))
                 c = Contexts(pa.RecordBatch.from_arrays([ids, pa.array(a), pa.array(a), pa.array(b), pa.array(a + c), spans, none, none], ["doc_id", "start", "lo", "hi", "at", "span", "rank", "next"]), length)
-                yield c.rows(np.ones(len(d), bool), a, b, c.prefix(), c.beyond(1, _PREFIX, min(2 * _PREFIX, length)))
+                yield from _dealt_rows(c.rows(np.ones(len(d), bool), a, b, c.prefix(), c.beyond(1, _PREFIX, min(2 * _PREFIX, length))))
 
     def windows(batches):
         def found():
@@ -384,7 +385,7 @@ def touched_documents(rows: DataFrame, length: int) -> tuple[DataFrame, DataFram
 
     positions = written(texts.where(F.size("open") > 0).select("doc_id", "text", "open").mapInArrow(contexts, _OPEN_ROW), "positions")
     left = doubled(positions, length, parts)
-    second = _sorted_by_pair(left.mapInArrow(windows, _ROW), parts).mapInArrow(finish, _ROW)
+    second = _sorted_by_pair(left.where(F.col("kind") != _MARK).mapInArrow(windows, _ROW), parts).mapInArrow(finish, _ROW)
     spans = written(first.where(F.col("kind") == _COVERED).select("doc_id", "lo", "hi").unionByName(second.select("doc_id", "lo", "hi")), "spans")
     free_shuffles(spark)
     drop_written(first, left)
