@@ -518,6 +518,48 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(r["record_type"] for r in warc.round_trip(nameless).collect()) == ["response"] * 3
 
 
+def test_archives_of_others(spark, tmp_path):
+    """A hand-made archive: other record types and ids, several records in a member, digests that are missing, wrong,
+    hexadecimal or of another kind, a damaged member and a cut end."""
+
+    def record(kind, block, end="\r\n", **fields):
+        head = {"WARC-Type": kind, "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in fields.items()}}
+        return ("WARC/1.1" + end + end.join(f"{k}: {v}" for k, v in head.items()) + end + end).encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    info = record("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:1>", Content_Type="application/warc-fields")
+    ask = record("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", WARC_Record_ID="<urn:uuid:2>", Content_Type="application/http; msgtype=request")
+    plain = record("response", http + b"body", WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="http://h/", Content_Type="application/http; msgtype=response")
+    good = record("response", http + b"body", "\n", warc_record_id="<urn:uuid:4>", WARC_Payload_Digest=f"sha1:{sha}")
+    wrong = record("response", http + b"body", WARC_Record_ID="<urn:uuid:5>", WARC_Payload_Digest=f"sha1:{sha[::-1]}")
+    hexed = record("resource", b"body", WARC_Record_ID="<urn:uuid:6>", WARC_Payload_Digest="sha256:" + hashlib.sha256(b"body").hexdigest())
+    other = record("resource", b"body", WARC_Record_ID="<urn:uuid:7>", WARC_Payload_Digest="blake3:abc", WARC_Target_URI="dns:h\r\n and more")
+    again = record("revisit", http.replace(b"\r\n\r\n", b"\r\ncontent-length: 4\r\n\r\n"), WARC_Record_ID="<urn:uuid:8>", WARC_Refers_To="<urn:uuid:4>", WARC_Payload_Digest=f"sha1:{sha}")
+    bare = record("revisit", b"", WARC_Record_ID="<urn:uuid:9>")
+    noisy = record("resource", np.random.default_rng(0).bytes(5000), WARC_Record_ID="<urn:uuid:10>")
+    packed = gzip.compress(noisy)
+    damaged = packed[:2500] + bytes(200) + packed[2700:]
+    data = b"".join([gzip.compress(info + ask), gzip.compress(plain), b"between", gzip.compress(good), gzip.compress(wrong), gzip.compress(hexed), gzip.compress(other), gzip.compress(again + bare), damaged, gzip.compress(record("metadata", b"", WARC_Record_ID="<urn:uuid:11>")), packed[:3000]])
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    for split in (8 << 20, 300):
+        rows = collections.Counter()
+        for r in warc.read_archives(spark, warc.archive_files(spark, str(tmp_path / "*.gz")), split).collect():
+            rows[(r["record_id"], r["record_type"], r["payload_bytes"] if r["problem"] != "truncated" else "cut", r["problem"])] += 1
+            if r["payload"] == b"body":
+                assert r["payload_digest"] == sha
+            if r["record_id"] == "<urn:uuid:8>":
+                assert r["payload_digest"] == sha and r["refers_to_id"] == "<urn:uuid:4>" and r["payload"] is None and r["refers_to"] is None
+            if r["record_id"] == "<urn:uuid:7>":
+                assert r["url"] == "dns:h and more" and r["digest"] == "blake3:abc"
+        uuid = lambda n: f"<urn:uuid:{n}>"
+        assert rows == collections.Counter({
+            (uuid(1), "warcinfo", 13, None): 1, (uuid(2), "request", 0, None): 1, (uuid(3), "response", 4, None): 1, (uuid(4), "response", 4, None): 1, (uuid(5), "response", 4, "digest"): 1,
+            (uuid(6), "resource", 4, None): 1, (uuid(7), "resource", 4, None): 1, (uuid(8), "revisit", 4, None): 1, (uuid(9), "revisit", None, None): 1,
+            (uuid(10), "resource", "cut", "truncated"): 2, (uuid(11), "metadata", 0, None): 1,
+        })
+
+
 # ---- lines ------------------------------------------------------------------------------
 
 
