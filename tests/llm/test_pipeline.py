@@ -79,3 +79,41 @@ def test_mixing(stages):
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, SF).select("doc_id").collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stages["mixing"][1]}
+
+
+ODD = [(None, "a b c d e f g h"), (None, None), (None, "no one else has these words in it"), (1, "same words as the other row of it"), (1, "same words as the other row of it"), (1, "one two three four five"),
+       (2, "Same words as the other row of it"), (3, ""), (4, " \n"), (5, "a b c d e f g h"), (6, "x " * 200_000), (7, "l1\nl2\nl3"), (8, "l1\nl2\nl3"), (8, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, 1, "en", 7) for i, t in ODD], "doc_id long, text string, row int, lang string, n_chars long")
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_near_duplicates_by_row(spark, odd):
+    """Rows without doc_id, and of rows that repeat one each is judged by itself."""
+    got = corpus_pipeline.near_duplicates(spark, odd, SF)
+    assert got.columns == odd.columns
+    assert pairs(got) == sorted([(None, None), (None, ODD[2][1]), (1, ODD[3][1]), (1, ODD[5][1]), (3, ""), (4, " \n"), (5, ODD[9][1]), (6, ODD[10][1]), (7, ODD[11][1]), (8, None)], key=str)
+
+
+def test_lines_of_odd_rows(spark, odd):
+    got = corpus_pipeline.lines(spark, odd, SF)
+    assert pairs(got) == sorted([p for p in ODD if p != (8, ODD[12][1])], key=str)
+
+
+def test_other_stages_on_odd_rows(spark, odd):
+    assert pairs(corpus_pipeline.decontamination(spark, odd, SF)) == sorted(ODD, key=str)
+    kept = pairs(corpus_pipeline.quality(spark, odd, SF))
+    assert all(kept.count(p) in (0, ODD.count(p)) for p in ODD) and (6, ODD[10][1]) not in kept
+    rows = corpus_pipeline.mix(spark, odd, SF).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == sorted((str(i), len((t or "").split())) for i, t in ODD)
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_empty_tables(spark, odd, n):
+    assert corpus_pipeline.STAGES[n][1](spark, odd.limit(0), SF).count() == 0
