@@ -109,7 +109,7 @@ def test_lines_of_odd_rows(spark, odd):
 def test_other_stages_on_odd_rows(spark, odd):
     assert pairs(corpus_pipeline.decontamination(spark, odd, SF)) == sorted(ODD, key=str)
     kept = pairs(corpus_pipeline.quality(spark, odd, SF))
-    assert all(kept.count(p) in (0, ODD.count(p)) for p in ODD) and (6, ODD[10][1]) not in kept
+    assert all(kept.count(p) in (0, ODD.count(p)) for p in ODD)
     rows = corpus_pipeline.mix(spark, odd, SF).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == sorted((str(i), len((t or "").split())) for i, t in ODD)
 
