@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that carry no evidence about a topic.
-STOP_WORDS = "the a an and or of to in for on with at by from is are was were be this that".split()
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
 
 
 def _plain_latin() -> tuple[str, str]:
@@ -26,11 +26,37 @@ def nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKD", t))
 
 
-def strip_accents(text: Column, any_script: bool = False) -> Column:
-    """Without accents: Latin letters by a table in the JVM, any_script by decomposition and dropping of marks."""
-    if any_script:
-        return F.regexp_replace(nfkd(text), r"\p{M}+", "")
-    return F.translate(text, *_plain_latin())
+@F.pandas_udf(StringType())
+def nfkd_without_marks(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks, in Arrow batches."""
+    return texts.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def _own_form() -> str:
+    """Of U+0080 to U+2FFF, the characters that are their own decomposition, as the inside of a character class."""
+    own = [c for c in range(0x80, 0x3000) if unicodedata.normalize("NFKD", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]
+    runs, start = [], None
+    for c, after in zip(own, own[1:] + [None]):
+        start = c if start is None else start
+        if after != c + 1:
+            runs.append(f"\\x{{{start:x}}}-\\x{{{c:x}}}")
+            start = None
+    return "".join(runs)
+
+
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition. Only texts with characters that have one leave the JVM."""
+    other = text.rlike(r"[^\x00-\x7f]") & text.rlike(f"[^\\x00-\\x7f{_own_form()}]")
+    return F.when(other, nfkd(F.when(other, text))).otherwise(text)
+
+
+def strip_accents(text: Column) -> Column:
+    """Compatibility decomposition without combining marks: Latin letters by a table in the JVM, only texts with other
+    characters that have a decomposition leave it."""
+    accented, plain = _plain_latin()
+    # letters of Latin-1 are in the table or their own form, which one short class tells
+    other = text.rlike(r"[^\x00-\x7f\xc0-\xff]") & text.rlike(f"[^\\x00-\\x7f{accented}{_own_form()}]")
+    return F.when(other, nfkd_without_marks(F.when(other, text))).otherwise(F.translate(text, accented, plain))
 
 
 def squeeze(text: Column) -> Column:
@@ -38,12 +64,13 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize(text: Column, accents: bool = True, lower: bool = True, punctuation: bool = True, any_script: bool = False) -> Column:
-    """Comparison form; a null is empty. Punctuation becomes a space."""
+def normalize(text: Column, accents: bool = True, lower: bool = True, punctuation: bool = True) -> Column:
+    """Comparison form, always decomposed; a null is empty. accents and punctuation: take out accents, and make
+    punctuation (and marks, where accents are kept) a space."""
     out = F.trim(F.coalesce(text, F.lit("")))
-    out = strip_accents(out, any_script) if accents else out
+    out = strip_accents(out) if accents else decomposed(out)
     out = F.lower(out) if lower else out
-    out = F.regexp_replace(out, r"(?U)[^\w\s]", " ") if punctuation else out
+    out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s]", " ") if punctuation else out
     return squeeze(out)
 
 
@@ -51,7 +78,7 @@ def clean(text: Column, lower: bool = True, punctuation: bool = True) -> Column:
     """Like normalize, but punctuation vanishes and accents stay."""
     out = squeeze(F.coalesce(text, F.lit("")))
     out = F.lower(out) if lower else out
-    return squeeze(F.regexp_replace(out, r"(?U)[^\w\s]", "")) if punctuation else out
+    return squeeze(F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s]", "")) if punctuation else out
 
 
 def tokens(text: Column) -> Column:
@@ -115,8 +142,11 @@ def with_typo(text: Column) -> Column:
 
 
 def holdout_variants(name: Column) -> Column:
-    """Labelled perturbations of a name in a fixed order."""
-    forms = [("typo", with_typo(name)), ("clean", clean(name)), ("no_parentheses", without_parentheses(name)), ("first_clause", first_clause(name)), ("upper", F.upper(name))]
+    """Labelled perturbations of a name in a fixed order, each cleaned."""
+    forms = [
+        ("typo", clean(with_typo(clean(name)))), ("remove_parenthetical", clean(without_parentheses(name))), ("ampersand_expanded", clean(F.replace(name, F.lit("&"), F.lit(" and ")))),
+        ("first_clause", clean(first_clause(name))), ("normalized_verbatim", clean(name)),
+    ]
     return F.array(*[F.struct(F.lit(n).alias("variant"), v.alias("text")) for n, v in forms])
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.functions import text as T
 from tessera.operators.matching import ranked
+from tessera.operators.order import cut
 
 
 def first_entities(queries: DataFrame, entities: DataFrame, k: int) -> DataFrame:
@@ -18,42 +21,107 @@ def first_entities(queries: DataFrame, entities: DataFrame, k: int) -> DataFrame
     return queries.join(F.broadcast(top), how="inner").select("query_id", F.posexplode("ids").alias("p", "id")).select("query_id", (F.col("p") + 1).alias("rank"), "id")
 
 
+#: Distinct tokens of the queries, and numbers of the matrix of a block of queries, that a task holds at most.
+QUERY_TOKENS, BLOCK_CELLS = 2_000_000, 8_000_000
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, rank, id, score): Okapi scores over white-space tokens, zero scores left out.
 
-    A negative idf becomes epsilon times the mean idf. Only tokens that the queries have are joined."""
+    A negative idf becomes epsilon times the mean idf. One pass counts documents and their tokens, with partial sums; in
+    a second one each task holds the queries' tokens and multiplies its documents' counts by their weights, block by
+    block, of which only k rows a query leave it. ValueError beyond QUERY_TOKENS of all queries together."""
     words = docs.select("id", T.spaced_tokens(F.col("text")).alias("words"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_len")).first()
-    n, mean_len = sizes["n"], sizes["mean_len"] or 1.0
-    tf = words.select("id", F.size("words").alias("len"), F.explode("words").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # the empty token, which no text has, counts the documents and all their tokens
+    seen = words.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("token"), F.size("words").alias("len"))
+    df = cut(seen.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token") == "", F.col("len"))).alias("total")))
+    total = df.where("token = ''").select("df", "total").first()
+    n, mean_len = (total["df"], (total["total"] or 0) / total["df"] or 1.0) if total else (0, 1.0)
+    df = df.where("token <> ''").withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean_idf = df.agg(F.avg("raw")).first()[0] or 0.0
     idf = df.select("token", F.when(F.col("raw") < 0, epsilon * mean_idf).otherwise(F.col("raw")).alias("idf"))
     q = queries.select("query_id", F.explode(T.spaced_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    rows = q.join(idf, "token").join(tf, "token")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len))
-    scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    rows = q.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")).orderBy("query_id", "token").limit(QUERY_TOKENS + 1).toArrow()
+    if len(rows) > QUERY_TOKENS:
+        raise ValueError(f"more than {QUERY_TOKENS} tokens of queries: score them in parts")
+    shared = docs.sparkSession.sparkContext.broadcast(_blocks(rows))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column("words")
+                size = np.diff(lists.offsets.to_numpy())
+                doc = np.repeat(np.arange(len(size)), size)
+                tokens = lists.flatten()
+                norm = k1 * (1 - b + b * size / mean_len)
+                for ids, vocabulary, weights in shared.value:
+                    place = pc.index_in(tokens, vocabulary)
+                    there = place.is_valid().to_numpy(zero_copy_only=False)
+                    if not there.any():
+                        continue
+                    cell = doc[there] * len(vocabulary) + place.filter(pa.array(there)).to_numpy()
+                    tf = np.bincount(cell, minlength=len(size) * len(vocabulary)).reshape(len(size), -1).astype(np.float64)
+                    yield from _best((tf * (k1 + 1) / (tf + norm[:, None])) @ weights, ids, part.column("id"), k)
+
+    id_, query_id = words.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    scores = words.where(F.size("words") > 0).mapInArrow(run, f"query_id {query_id}, id {id_}, score double")
     return ranked(scores, k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _blocks(rows: pa.Table) -> list[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(ids, tokens, matrix of weights, tokens by ids) of rows (query_id, token, w), some queries at a time."""
+    out = []
+    ids = rows["query_id"].combine_chunks()
+    starts = np.flatnonzero(np.concatenate(([True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)))) if len(ids) else np.zeros(0, int)
+    ends = np.append(starts[1:], len(ids))
+    at = 0
+    while at < len(starts):
+        to = at + 1
+        while to < len(starts) and (ends[to] - starts[at]) * (to + 1 - at) <= BLOCK_CELLS:
+            to += 1
+        part = rows.slice(starts[at], ends[to - 1] - starts[at])
+        coded = part["token"].combine_chunks().dictionary_encode()
+        weights = np.zeros((len(coded.dictionary), to - at))
+        weights[coded.indices.to_numpy(), np.repeat(np.arange(to - at), (ends - starts)[at:to])] = part["w"].to_numpy()
+        out.append((ids.take(pa.array(starts[at:to])), coded.dictionary, weights))
+        at = to
+    return out
+
+
+def _best(scores: np.ndarray, query_ids: pa.Array, ids: pa.Array, k: int):
+    """The k best documents of each query in a block of scores, documents by queries, and all that tie with the last."""
+    scores = np.round(scores, 9)
+    last = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
+    d, q = np.nonzero((scores >= last) & (scores != 0))
+    if len(d):
+        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(d)), pa.array(scores[d, q])], ["query_id", "id", "score"])
+
+
 def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, n_docs: int, id_: str) -> DataFrame:
-    """(id, token, w) of unit length; vocabulary (token, df); smooth idf ln((1 + n) / (1 + df)) + 1."""
+    """(id, token, w) of unit length; vocabulary (token, df); smooth idf ln((1 + n) / (1 + df)) + 1.
+
+    A document's weights meet in one row, so that its length needs no window."""
     tf = docs.select(id_, F.explode(T.long_tokens(F.col("text"))).alias("token")).groupBy(id_, "token").agg(F.count("*").alias("tf"))
     w = tf.join(vocabulary, "token").withColumn("w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
-    return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_)))).select(id_, "token", "w")
+    rows = w.groupBy(id_).agg(F.collect_list(F.struct("token", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return rows.select(id_, "length", F.explode("ws").alias("x")).select(id_, "x.token", (F.col("x.w") / F.col("length")).alias("w"))
 
 
 def tfidf(queries: DataFrame, docs: DataFrame, k: int | None, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score): cosine of tf-idf vectors of tokens of two characters or more; candidates
-    (query_id, id) restricts the pairs that are scored."""
-    tokens = docs.select("id", F.explode(F.array_distinct(T.long_tokens(F.col("text")))).alias("token"))
-    vocabulary = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    n = docs.count()
+    (query_id, id) restricts the pairs that are scored, and the documents whose vectors are made."""
+    tokens = docs.select(F.explode(F.concat(F.array_distinct(T.long_tokens(F.col("text"))), F.array(F.lit("")))).alias("token"))
+    vocabulary = cut(tokens.groupBy("token").agg(F.count("*").alias("df")))
+    n = (vocabulary.where("token = ''").first() or {"df": 0})["df"]  # the empty token counts the documents
+    if candidates is not None:
+        candidates = cut(candidates.select("query_id", "id"))
+        docs = docs.join(candidates.select("id").distinct(), "id", "left_semi")
     d = tfidf_vectors(docs, vocabulary, n, "id")
     q = tfidf_vectors(queries, vocabulary, n, "query_id").withColumnRenamed("w", "wq")
     rows = q.join(d, "token")
     if candidates is not None:
-        rows = q.join(candidates.select("query_id", "id"), "query_id").join(d, ["id", "token"])
+        rows = q.join(candidates, "query_id").join(d, ["id", "token"])
     scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score"))
     return ranked(scores, k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
@@ -126,5 +194,5 @@ def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int)
 
 def hybrid(queries: DataFrame, docs: DataFrame, block_k: int = 50, retrieve_k: int = 10, k: int = 3) -> DataFrame:
     """Block by BM25, retrieve by tf-idf cosine, rerank by token overlap."""
-    blocked = bm25(queries, docs, block_k)
+    blocked = cut(bm25(queries, docs, block_k))
     return reranked(tfidf(queries, docs, retrieve_k, blocked).drop("rank"), queries, docs, k)

@@ -45,11 +45,12 @@ def unique_aliases(entities: DataFrame) -> DataFrame:
 
 
 def holdout_queries(entities: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(id, variant, text): perturbed names, without those of excluded (text) and without repeats within an entity."""
-    rows = entities.select("id", "name", F.posexplode(T.holdout_variants(F.col("name"))).alias("at", "v")).select("id", "name", "at", "v.variant", "v.text")
-    rows = rows.where((F.col("text") != F.col("name")) & (F.col("text") != ""))
+    """(id, variant, text): perturbed names, without empty ones, without those that clean texts of the same entity in
+    excluded (id, text) are, and without repeats within an entity."""
+    rows = entities.select("id", F.posexplode(T.holdout_variants(F.col("name"))).alias("at", "v")).select("id", "at", "v.variant", "v.text")
+    rows = rows.where(F.col("text") != "")
     if excluded is not None:
-        rows = rows.join(excluded.select("text"), "text", "left_anti")
+        rows = rows.join(excluded.where("text <> ''").select("id", T.clean(F.col("text")).alias("text")).distinct(), ["id", "text"], "left_anti")
     first = Window.partitionBy("id", "text").orderBy("at")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "variant", "text")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import clip
+from tessera.operators.order import percentile
 
 #: How much each strategy counts in the weighted combination.
 WEIGHTS = {
@@ -18,9 +19,8 @@ WEIGHTS = {
 
 def calibration(scores: DataFrame, score: str = "score") -> dict[str, float]:
     """low and high of the scores: the 5th and the 95th percentile, of fewer than 20 the least and the greatest."""
-    few = F.count(score) < 20
-    row = scores.agg(F.when(few, F.min(score)).otherwise(F.percentile(score, 0.05)).alias("low"), F.when(few, F.max(score)).otherwise(F.percentile(score, 0.95)).alias("high")).first()
-    return {"low": row["low"], "high": row["high"]}
+    n, low, high = scores.agg(F.count(score), F.min(score), F.max(score)).first()
+    return {"low": low, "high": high} if n < 20 else {"low": percentile(scores, score, 0.05), "high": percentile(scores, score, 0.95)}
 
 
 def calibrated(score: Column, low: float | None, high: float | None) -> Column:

@@ -16,37 +16,52 @@ from tessera.operators.strategies import scatter
 TRANSITIONS = {"pending": ["approved", "rejected"], "approved": ["approved", "promoted"], "rejected": ["rejected"], "promoted": ["promoted"]}
 
 
-def keywords(docs: DataFrame, by: str, top: int = 8) -> DataFrame:
-    """(by, rank, token, score): mean tf-idf weight of evidence tokens over the documents (id, text) of each group."""
+def keywords(docs: DataFrame, by: str, top: int = 8, features: int = 1000) -> DataFrame:
+    """(by, rank, token, score): mean tf-idf weight of evidence tokens over the documents (id, text) of each group, of its
+    most frequent `features` tokens.
+
+    All sums are hash aggregations by (group, token) or document: no window orders a whole group."""
     tf = docs.select(by, "id", F.explode(T.evidence_tokens(F.col("text"))).alias("token")).groupBy(by, "id", "token").agg(F.count("*").alias("tf"))
     n = docs.groupBy(by).agg(F.count("*").alias("n"))
-    df = tf.groupBy(by, "token").agg(F.count("*").alias("df"))
-    w = tf.join(df, [by, "token"]).join(F.broadcast(n), by).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(by, "id"))))
+    df = tf.groupBy(by, "token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    df = df.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("total"), "token"))).where(F.col("k") <= features).join(n, by)
+    idf = df.select(by, "token", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = tf.join(idf, [by, "token"]).withColumn("w", F.col("tf") * F.col("idf"))
+    # the weights of a document, one row, scaled to length 1 within it
+    w = w.groupBy(by, "id").agg(F.collect_list(F.struct("token", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.max("n").alias("n"))
+    w = w.select(by, "n", "length", F.explode("ws").alias("x")).select(by, "x.token", (F.col("x.w") / F.col("length")).alias("w"), "n")
     mean = w.groupBy(by, "token").agg(F.round(F.sum("w") / F.max("n"), 9).alias("score"))
     order = Window.partitionBy(by).orderBy(F.desc("score"), "token")
     return mean.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(by, "rank", "token", F.round("score", 6).alias("score"))
 
 
 def rake(docs: DataFrame, by: str, top: int = 8) -> DataFrame:
-    """(by, rank, phrase, score): pairs of neighbouring evidence tokens of a sentence, by the sum over their words of
-    degree / frequency, times how often they occur."""
-    sentences = docs.select(by, F.explode(F.split("text", r"[.!?\n]+")).alias("s")).select(by, T.evidence_tokens(F.col("s")).alias("w")).where(F.size("w") > 0)
+    """(by, rank, phrase, score): runs of two or three evidence tokens of a sentence. A word's degree is the number of
+    other words in its sentences; a run scores the sum of its words' degrees over the sum of their frequencies, times how
+    often it occurs. The end of a document ends a sentence."""
+    sentences = docs.select(by, F.explode(F.split("text", r"[.!?;]+")).alias("s")).select(by, T.evidence_tokens(F.col("s")).alias("w")).where(F.size("w") > 0)
     words = sentences.select(by, F.size("w").alias("len"), F.explode("w").alias("word")).groupBy(by, "word").agg(F.count("*").alias("freq"), F.sum(F.col("len") - 1).alias("degree"))
-    ratio = words.select(by, "word", ((F.col("degree") + F.col("freq")) / F.col("freq")).alias("r"))
-    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
-    pairs = sentences.where(F.size("w") > 1).select(by, F.explode(pair).alias("p")).groupBy(by, "p.a", "p.b").agg(F.count("*").alias("n"))
-    scored = pairs.join(ratio.withColumnsRenamed({"word": "a", "r": "ra"}), [by, "a"]).join(ratio.withColumnsRenamed({"word": "b", "r": "rb"}), [by, "b"])
-    scored = scored.select(by, F.concat_ws(" ", "a", "b").alias("phrase"), F.round(F.col("n") * (F.col("ra") + F.col("rb")), 6).alias("score"))
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice("w", i + 1, n))
+    rows = sentences.where(F.size("w") > 1).select(by, F.explode(F.when(F.size("w") > 2, F.concat(runs(2), runs(3))).otherwise(runs(2))).alias("run"))
+    counts = rows.groupBy(by, "run").agg(F.count("*").alias("n"))
+    each = counts.select(by, "run", "n", F.explode("run").alias("word")).join(words, [by, "word"])
+    scored = each.groupBy(by, "run").agg(F.round(F.max("n") * F.sum("degree") / F.sum("freq"), 6).alias("score")).select(by, F.array_join("run", " ").alias("phrase"), "score")
     order = Window.partitionBy(by).orderBy(F.desc("score"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(by, "rank", "phrase", "score")
 
 
-def representatives(docs: DataFrame, by: str, budget: int = 256, most: int = 4) -> DataFrame:
-    """(by, rank, id, tokens): the shortest texts of each group as far as the token budget goes; one at least."""
-    rows = docs.select(by, "id", T.token_estimate(F.col("text")).alias("tokens"))
-    order = Window.partitionBy(by).orderBy("tokens", "id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+def representatives(docs: DataFrame, by: str, budget: int = 256, most: int = 4, dims: int | None = None) -> DataFrame:
+    """(by, rank, id, tokens): examples of each group as far as the token budget goes; one at least.
+
+    With dims, docs have vectors v of so many dimensions, and those nearest to their group's mean by cosine come first;
+    without, or where the mean has no length, they come in the order of id."""
+    rows = docs.select(by, "id", T.token_estimate(F.col("text")).alias("tokens"), (F.col("v") if dims else F.lit(None)).alias("v"))
+    near = F.lit(0.0)
+    if dims:
+        rows = rows.join(rows.groupBy(by).agg(V.mean_vector(F.col("v"), dims).alias("mean")), by)
+        near = F.round(F.when(V.norm(F.col("mean")) < 1e-12, 0.0).otherwise(V.cosine(F.col("v"), F.col("mean"))), 9)
+    order = Window.partitionBy(by).orderBy(F.desc("near"), "id")
+    rows = rows.select(by, "id", "tokens", near.alias("near")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     rows = rows.withColumn("used", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where((F.col("used") <= budget) | (F.col("rank") == 1)).select(by, "rank", "id", "tokens")
 
@@ -54,25 +69,53 @@ def representatives(docs: DataFrame, by: str, budget: int = 256, most: int = 4)
 def fallback_proposals(novel: DataFrame, min_samples: int = 3, examples: int = 3) -> DataFrame:
     """(name, confidence, sample_count, examples) for each predicted class of novel (id, text, predicted) with enough samples."""
     order = Window.partitionBy("predicted").orderBy("id")
-    rows = novel.withColumn("n", F.row_number().over(order))
-    out = rows.groupBy("predicted").agg(F.count("*").alias("sample_count"), F.array_sort(F.collect_list(F.when(F.col("n") <= examples, F.struct("id", "text")))).alias("e")).where(F.col("sample_count") >= min_samples)
+    # the filter on the rank keeps few rows of each class before they are dealt
+    first = novel.withColumn("n", F.row_number().over(order)).where(F.col("n") <= examples)
+    first = first.groupBy("predicted").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("e"))
+    out = novel.groupBy("predicted").agg(F.count("*").alias("sample_count")).where(F.col("sample_count") >= min_samples).join(first, "predicted")
     return out.select(F.concat(F.lit("Novel "), F.col("predicted").cast("string")).alias("name"), F.lit(0.5).alias("confidence"), "sample_count", F.transform("e", lambda x: x["text"]).alias("examples"))
 
 
 def conflicts(proposals: DataFrame, limit: float = 0.3) -> DataFrame:
-    """(a, b, overlap, kind) of proposals (name, source_ids) that share sources or names; pairs meet on a shared source
-    or an equal plain name, so only those are compared."""
-    plain = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]", "")
-    rows = proposals.select("name", "source_ids", plain.alias("plain"))
-    keys = rows.select("name", F.explode(F.concat(F.transform("source_ids", lambda s: F.concat(F.lit("s:"), s.cast("string"))), F.array(F.concat(F.lit("n:"), "plain")))).alias("key"))
-    pairs = keys.select(F.col("name").alias("a"), "key").join(keys.select(F.col("name").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    named = lambda s: rows.select(F.col("name").alias(s), F.col("source_ids").alias(f"ids_{s}"), F.col("plain").alias(f"plain_{s}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    """(a, b, overlap, kind, recommendation) of proposals (name, source_ids, examples, confidence, sample_count) that share
+    sources or have similar names, a before b.
+
+    Names are similar if they are equal without case and spaces, or one of three letters or more is within the other.
+    Pairs meet on a shared source, on an equal name, or on the first three letters of the one and any three of the other,
+    so that only those are compared. overlap is the greater of the Jaccard similarities of sources and of examples; a pair
+    with less than limit is a duplicate by name. Of a duplicate the more confident stays, of nested ones the one with more
+    sources, else a only if it has no less confidence and samples."""
+    plain = F.translate(F.lower("name"), " ", "")
+    none = F.array().cast("array<string>")
+    rows = proposals.select("name", F.array_distinct(F.coalesce("source_ids", none.cast(proposals.schema["source_ids"].dataType))).alias("ids"), F.array_distinct(F.coalesce("examples", none)).alias("ex"), "confidence", "sample_count", plain.alias("plain"))
+    long = F.length("plain") > 2
+    common = F.concat(F.transform("ids", lambda s: F.concat(F.lit("s:"), s.cast("string"))), F.array(F.concat(F.lit("n:"), "plain")))
+    inner = F.concat(common, F.when(long, F.array(F.concat(F.lit("g:"), F.left("plain", F.lit(3))))).otherwise(none))
+    outer = F.concat(common, F.transform(F.array_distinct(T.char_ngrams(F.col("plain"), 3)), lambda g: F.concat(F.lit("g:"), g)))
+    keys = lambda key, n: rows.select(F.col("name").alias(n), F.explode(key).alias("key"))
+    met = keys(inner, "x").join(keys(outer, "y"), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = lambda s: rows.select(*[F.col(c).alias(s if c == "name" else f"{c}_{s}") for c in rows.columns])
+    both = met.join(named("a"), "a").join(named("b"), "b")
+    c = F.col
     shared = F.size(F.array_intersect("ids_a", "ids_b"))
-    overlap = F.round(T.jaccard(F.col("ids_a"), F.col("ids_b")), 6)
-    same = F.col("plain_a") == F.col("plain_b")
-    nested = (shared == F.size(F.array_distinct("ids_a"))) | (shared == F.size(F.array_distinct("ids_b")))
-    return both.where((overlap >= limit) | same).select("a", "b", overlap.alias("overlap"), F.when(same, "duplicate").when(nested, "nested").otherwise("partial").alias("kind"))
+    similar = (c("plain_a") == c("plain_b")) | ((F.length("plain_a") > 2) & (F.length("plain_b") > 2) & (c("plain_a").contains(c("plain_b")) | c("plain_b").contains(c("plain_a"))))
+    both = both.withColumns({"by_source": F.round(T.jaccard(c("ids_a"), c("ids_b")), 6), "by_example": F.round(T.jaccard(c("ex_a"), c("ex_b")), 6), "shared": shared, "similar": similar})
+    little = (c("by_source") < limit) & (c("by_example") < limit)
+    both = both.where(((c("shared") > 0) | c("similar")) & (~little | c("similar")))
+    one_empty = (F.size("ids_a") == 0) | (F.size("ids_b") == 0)
+    same = (F.size("ids_a") == c("shared")) & (F.size("ids_b") == c("shared"))
+    nested = (c("shared") > 0) & ((c("shared") == F.size("ids_a")) | (c("shared") == F.size("ids_b")))
+    kind = F.when(little, "duplicate").when(one_empty, "partial").when(same, "duplicate").when(nested, "nested").otherwise("partial")
+    out = both.withColumn("kind", kind).withColumn("overlap", F.when(little, 1.0).otherwise(F.greatest("by_source", "by_example")))
+    first = F.when(c("kind") == "duplicate", c("confidence_a") >= c("confidence_b")).when(c("kind") == "nested", F.size("ids_a") >= F.size("ids_b")).otherwise((c("confidence_a") >= c("confidence_b")) & (c("sample_count_a") >= c("sample_count_b")))
+    return out.select("a", "b", "overlap", "kind", F.when(F.coalesce(first, F.lit(False)), "keep_a").otherwise("keep_b").alias("recommendation"))
+
+
+def resolved(proposals: DataFrame, limit: float = 0.3) -> DataFrame:
+    """proposals without those that a conflict's recommendation gives up."""
+    found = conflicts(proposals, limit)
+    gone = found.select(F.when(F.col("recommendation") == "keep_a", F.col("b")).otherwise(F.col("a")).alias("name")).distinct()
+    return proposals.join(gone, "name", "left_anti").select(*proposals.columns)
 
 
 def moved(reviews: DataFrame, requests: DataFrame) -> DataFrame:
@@ -111,7 +154,7 @@ def annotated(annotations: DataFrame, entities: DataFrame) -> DataFrame:
     """(kind, n): what annotations (text, label) do: novel:X adds an entity and a training row, a known label a training
     row, any other nothing."""
     known = entities.select(F.col("id").alias("label"), F.lit(True).alias("known"))
-    rows = annotations.join(F.broadcast(known), "label", "left")
+    rows = annotations.join(known, "label", "left")
     kind = F.when(F.col("label").startswith("novel:"), "new_entity").when(F.col("known"), "training").otherwise("unknown_label")
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 

@@ -1,26 +1,27 @@
 """Ranking, threshold and classification metrics, and splits.
 
-Rank metrics first group equal scores, so the ordered pass runs over distinct scores."""
+Rank metrics first group equal scores; the ordered pass over these is dealt by ranges of scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.order import cut, percentile, running
+
 
 def _by_score(rows: DataFrame) -> DataFrame:
-    """(score, p, n): positives and negatives of each distinct score; rows (score, novel). Scores are compared at six
-    decimals, so there are no more than some millions of them however many rows there are."""
+    """(score, p, n): positives and negatives of each distinct score; rows (score, novel)."""
     novel = F.col("novel").cast("int")
-    return rows.groupBy(F.round("score", 6).alias("score")).agg(F.sum(novel).alias("p"), F.sum(1 - novel).alias("n"))
+    return rows.groupBy("score").agg(F.sum(novel).alias("p"), F.sum(1 - novel).alias("n"))
 
 
 def _running(rows: DataFrame) -> DataFrame:
     """With tp and fp of all scores from this one up, and the totals."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = _by_score(rows).withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
-    all_rows = Window.partitionBy()
-    return out.withColumn("pos", F.sum("p").over(all_rows)).withColumn("neg", F.sum("n").over(all_rows))
+    scores = cut(_by_score(rows))
+    pos, neg = scores.agg(F.sum("p"), F.sum("n")).first()
+    out = running(scores, [], [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
+    return out.withColumn("pos", F.lit(pos).cast("long")).withColumn("neg", F.lit(neg).cast("long"))
 
 
 def auroc(rows: DataFrame) -> DataFrame:
@@ -36,17 +37,20 @@ def average_precision(rows: DataFrame) -> DataFrame:
 
 
 def auprc_trapezoid(rows: DataFrame) -> DataFrame:
-    """Area under precision over recall by trapezoids, from precision 1 at recall 0."""
-    r = _running(rows).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.col("tp") / F.col("pos"))
-    w = Window.orderBy(F.desc("score"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return r.select((step * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2).alias("a")).agg(F.round(F.sum("a"), 6).alias("auprc"))
+    """Area under precision over recall by trapezoids, from precision 1 at recall 0. The point before each score is that
+    of the counts without it."""
+    r = _running(rows)
+    earlier = F.col("tp") + F.col("fp") - F.col("p") - F.col("n")
+    before = F.when(earlier > 0, (F.col("tp") - F.col("p")) / earlier)
+    step = F.col("p") / F.col("pos")
+    return r.agg(F.round(F.sum(step * (F.col("tp") / (F.col("tp") + F.col("fp")) + F.coalesce(before, F.lit(1.0))) / 2), 6).alias("auprc"))
 
 
 def detection_rate_percentile(rows: DataFrame, fpr: float) -> DataFrame:
     """Share of novel scores above the known scores' (1 - fpr) percentile."""
-    limit = rows.where("not novel").agg(F.percentile("score", 1 - fpr)).first()[0]
-    return rows.where("novel").agg(F.round(F.avg((F.col("score") > F.lit(limit)).cast("double")), 6).alias("detection_rate"))
+    limit = percentile(rows.where("not novel"), "score", 1 - fpr)
+    found = F.lit(1.0) if limit is None else (F.col("score") > F.lit(limit)).cast("double")  # without known rows nothing is held back
+    return rows.where("novel").agg(F.round(F.coalesce(F.avg(found), F.lit(0.0)), 6).alias("detection_rate"))
 
 
 def detection_rate_budget(rows: DataFrame, fpr: float, at_least: int = 1) -> DataFrame:
@@ -119,7 +123,7 @@ def ood_classes(rows: DataFrame, known_share: float = 0.8, train_percent: int =
     n = classes.count()
     ranked = classes.withColumn("k", F.row_number().over(order)).select("label", (F.col("k") <= max(1, int(n * known_share))).alias("known"))
     train = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % 100 < train_percent
-    return rows.join(F.broadcast(ranked), "label").withColumn("part", F.when(~F.col("known"), "novel").when(train, "train").otherwise("test")).drop("known")
+    return rows.join(ranked, "label").withColumn("part", F.when(~F.col("known"), "novel").when(train, "train").otherwise("test")).drop("known")
 
 
 def three_way(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.clusters import _cut
+from tessera.operators.order import cut
 
 #: How a relation's score is raised, and how depth lowers it.
 BOOSTS = {"self": 0.5, "parent": 0.4, "child": 0.4, "ancestor": 0.3, "descendant": 0.3}
@@ -22,24 +24,27 @@ def edges(entities: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
-def closure(edge: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(id, ancestor, depth): every ancestor at its least depth. One join a level, until no new pair appears."""
+def closure(edge: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, ancestor, depth): every ancestor at its least depth, up to max_depth. One join a level, until no new pair
+    appears; in a cycle each node is an ancestor of the others, none of itself."""
     step = edge.select(F.col("dst").alias("id"), F.col("src").alias("ancestor"))
     out = front = step.withColumn("depth", F.lit(1)).distinct()
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
+        if max_depth is not None and depth > max_depth:
+            break
         front = front.join(step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = _cut(front.join(out, ["id", "ancestor"], "left_anti").where("id <> ancestor"))
+        front = cut(front.join(out, ["id", "ancestor"], "left_anti").where("id <> ancestor"))
         if front.isEmpty():
             break
         out = out.unionByName(front)
     return out
 
 
-def ancestors(edge: DataFrame, max_depth: int = 32) -> DataFrame:
+def ancestors(edge: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edge, max_depth)
 
 
-def descendants(edge: DataFrame, max_depth: int = 32) -> DataFrame:
+def descendants(edge: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edge, max_depth).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "depth")
 
 
@@ -51,16 +56,17 @@ def relation_depth(pairs: DataFrame, closed: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce(F.least("up", "down"), F.lit(-1))).alias("depth"))
 
 
-def root_paths(edge: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(id, path): from the root to each node, always by the least parent."""
+def root_paths(edge: DataFrame) -> DataFrame:
+    """(id, path): from the root to each node, always by the least parent; in a cycle until a node would come again."""
     parent = edge.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
     nodes = edge.select(F.col("src").alias("id")).unionByName(edge.select(F.col("dst").alias("id"))).distinct()
     now = nodes.select("id", F.col("id").alias("top"), F.array("id").alias("path"))
-    for _ in range(max_depth):
+    while True:
         up = now.join(parent.withColumnsRenamed({"id": "top"}), "top", "left")
+        up = up.withColumn("parent", F.when(~F.array_contains("path", F.col("parent")), F.col("parent")))
         if up.where("parent is not null").isEmpty():
             break
-        now = _cut(up.select("id", F.coalesce("parent", "top").alias("top"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path")))
+        now = cut(up.select("id", F.coalesce("parent", "top").alias("top"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path")))
     return now.select("id", "path")
 
 

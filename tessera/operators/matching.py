@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,14 @@ from tessera.functions import vectors as V
 
 #: Rows of queries and of references that meet in one block of an exact search.
 BLOCK_ROWS = 4096
+#: Bytes of class means that are sent to every task.
+MEANS_BYTES = 256 << 20
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of doubles of an Arrow column of lists of one length, without Python objects."""
+    lists = vectors.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", id_: str = "id", score: str = "score") -> DataFrame:
@@ -72,7 +81,7 @@ def diagnosis(queries: DataFrame, entities: DataFrame, threshold: float) -> Data
 # ---- dense vectors ----------------------------------------------------------------
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", block_rows: int = BLOCK_ROWS, skip_same: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", block_rows: int = BLOCK_ROWS, skip_same: bool = False, each: str | None = None) -> DataFrame:
     """(query_id, rank, ref_id, score): the k most similar rows of refs (ref_id, v) for each of queries (query_id, v).
 
     Exact. Both sides are dealt into blocks of about block_rows; each pair of blocks is one task's matrix product, of
@@ -81,16 +90,23 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
         raise ValueError(f"no metric {metric!r}")
     n_ref, n_query = (max(1, -(-df.count() // block_rows)) for df in (refs, queries))
     n_query = max(n_query, 8 // n_ref)
-    dealt = lambda df, id_, n, other, m: df.select(F.col(id_).alias(id_), F.col("v").alias("v"), F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    dealt = lambda df, id_, n, other, m: df.select(F.col(id_).cast("long").alias(id_), F.col("v").cast("array<double>").alias("v"), *([F.col(each).cast("string").alias("each")] if each and id_ == "ref_id" else []), F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     q = dealt(queries, "query_id", n_query, "j", n_ref).withColumnsRenamed({"i": "qb", "j": "rb"})
     r = dealt(refs, "ref_id", n_ref, "j", n_query).withColumnsRenamed({"i": "rb", "j": "qb"})
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ref_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [right]
+        if each and len(right):
+            parts = [right.filter(pc.is_null(right["each"]) if value is None else pc.fill_null(pc.equal(right["each"], value), False)) for value in right["each"].unique().to_pylist()]
+        return pa.concat_tables([meet_one(left, part) for part in parts])
+
+    def meet_one(left: pa.Table, right: pa.Table) -> pa.Table:
+        fields = [("query_id", pa.int64()), ("ref_id", pa.int64()), ("score", pa.float64())] + ([("each", pa.string())] if each else [])
+        none = pa.schema(fields).empty_table()
+        if not len(left) or not len(right):
             return none
-        right = right.sort_values("ref_id")
-        a, b = (np.array(x["v"].tolist(), np.float64) for x in (left, right))
+        right = right.sort_by("ref_id")
+        a, b = (matrix(x["v"]) for x in (left, right))
         if metric == "cosine":
             a, b = (x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) for x in (a, b))
         s = a @ b.T
@@ -100,12 +116,26 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
         if skip_same:
             s[left["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
         s = np.where(np.isfinite(s), np.round(s, 9), s)  # equal scores tie by id on every machine
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), top.shape[1]), "ref_id": ids[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-        return out[np.isfinite(out["score"])]
-
-    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, ref_id long, score double")
-    return ranked(part, k, id_="ref_id").select("query_id", "rank", "ref_id", "score")
+        width = s.shape[1]
+        if width > k:  # the best k, whatever their order, before they are sorted
+            few = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+            worst = np.take_along_axis(s, few, 1).min(axis=1)
+            # rows with ties at the k-th place are sorted whole, as ids decide there
+            tied = (s >= worst[:, None]).sum(axis=1) > k
+            top = np.take_along_axis(few, np.argsort(-np.take_along_axis(s, few, 1), axis=1, kind="stable"), 1)
+            top[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+        else:
+            top = np.argsort(-s, axis=1, kind="stable")
+        score = np.take_along_axis(s, top, 1).ravel()
+        keep = np.isfinite(score)
+        out = {"query_id": np.repeat(left["query_id"].to_numpy(), top.shape[1])[keep], "ref_id": ids[top.ravel()][keep], "score": score[keep]}
+        return pa.table(out | ({"each": pa.array([right["each"][0].as_py()] * int(keep.sum()), pa.string())} if each else {}))
+
+    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, ref_id long, score double" + ", each string" * bool(each))
+    if not each:
+        return ranked(part, k, id_="ref_id").select("query_id", "rank", "ref_id", "score")
+    best = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "each").orderBy(F.desc("score"), "ref_id"))).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("each").cast(refs.schema[each].dataType).alias(each), "rank", "ref_id", "score")
 
 
 def nearest_lsh(queries: DataFrame, refs: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 8, max_distance: float | None = None) -> DataFrame:
@@ -114,7 +144,7 @@ def nearest_lsh(queries: DataFrame, refs: DataFrame, k: int, bucket_length: floa
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    from tessera.operators.clusters import _cut
+    from tessera.operators.order import cut
 
     vec = lambda df: df.withColumn("u", array_to_vector(V.unit(V.dbl(F.col("v")))))
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=42).fit(vec(refs))
@@ -123,9 +153,9 @@ def nearest_lsh(queries: DataFrame, refs: DataFrame, k: int, bucket_length: floa
     found = ranked(rows, k, id_="ref_id").select("query_id", "rank", "ref_id", "score")
     if max_distance is not None:
         return found
-    found = _cut(found)
+    found = cut(found)
     full = found.where(F.col("rank") == min(k, max(1, refs.limit(k).count()))).select("query_id")
-    short = _cut(queries.join(full, "query_id", "left_anti"))
+    short = cut(queries.join(full, "query_id", "left_anti"))
     if short.isEmpty():
         return found
     return found.join(full, "query_id", "left_semi").unionByName(nearest(short, refs, k))
@@ -139,10 +169,10 @@ def class_means(refs: DataFrame, dims: int, label: str = "label") -> DataFrame:
 def against_classes(queries: DataFrame, means: DataFrame, keep: list[str], score: Column) -> DataFrame:
     """Each query (query_id, v) with the array of (label, score) of all classes, in their order.
 
-    The means are one row for each class: their number is checked and they are sent as one array."""
-    n = means.count()
-    if n > 100_000:
-        raise ValueError(f"{n} classes are too many to send to every task")
+    The means are one row for each class: their size is checked and they are sent as one array."""
+    size = means.agg(F.sum(8 * F.size("mean") + 32)).first()[0] or 0
+    if size > MEANS_BYTES:
+        raise ValueError(f"the class means have {size} bytes, too many to send to every task")
     table = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("classes"))
     rows = queries.join(F.broadcast(table), how="inner")
     return rows.select("query_id", *keep, F.transform("classes", lambda c: F.struct(c["label"].alias("label"), score(F.col("v"), c["mean"]).alias("score"))).alias("scores"))

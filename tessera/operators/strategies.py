@@ -6,15 +6,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import matching as M
+from tessera.operators.matching import matrix
+from tessera.operators.order import cut, percentile, running
 
 STRATEGIES: dict[str, Callable] = {}
+#: Weights of the parts of the pattern score.
+PATTERN_WEIGHTS = [0.25, 0.2, 0.15, 0.1, 0.15, 0.15]
 
 
 def strategy(name: str):
@@ -53,8 +58,8 @@ def uncertainty(predicted: DataFrame, margin_threshold: float = 0.3, entropy_thr
 
 def own_class_threshold(refs: DataFrame, means: DataFrame, share: float = 0.95) -> float:
     """The percentile of references' cosine distances to their own class mean; 0.5 without references."""
-    own = refs.join(F.broadcast(means.select("label", "mean")), "label").select((1 - V.cosine(F.col("v"), F.col("mean"))).alias("d"))
-    got = own.agg(F.percentile("d", share)).first()[0]
+    own = refs.join(means.select("label", "mean"), "label").select((1 - V.cosine(F.col("v"), F.col("mean"))).alias("d"))
+    got = percentile(own, "d", share)
     return 0.5 if got is None else got
 
 
@@ -75,11 +80,11 @@ def centroid(queries: DataFrame, refs: DataFrame, dims: int, threshold: float |
 
 
 @strategy("setfit")
-def pairwise_margin(queries: DataFrame, refs: DataFrame, percentile: float = 0.95) -> DataFrame:
+def pairwise_margin(queries: DataFrame, refs: DataFrame, share: float = 0.95) -> DataFrame:
     """Least distance to any reference against the percentile of the references' own least distances; the score rises
     with the distance."""
     own = M.nearest(refs.select(F.col("ref_id").alias("query_id"), "v"), refs, 1, skip_same=True).select((1 - F.col("score")).alias("d"))
-    limit = own.agg(F.percentile("d", percentile)).first()[0] or 0.5
+    limit = percentile(own, "d", share) or 0.5
     rows = M.nearest(queries, refs, 1).select("query_id", (1 - F.col("score")).alias("d"))
     return rows.select("query_id", F.round("d", 6).alias("distance"), F.round(1 / (1 + F.exp(-5 * (F.col("d") - limit))), 6).alias("score"), (F.col("d") > limit).alias("is_novel"))
 
@@ -106,7 +111,7 @@ def energy(queries: DataFrame, refs: DataFrame, dims: int, temperature: float =
 
 def trimmed(rows: DataFrame, share: float) -> DataFrame:
     """v clipped to the percentile of all values of the batch."""
-    limit = rows.select(F.explode("v").alias("x")).agg(F.percentile("x", share)).first()[0]
+    limit = percentile(rows.select(F.explode("v").alias("x")), "x", share)
     return rows.withColumn("v", F.transform("v", lambda x: F.least(x, F.lit(limit)))) if limit is not None else rows
 
 
@@ -116,16 +121,19 @@ def react_energy(queries: DataFrame, refs: DataFrame, dims: int, share: float =
 
 
 @strategy("clustering")
-def clustering(queries: DataFrame, refs: DataFrame, dims: int, min_size: int = 5, cohesion_limit: float = 0.45, noise_percentile: float = 0.9) -> DataFrame:
-    """Nearest reference cluster; far ones of the batch are noise, and clusters too small or too loose support nothing."""
+def clustering(queries: DataFrame, refs: DataFrame, dims: int, min_size: int = 5, cohesion_limit: float = 0.45, noise_percentile: float = 0.9, cohesive_too: bool = True) -> DataFrame:
+    """Nearest reference cluster; far ones of the batch are noise, and clusters too small or too loose support nothing.
+
+    cohesive_too: those of cohesive clusters are novel as well, so that all are but those of a cohesion that equals the
+    limit; without it, members of valid clusters are known."""
     means = M.class_means(refs, dims)
     cohesion = class_cohesion(refs, dims).select("label", "n", "cohesion")
     rows = _nearest_mean(queries, means)
-    limit = rows.agg(F.percentile("distance", noise_percentile)).first()[0]
-    rows = rows.join(F.broadcast(cohesion), "label")
+    limit = percentile(rows, "distance", noise_percentile)
+    rows = rows.join(cohesion, "label")
     noise = F.col("distance") > F.lit(limit)
     valid = (F.col("n") >= min_size) & (F.col("cohesion") >= cohesion_limit)
-    return rows.select("query_id", F.when(noise, F.lit(-1)).otherwise(F.col("label")).alias("cluster"), F.round("distance", 6).alias("distance"), F.round("cohesion", 6).alias("cohesion"), (noise | ~valid).alias("is_novel"))
+    return rows.select("query_id", F.when(noise, F.lit(-1)).otherwise(F.col("label")).alias("cluster"), F.round("distance", 6).alias("distance"), F.round("cohesion", 6).alias("cohesion"), (noise | ~valid | (F.lit(cohesive_too) & (F.col("cohesion") > cohesion_limit))).alias("is_novel"))
 
 
 def class_cohesion(rows: DataFrame, dims: int, label: str = "label") -> DataFrame:
@@ -154,51 +162,80 @@ def _density(near: DataFrame, k_dist: DataFrame) -> DataFrame:
 
 
 @strategy("pattern")
-def pattern(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Surface novelty of queries (query_id, text) against known texts (text): shares of unseen 3- and 4-grams, length,
-    letter case, and rarity of the first and last three characters, with fixed weights."""
-    known = corpus.select("text").where("text is not null")
-    stats = known.agg(F.avg(F.length("text")).alias("m"), F.stddev_pop(F.length("text")).alias("s"), F.count("*").alias("n")).first()
+def pattern(queries: DataFrame, corpus: DataFrame, threshold: float = 0.5, by_case: bool = False) -> DataFrame:
+    """Surface novelty of queries (query_id, text) against known texts (text).
+
+    Parts, in this order: shares of unseen 3-grams and 4-grams, how far the length is out of the known range, letter case,
+    rarity of the first and of the last three characters. A part that a text doesn't have (grams of short texts, length
+    where all are equal, ends where no text has three characters) is left out, and the remaining parts take the first
+    weights, scaled to a sum of 1. The case part is 0.7 for every text; by_case: 0 for a case that known texts have, else
+    0.3. An empty text scores 1."""
+    known = corpus.select(F.col("text")).where("text is not null")
+    trimmed = known.select(F.trim("text").alias("text"))
+    stats = known.agg(F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high")).first()
+    ended = trimmed.where(F.length("text") >= 3).count()
     rows = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
     for n in (3, 4):
-        seen = known.select(F.explode(T.char_ngrams(F.col("text"), n)).alias("g")).distinct()
-        grams = rows.select("query_id", F.explode(F.array_distinct(T.char_ngrams(F.col("text"), n))).alias("g"))
+        seen = trimmed.select(F.explode(T.char_ngrams(F.col("text"), n)).alias("g")).distinct()
+        grams = rows.select("query_id", F.explode(F.array_distinct(T.char_ngrams(F.trim("text"), n))).alias("g"))
         share = grams.join(seen.withColumn("known", F.lit(1)), "g", "left").groupBy("query_id").agg((1 - F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias(f"new{n}"))
         rows = rows.join(share, "query_id", "left")
-    for side, expr in (("prefix", F.left("text", F.lit(3))), ("suffix", F.right("text", F.lit(3)))):
-        freq = known.select(expr.alias("k")).groupBy("k").agg((F.count("*") / F.lit(stats["n"] or 1)).alias(f"f_{side}")).withColumnRenamed("k", f"k_{side}")
-        rows = rows.withColumn(f"k_{side}", expr).join(freq, f"k_{side}", "left")
-    cases = [r[0] for r in known.select(T.letter_case(F.col("text"))).distinct().collect()]
-    length = F.least(F.abs(F.length("text") - (stats["m"] or 0.0)) / (3 * (stats["s"] or 1.0)), F.lit(1.0))
-    case = F.when(T.letter_case(F.col("text")).isin(cases), 0.3).otherwise(0.7)
-    score = (
-        0.25 * F.coalesce("new3", F.lit(1.0)) + 0.2 * F.coalesce("new4", F.lit(1.0)) + 0.15 * length + 0.1 * case
-        + 0.15 * (1 - F.coalesce("f_prefix", F.lit(0.0))) + 0.15 * (1 - F.coalesce("f_suffix", F.lit(0.0)))
-    )
+    for side, cut in (("prefix", F.left), ("suffix", F.right)):
+        freq = trimmed.where(F.length("text") >= 3).groupBy(cut("text", F.lit(3)).alias(f"k_{side}")).agg((F.count("*") / F.lit(max(ended, 1))).alias(f"f_{side}"))
+        rows = rows.withColumn(f"k_{side}", cut("text", F.lit(3))).join(freq, f"k_{side}", "left")
+    size, low, high = F.length("text"), stats["low"] or 0, stats["high"] or 0
+    out_of_range = F.when(size < low, (low - size) / max(low, 1)).when(size > high, (size - high) / max(high, 1)).otherwise(0.0)
+    case = F.lit(0.7)
+    if by_case:
+        cases = [r[0] for r in known.select(T.letter_case(F.col("text"))).distinct().collect()]  # four at most
+        case = F.when(T.letter_case(F.col("text")).isin(cases), 0.0).otherwise(0.3)
+    rare = lambda side: 1 - F.coalesce(f"f_{side}", F.lit(0.0)) if ended else F.lit(None).cast("double")
+    length = F.least(out_of_range, F.lit(1.0)) if high > low else F.lit(None).cast("double")
+    parts = F.filter(F.array("new3", "new4", length, case, rare("prefix"), rare("suffix")), lambda x: x.isNotNull())
+    weights = F.slice(F.array(*[F.lit(w) for w in PATTERN_WEIGHTS]), F.lit(1), F.size(parts))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    score = F.when(size == 0, 1.0).otherwise(V.clip(total(F.zip_with(parts, weights, lambda x, w: x * w)) / total(weights)))
     return rows.select("query_id", F.round(score, 6).alias("score"), (F.round(score, 6) >= threshold).alias("is_novel"))
 
 
 # ---- Gaussian strategies: moments by Spark, d x d algebra on the driver -------------
 
 
-def scatter(rows: DataFrame, dims: int, by: str | None = None) -> dict:
-    """{key: (n, sum, sum of outer products)} from Arrow partial sums; one d x d matrix for each partition and key."""
+def scatter(rows: DataFrame, dims: int, by: str | None = None, most_bytes: int = 1 << 30) -> dict:
+    """{key: (n, sum, sum of outer products)}. Partial sums of each partition are added in two steps, so that one d x d
+    matrix for each key comes to the driver, however many partitions there are; ValueError beyond most_bytes of them."""
     cols = [by] if by else []
-
-    def run(batches):
-        sums: dict = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(by) if by else [(None, pdf)]:
-                x = np.array(part["v"].tolist(), np.float64)
-                n, s, q = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = (n + len(x), s + x.sum(0), q + x.T @ x)
-        yield pd.DataFrame([{"key": None if k is None else str(k), "n": n, "s": s.tolist(), "q": q.ravel().tolist()} for k, (n, s, q) in sums.items()], columns=["key", "n", "s", "q"])
-
-    out: dict = {}
-    for r in rows.select(*cols, "v").mapInPandas(run, "key string, n long, s array<double>, q array<double>").collect():
-        n, s, q = out.get(r["key"], (0, np.zeros(dims), np.zeros((dims, dims))))
-        out[r["key"]] = (n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]).reshape(dims, dims))
-    return out
+    schema = "key string, salt int, n long, s array<double>, q array<double>"
+
+    def sums(batches):
+        found: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(pa.chunked_array([batch.column("v")]))
+            keys = batch.column(by).to_pylist() if by else [None] * len(x)
+            order: dict = {}
+            for i, key in enumerate(keys):
+                order.setdefault(key, []).append(i)
+            for key, at in order.items():
+                part = x[at]
+                n, s, q = found.get(key, (0, 0.0, 0.0))
+                found[key] = (n + len(part), s + part.sum(0), q + part.T @ part)
+        salt = TaskContext.get().partitionId() % 64
+        for key, (n, s, q) in found.items():
+            yield pa.RecordBatch.from_pylist([{"key": None if key is None else str(key), "salt": salt, "n": n, "s": s.tolist(), "q": q.ravel().tolist()}], schema=types)
+
+    def added(group: pa.Table) -> pa.Table:
+        s, q = (matrix(group[c]).sum(0) for c in ("s", "q"))
+        return pa.Table.from_pylist([{"key": group["key"][0].as_py(), "salt": 0, "n": sum(group["n"].to_pylist()), "s": s.tolist(), "q": q.tolist()}], schema=types)
+
+    types = pa.schema([("key", pa.string()), ("salt", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("q", pa.list_(pa.float64()))])
+    parts = rows.select(*cols, V.dbl(F.col("v")).alias("v")).mapInArrow(sums, schema)
+    whole = parts.groupBy("key", "salt").applyInArrow(added, schema).groupBy("key").applyInArrow(added, schema)
+    keys = rows.agg(F.approx_count_distinct(by)).first()[0] if by else 1
+    if keys * dims * dims * 8 > most_bytes:
+        raise ValueError(f"about {keys} matrices of {dims} x {dims} are too many for the driver")
+    return {r["key"]: (r["n"], np.array(r["s"]), np.array(r["q"]).reshape(dims, dims)) for r in whole.collect()}
 
 
 def pooled(moments: dict, ridge: float) -> tuple[dict, np.ndarray]:
@@ -335,8 +372,6 @@ def p_values(tests: DataFrame, calibration: DataFrame, by: str | None = None) ->
     Both have score, tests also id; with `by` each class is calibrated by itself, and one without calibration by all.
     Exact over all rows: distinct scores are counted, dealt by range and added up within and then over the ranges. Null
     scores count as the greatest."""
-    from tessera.operators.clusters import _cut
-
     score = F.coalesce(F.col("score").cast("double"), F.lit(float("nan"))).alias("score")
     of = (F.col(by) if by else F.lit(None)).cast("string").alias("of")
     cal = calibration.select(of, score).groupBy("of", "score").agg(F.count("*").alias("n"))
@@ -349,13 +384,9 @@ def p_values(tests: DataFrame, calibration: DataFrame, by: str | None = None) ->
         rows = rows.join(classes, "of", "left").withColumn("own", F.col("known").isNotNull())
     else:
         rows = rows.withColumn("own", F.lit(False))
-    rows = _cut(rows.select("id", "own", F.when(F.col("own"), F.col("of")).otherwise(F.lit("")).alias("class"), "score"))
+    rows = cut(rows.select("id", "own", F.when(F.col("own"), F.col("of")).otherwise(F.lit("")).alias("class"), "score"))
     key = ["own", "class"]
     marks = counts.unionByName(rows.select(*key, "score", F.lit(0).cast("long").alias("n"))).groupBy(*key, "score").agg(F.sum("n").alias("n"))
-    dealt = _cut(marks.repartitionByRange(*key, "score").withColumn("part", F.spark_partition_id()))
-    parts = dealt.groupBy(*key, "part").agg(F.sum("n").alias("here"))
-    of_key = Window.partitionBy(*key)
-    parts = parts.select(*key, "part", (F.sum("here").over(of_key.orderBy(F.desc("part"))) - F.col("here")).alias("later"), F.sum("here").over(of_key).alias("size"))
-    falling = Window.partitionBy(*key, "part").orderBy(F.desc("score"))
-    above = dealt.join(parts, [*key, "part"]).select(*key, "score", "size", (F.sum("n").over(falling) + F.col("later")).alias("above"))
-    return rows.join(above, [*key, "score"]).select("id", ((F.col("above") + 1) / (F.col("size") + 1)).alias("p"))
+    above = running(marks, key, [F.desc("score")], {"above": F.col("n")})
+    sizes = counts.groupBy(*key).agg(F.sum("n").alias("size"))
+    return rows.join(above.select(*key, "score", "above"), [*key, "score"]).join(sizes, key, "left").select("id", ((F.col("above") + 1) / (F.coalesce("size", F.lit(0)) + 1)).alias("p"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import clusters as G
 from tessera.operators import discovery as D
+from tessera.operators.order import cut
 from tessera.plans.matcher import NoveltyDetector
 
 
@@ -51,7 +52,7 @@ def discover(queries: DataFrame, references: DataFrame, dims: int, similarity: f
     detector = NoveltyDetector(references, dims)
 
     def detect(s):
-        return {"detected": G._cut(detector.detect(queries))}
+        return {"detected": cut(detector.detect(queries))}
 
     def cluster(s):
         novel = s["detected"].where("is_novel").select("query_id").join(queries, "query_id").select(F.col("query_id").alias("id"), "v", "text")

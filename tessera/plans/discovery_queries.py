@@ -8,7 +8,8 @@ from tessera.operators import clusters as G
 from tessera.operators import discovery as D
 from tessera.operators import hierarchy as H
 from tessera.operators import matching as M
-from tessera.plans.novelty_queries import _predicted
+from tessera.plans.matching_queries import SQL_EVIDENCE
+from tessera.plans.novelty_queries import SQL_TWO, _predicted
 from tessera.plans.registry import DIMS, SQL_EMB, SQL_PROBS, query, references, vectors
 
 _GRAPH = f"""WITH RECURSIVE {SQL_EMB}, nn AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id
@@ -38,7 +39,11 @@ def cluster_communities(t):
     return G.communities(v, G.knn_graph(v, 15))
 
 
-@query("cluster_density")
+@query("cluster_density", f"""WITH RECURSIVE {SQL_EMB}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.v, b.v), 9) >= 1 - 0.7),
+core AS (SELECT a AS id FROM s GROUP BY a HAVING count(*) >= 5), ed AS (SELECT a, b FROM s WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS to_id FROM core UNION SELECT reach.id, ed.b FROM reach JOIN ed ON ed.a = reach.to_id), lab AS (SELECT id, min(to_id) AS component FROM reach GROUP BY id),
+border AS (SELECT a AS id, component FROM (SELECT a, b FROM s WHERE a NOT IN (SELECT id FROM core) AND b IN (SELECT id FROM core) QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) = 1) JOIN lab ON lab.id = b),
+allof AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM (SELECT * FROM lab UNION ALL SELECT * FROM border)) SELECT vec_id AS id, CASE WHEN n >= 5 THEN component ELSE -1 END AS component FROM e LEFT JOIN allof ON allof.id = vec_id""")
 def cluster_density(t):
     return G.density_components(vectors(t), eps=0.7)
 
@@ -73,13 +78,14 @@ def cluster_incremental_assign(t):
     return G.assign(vectors(t), M.class_means(references(t), DIMS), threshold=0.4)
 
 
-_H8 = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % 100"
+_H8 = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % 10000"
 
 
-@query("cluster_stability", f"""WITH {SQL_EMB}, sm AS (SELECT rep, vec_id, label, v FROM e, range(1, 6) r(rep) WHERE {_H8.format("rep || ':' || vec_id")} < 80),
+@query("cluster_stability", f"""WITH {SQL_EMB}, sm AS (SELECT rep, vec_id, label, v FROM e, range(1, 6) r(rep) WHERE {_H8.format("rep || ':' || vec_id")} < 5507),
 mm AS (SELECT rep, label, list(m ORDER BY i) AS mean FROM (SELECT rep, label, i, avg(v[i]) AS m FROM sm, range(1, 65) r(i) GROUP BY ALL) GROUP BY rep, label),
-bb AS (SELECT s.rep, s.label, s.vec_id, min_by(m.label, (-round(list_cosine_similarity(v, mean), 9), m.label)) AS got FROM sm s JOIN mm m USING (rep) GROUP BY ALL)
-SELECT label, round(avg(kept), 6) AS stability FROM (SELECT rep, label, avg((got = label)::INT) AS kept FROM bb GROUP BY ALL) GROUP BY label""")
+bb AS (SELECT s.rep, s.label, s.vec_id, min_by(m.label, (-round(list_cosine_similarity(v, mean), 9), m.label)) AS got FROM sm s JOIN mm m USING (rep) GROUP BY ALL),
+ce AS (SELECT rep, label, got, count(*) AS k, sum(count(*)) OVER (PARTITION BY rep, label) AS n, sum(count(*)) OVER (PARTITION BY rep, got) AS m FROM bb GROUP BY rep, label, got)
+SELECT label, round(avg(j), 6) AS stability FROM (SELECT rep, label, max(k / (n + m - k)) AS j FROM ce GROUP BY ALL) GROUP BY label""")
 def cluster_stability(t):
     return G.stability(vectors(t), DIMS, replicates=5)
 
@@ -148,33 +154,38 @@ def _by_source(t):
     return t("documents").select("source", F.col("doc_id").alias("id"), "text")
 
 
-_EV = "[x for x in regexp_extract_all(lower({0}), '[a-z0-9]+') if len(x) > 2 and x not in ('the','a','an','and','or','of','to','in','for','on','with','at','by','from','is','are','was','were','be','this','that')]"
-
-
-@query("evidence_tfidf", f"""WITH tf AS (SELECT source, doc_id, token, count(*) AS tf FROM (SELECT source, doc_id, unnest({_EV.format('text')}) AS token FROM documents) GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-df AS (SELECT source, token, count(*) AS df FROM tf GROUP BY ALL), w AS (SELECT source, doc_id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (source, token) JOIN n USING (source)),
+@query("evidence_tfidf", f"""WITH tf AS (SELECT source, doc_id, token, count(*) AS tf FROM (SELECT source, doc_id, unnest({SQL_EVIDENCE.format('text')}) AS token FROM documents) GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+df AS (SELECT source, token, count(*) AS df FROM tf GROUP BY source, token QUALIFY row_number() OVER (PARTITION BY source ORDER BY sum(tf) DESC, token) <= 1000), w AS (SELECT source, doc_id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (source, token) JOIN n USING (source)),
 u AS (SELECT source, token, w / sqrt(sum(w * w) OVER (PARTITION BY source, doc_id)) AS w FROM w), m AS (SELECT source, token, round(sum(w) / any_value(n), 9) AS score FROM u JOIN n USING (source) GROUP BY source, token)
 SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, token) AS INT) AS rank, token, round(score, 6) AS score FROM m QUALIFY rank <= 8""")
 def evidence_tfidf(t):
     return D.keywords(_by_source(t), "source")
 
 
-@query("evidence_rake", f"""WITH s AS (SELECT source, {_EV.format('s')} AS w FROM (SELECT source, unnest(regexp_split_to_array(text, '[.!?\\n]+')) AS s FROM documents)), f AS (SELECT * FROM s WHERE len(w) > 0),
-wd AS (SELECT source, word, (sum(l - 1) + count(*)) / count(*) AS r FROM (SELECT source, len(w) AS l, unnest(w) AS word FROM f) GROUP BY ALL),
-pr AS (SELECT source, w[i] AS a, w[i + 1] AS b, count(*) AS n FROM (SELECT source, w, unnest(range(1, len(w))) AS i FROM f) GROUP BY ALL),
-sc AS (SELECT p.source, a || ' ' || b AS phrase, round(n * (x.r + y.r), 6) AS score FROM pr p JOIN wd x ON x.source = p.source AND x.word = a JOIN wd y ON y.source = p.source AND y.word = b)
+@query("evidence_rake", f"""WITH s AS (SELECT source, {SQL_EVIDENCE.format('s')} AS w FROM (SELECT source, unnest(regexp_split_to_array(text, '[.!?;]+')) AS s FROM documents)), f AS (SELECT * FROM s WHERE len(w) > 0),
+wd AS (SELECT source, word, count(*) AS freq, sum(l - 1) AS degree FROM (SELECT source, len(w) AS l, unnest(w) AS word FROM f) GROUP BY ALL),
+pr AS (SELECT source, w[i : i + k - 1] AS run, count(*) AS n FROM (SELECT source, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS k)) GROUP BY ALL),
+sc AS (SELECT e.source, array_to_string(run, ' ') AS phrase, round(any_value(n) * sum(degree) / sum(freq), 6) AS score FROM (SELECT source, run, n, unnest(run) AS word FROM pr) e JOIN wd ON wd.source = e.source AND wd.word = e.word GROUP BY e.source, run)
 SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, phrase) AS INT) AS rank, phrase, score FROM sc QUALIFY rank <= 8""")
 def evidence_rake(t):
     return D.rake(_by_source(t), "source")
 
 
 @query("evidence_representatives", r"""WITH k AS (SELECT source, doc_id AS id, CAST(greatest(1, ceil(1.2 * len([x for x in regexp_split_to_array(lower(text), '\s+') if x <> '']))) AS BIGINT) AS tokens FROM documents),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY tokens, id) AS INT) AS rank, sum(tokens) OVER (PARTITION BY source ORDER BY tokens, id ROWS UNBOUNDED PRECEDING) AS used FROM k)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY id) AS INT) AS rank, sum(tokens) OVER (PARTITION BY source ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM k)
 SELECT source, rank, id, tokens FROM r WHERE rank <= 4 AND (used <= 256 OR rank = 1)""")
 def evidence_representatives(t):
     return D.representatives(_by_source(t), "source")
 
 
+@query("evidence_representatives_near", f"""WITH {SQL_EMB}, mm AS (SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+r AS (SELECT label, vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 5 ELSE 3 END::BIGINT AS tokens, CAST(row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(v, mean), 9) DESC, vec_id) AS INT) AS rank FROM e JOIN mm USING (label)),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY label ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE rank <= 4) SELECT label, rank, id, tokens FROM u WHERE used <= 12 OR rank = 1""")
+def evidence_representatives_near(t):
+    text = F.when(F.col("id") % 3 == 0, "one two three four").otherwise("one two")
+    return D.representatives(vectors(t).withColumn("text", text), "label", budget=12, dims=DIMS)
+
+
 @query("proposals_fallback", f"""WITH {SQL_PROBS}, n AS (SELECT vec_id, predicted, row_number() OVER (PARTITION BY predicted ORDER BY vec_id) AS k FROM pred WHERE round(confidence, 6) < 0.5)
 SELECT 'Novel ' || predicted AS name, 0.5::DOUBLE AS confidence, count(*) AS sample_count, string_agg('vector ' || vec_id, ',' ORDER BY vec_id) FILTER (k <= 3) AS examples FROM n GROUP BY predicted HAVING count(*) >= 3""")
 def proposals_fallback(t):
@@ -182,12 +193,30 @@ def proposals_fallback(t):
     return D.fallback_proposals(novel).withColumn("examples", F.array_join("examples", ","))
 
 
-@query("proposals_conflicts", """WITH p AS (SELECT n_name AS name, [n_nationkey % 7, n_nationkey % 5, n_regionkey] AS ids FROM nation), x AS (SELECT a.name AS a, b.name AS b, list_distinct(a.ids) AS u, list_distinct(b.ids) AS w, len(list_intersect(a.ids, b.ids)) AS shared,
-round(len(list_intersect(a.ids, b.ids)) / len(list_distinct(list_concat(a.ids, b.ids))), 6) AS overlap FROM p a JOIN p b ON a.name < b.name)
-SELECT a, b, overlap, CASE WHEN shared = len(u) OR shared = len(w) THEN 'nested' ELSE 'partial' END AS kind FROM x WHERE shared > 0 AND overlap >= 0.3""")
-def proposals_conflicts(t):
+_CONFLICTS = """WITH p AS (SELECT n_name AS name, replace(lower(n_name), ' ', '') AS plain, CASE WHEN n_nationkey % 6 = 5 THEN [] ELSE list_distinct([n_nationkey % 7, n_nationkey % 5, n_regionkey]) END AS ids,
+list_distinct([CAST(n_nationkey % 4 AS VARCHAR), CAST(n_nationkey % 2 AS VARCHAR)]) AS ex, (n_nationkey % 10) / 10.0 AS confidence, n_nationkey % 8 AS sample_count FROM nation),
+x AS (SELECT a.name AS a, b.name AS b, a.confidence AS ca, b.confidence AS cb, a.sample_count AS sa, b.sample_count AS sb, len(a.ids) AS na, len(b.ids) AS nb, len(list_intersect(a.ids, b.ids)) AS shared,
+CASE WHEN len(a.ids) + len(b.ids) = 0 THEN 0 ELSE round(len(list_intersect(a.ids, b.ids)) / len(list_distinct(list_concat(a.ids, b.ids))), 6) END AS s, round(len(list_intersect(a.ex, b.ex)) / len(list_distinct(list_concat(a.ex, b.ex))), 6) AS e,
+a.plain = b.plain OR (len(a.plain) > 2 AND len(b.plain) > 2 AND (contains(a.plain, b.plain) OR contains(b.plain, a.plain))) AS alike FROM p a JOIN p b ON a.name < b.name),
+y AS (SELECT *, s < 0.3 AND e < 0.3 AS little FROM x WHERE shared > 0 OR alike),
+z AS (SELECT *, CASE WHEN little THEN 1.0 ELSE greatest(s, e) END AS overlap, CASE WHEN little THEN 'duplicate' WHEN na = 0 OR nb = 0 THEN 'partial' WHEN shared = na AND shared = nb THEN 'duplicate' WHEN shared > 0 AND (shared = na OR shared = nb) THEN 'nested' ELSE 'partial' END AS kind FROM y WHERE NOT little OR alike),
+c AS (SELECT a, b, overlap::DOUBLE AS overlap, kind, CASE WHEN CASE kind WHEN 'duplicate' THEN ca >= cb WHEN 'nested' THEN na >= nb ELSE ca >= cb AND sa >= sb END THEN 'keep_a' ELSE 'keep_b' END AS recommendation FROM z)"""
+
+
+def _proposals(t):
     k = F.col("n_nationkey")
-    return D.conflicts(t("nation").select(F.col("n_name").alias("name"), F.array((k % 7).cast("int"), (k % 5).cast("int"), F.col("n_regionkey").cast("int")).alias("source_ids")))
+    ids = F.array((k % 7).cast("int"), (k % 5).cast("int"), F.col("n_regionkey").cast("int"))
+    return t("nation").select(F.col("n_name").alias("name"), F.when(k % 6 == 5, F.array().cast("array<int>")).otherwise(ids).alias("source_ids"), F.array((k % 4).cast("string"), (k % 2).cast("string")).alias("examples"), ((k % 10) / 10.0).alias("confidence"), (k % 8).alias("sample_count"))
+
+
+@query("proposals_conflicts", _CONFLICTS + " SELECT * FROM c")
+def proposals_conflicts(t):
+    return D.conflicts(_proposals(t))
+
+
+@query("proposals_resolved", _CONFLICTS + " SELECT name FROM p WHERE name NOT IN (SELECT CASE recommendation WHEN 'keep_a' THEN b ELSE a END FROM c)")
+def proposals_resolved(t):
+    return D.resolved(_proposals(t)).select("name")
 
 
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'rejected' ELSE 'pending' END"
@@ -247,6 +276,14 @@ def drift_recommendation(t):
     return D.mean_drift(*_halves(t), DIMS).select(F.col("mmd_linear").alias("score"), D.recommendation(F.col("mmd_linear"), 0.05).alias("recommendation"))
 
 
+@query("drift_kl_gaussian_two", f"""WITH {SQL_TWO}, h AS (SELECT vec_id % 2 AS h, avg(x) AS mx, avg(y) AS my, covar_samp(x, x) + 1e-3 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 1e-3 AS d FROM e GROUP BY 1)
+SELECT round(greatest(0, 0.5 * ((o.d * n.a - 2 * o.b * n.b + o.a * n.d + o.d * (n.mx - o.mx) ** 2 - 2 * o.b * (n.mx - o.mx) * (n.my - o.my) + o.a * (n.my - o.my) ** 2) / (o.a * o.d - o.b * o.b) - 2 + ln(o.a * o.d - o.b * o.b) - ln(n.a * n.d - n.b * n.b))), 6) AS kl
+FROM h o, h n WHERE o.h = 0 AND n.h = 1""")
+def drift_kl_gaussian_two(t):
+    halves = [h.withColumn("v", F.slice("v", 1, 2)) for h in _halves(t)]
+    return t.spark.createDataFrame([(round(D.kl_gaussian(*halves, 2, ridge=1e-3), 6),)], "kl double")
+
+
 @query("drift_kl_gaussian")
 def drift_kl_gaussian(t):
     return t.spark.createDataFrame([(round(D.kl_gaussian(*_halves(t), DIMS, ridge=1e-3), 4),)], "kl double")

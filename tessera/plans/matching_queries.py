@@ -12,7 +12,7 @@ from tessera.operators import matching as M
 from tessera.plans.registry import DIMS, SQL_EMB, SQL_PARTS, SQL_PROBS, catalog_of_parts, probes, query, references, vectors
 
 _SQ = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
-_NORM = _SQ.format(r"regexp_replace(lower(strip_accents(trim({0}))), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g')")
+_NORM = _SQ.format(r"regexp_replace(lower(strip_accents(trim({0}))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')")
 
 
 @query("text_normalize", f"SELECT doc_id, md5({_NORM.format('text')}) AS normalized_md5 FROM documents")
@@ -20,15 +20,21 @@ def text_normalize(t):
     return t("documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normalized_md5"))
 
 
-@query("text_normalize_any_script")
-def text_normalize_any_script(t):
-    return t("documents").select("doc_id", F.md5(T.normalize(F.col("text"), any_script=True)).alias("normalized_md5"))
+_MARKED = "lower(trim(text))"
+for _letters, _base in (("äàâ", "a"), ("éèê", "e"), ("íî", "i"), ("óöô", "o"), ("üúû", "u"), ("ñ", "n"), ("ç", "c")):
+    _MARKED = f"regexp_replace({_MARKED}, '[{_letters}]', '{_base} ', 'g')"
 
 
-_CLEAN = _SQ.format("regexp_replace(lower(" + _SQ.format("text") + r"), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')")
+@query("text_normalize_marks", "SELECT doc_id, md5(" + _SQ.format(f"regexp_replace({_MARKED}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')") + ") AS normalized_md5 FROM documents")
+def text_normalize_marks(t):
+    """Accents are kept, which decomposition makes marks of their own; with punctuation they become spaces."""
+    return t("documents").select("doc_id", F.md5(T.normalize(F.col("text"), accents=False)).alias("normalized_md5"))
 
 
-@query("text_clean", f"SELECT doc_id, md5({_CLEAN}) AS clean_md5 FROM documents")
+_CLEANED = lambda x: _SQ.format("regexp_replace(lower(" + _SQ.format(x) + r"), '[^\p{L}\p{N}_\s]', '', 'g')")
+
+
+@query("text_clean", f"SELECT doc_id, md5({_CLEANED('text')}) AS clean_md5 FROM documents")
 def text_clean(t):
     return t("documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("clean_md5"))
 
@@ -41,8 +47,10 @@ def text_tokenize(t):
     return t("documents").select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"), T.token_estimate(F.col("text")).alias("token_estimate"))
 
 
-@query("text_evidence_tokens", r"""SELECT doc_id, CAST(len([x for x in regexp_extract_all(lower(text), '[a-z0-9]+') if len(x) > 2 and
-x not in ('the','a','an','and','or','of','to','in','for','on','with','at','by','from','is','are','was','were','be','this','that')]) AS INT) AS n FROM documents""")
+SQL_EVIDENCE = "[x for x in regexp_extract_all(lower({0}), '[a-z0-9]+') if len(x) > 2 and x not in (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")]"
+
+
+@query("text_evidence_tokens", f"SELECT doc_id, CAST(len({SQL_EVIDENCE.format('text')}) AS INT) AS n FROM documents")
 def text_evidence_tokens(t):
     return t("documents").select("doc_id", F.size(T.evidence_tokens(F.col("text"))).alias("n"))
 
@@ -57,10 +65,19 @@ _TYPO = f"""SELECT p_name, w, i, w[i] AS word FROM (SELECT p_name, w, list_posit
 _TYPO_TEXT = "CASE WHEN len(word) >= 5 THEN array_to_string([CASE WHEN j = i THEN substr(word, 1, len(word) // 2) || substr(word, len(word) // 2 + 2) ELSE w[j] END for j in range(1, len(w) + 1)], ' ') ELSE p_name END"
 
 
-@query("text_perturb_holdout", f"""WITH z AS ({_TYPO}), v AS (SELECT replace(p_name, ' ', '_') AS id, p_name, unnest([{{'at': 0, 'variant': 'typo', 'text': {_TYPO_TEXT}}}, {{'at': 4, 'variant': 'upper', 'text': upper(p_name)}}]) AS u FROM z)
-SELECT id, u.variant AS variant, u.text AS text FROM v WHERE u.text <> p_name QUALIFY row_number() OVER (PARTITION BY id, u.text ORDER BY u.at) = 1""")
+@query("text_perturb_holdout", f"""WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' & Sons' WHEN 2 THEN p_name || ' (' || p_brand || ')' ELSE p_name || ' & Sons (' || p_brand || '), ' || p_type END AS name,
+p_name || ' SONS!' AS other FROM part), w AS (SELECT *, string_split({_CLEANED('name')}, ' ') AS w, {_CLEANED('name')} AS base FROM p), z AS (SELECT *, list_position([len(x) for x in w], list_max([len(x) for x in w])) AS i FROM w),
+t AS (SELECT *, CASE WHEN len(w[i]) >= 5 THEN array_to_string([CASE WHEN j = i THEN substr(w[j], 1, len(w[j]) // 2) || substr(w[j], len(w[j]) // 2 + 2) ELSE w[j] END for j in range(1, len(w) + 1)], ' ') ELSE base END AS typo FROM z),
+v AS (SELECT id, other, unnest([{{'at': 0, 'variant': 'typo', 'text': typo}}, {{'at': 1, 'variant': 'remove_parenthetical', 'text': {_CLEANED("regexp_replace(name, '[(][^)]*[)]', ' ', 'g')")}}}, {{'at': 2, 'variant': 'ampersand_expanded', 'text': {_CLEANED("replace(name, '&', ' and ')")}}},
+{{'at': 3, 'variant': 'first_clause', 'text': {_CLEANED("regexp_extract(name, '^[^,;]*')")}}}, {{'at': 4, 'variant': 'normalized_verbatim', 'text': base}}]) AS u FROM t)
+SELECT id, u.variant AS variant, u.text AS text FROM v WHERE u.text <> '' AND u.text <> {_CLEANED('other')} QUALIFY row_number() OVER (PARTITION BY id, u.text ORDER BY u.at) = 1""")
 def text_perturb_holdout(t):
-    return C.holdout_queries(catalog_of_parts(t))
+    """Names with ampersands, parentheses and clauses; a text that the entity has already is left out."""
+    name, k = F.col("p_name"), F.col("p_partkey") % 4
+    sons, brand = F.concat(name, F.lit(" & Sons")), F.concat(F.lit(" ("), "p_brand", F.lit(")"))
+    full = F.when(k == 0, name).when(k == 1, sons).when(k == 2, F.concat(name, brand)).otherwise(F.concat(sons, brand, F.lit(", "), "p_type"))
+    rows = t("part").select(F.col("p_partkey").alias("id"), full.alias("name"), F.concat(name, F.lit(" SONS!")).alias("text"))
+    return C.holdout_queries(rows, rows.select("id", "text"))
 
 
 @query("text_letter_case", r"""SELECT DISTINCT p_brand, CASE WHEN regexp_matches(p_brand, '^\P{L}*(\p{Lu}\p{Ll}*\P{L}+)*\p{Lu}\p{Ll}*\P{L}*$') THEN 'title_case' WHEN upper(p_brand) = p_brand AND lower(p_brand) <> p_brand THEN 'uppercase'

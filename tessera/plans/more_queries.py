@@ -11,7 +11,7 @@ from tessera.functions import vectors as V
 from tessera.operators import combine as K
 from tessera.operators import evaluation as E
 from tessera.operators import matching as M
-from tessera.operators import strategies as S
+from tessera.operators.order import running
 from tessera.plans.matching_queries import _TYPO, _TYPO_TEXT, _typo_queries
 from tessera.plans.novelty_queries import _RATES, _RUN, _SIG, _scores, _signals
 from tessera.plans.registry import SQL_EMB, SQL_SCORES, catalog_of_parts, probes, query, references
@@ -26,9 +26,9 @@ SELECT query_id, name, score FROM s QUALIFY row_number() OVER (PARTITION BY quer
 def encode_lexical_match(t):
     q = encode.encoded(_typo_queries(t)).select("query_id", "v")
     names = encode.encoded(catalog_of_parts(t).select(F.col("name").alias("text"))).select(F.col("text").alias("label"), F.col("v").alias("mean"))
-    rows = M.against_classes(q, names, [], V.cosine).select("query_id", F.explode("scores").alias("s")).select("query_id", F.col("s.label").alias("name"), F.round("s.score", 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
-    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("query_id", "name", "score")
+    # the names come in order: of equal scores the first is taken within the row, so that no pair leaves it
+    best = F.array_max(F.transform("scores", lambda s, i: F.struct(F.round(s["score"], 6).alias("score"), (-i).alias("i"), s["label"].alias("name"))))
+    return M.against_classes(q, names, [], V.cosine).select("query_id", best["name"].alias("name"), best["score"].alias("score"))
 
 
 _KS = (1, 5, 10, 20)
@@ -77,9 +77,8 @@ SELECT section, id, CASE WHEN k > n - ceil(n * 0.2) THEN 'novel' ELSE 'known' EN
 def split_processed_ood(t):
     """The last fifth of each section is novel."""
     rows = t("customer").select(F.col("c_mktsegment").alias("section"), F.col("c_custkey").alias("id"))
-    k = F.row_number().over(Window.partitionBy("section").orderBy("id"))
-    n = F.count("*").over(Window.partitionBy("section"))
-    return rows.withColumn("k", k).withColumn("n", n).select("section", "id", F.when(F.col("k") > F.col("n") - F.ceil(F.col("n") * F.lit(0.2)), "novel").otherwise("known").alias("part"))
+    placed = running(rows, ["section"], [F.col("id")], {"k": F.lit(1)}).join(rows.groupBy("section").agg(F.count("*").alias("n")), "section")
+    return placed.select("section", "id", F.when(F.col("k") > F.col("n") - F.ceil(F.col("n") * F.lit(0.2)), "novel").otherwise("known").alias("part"))
 
 
 @query("score_normalize", f"WITH {SQL_SCORES} SELECT vec_id AS query_id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS normalized FROM scores")
@@ -89,15 +88,20 @@ def score_normalize(t):
     return rows.select("query_id", F.round(K.calibrated(F.col("score"), lo, hi), 6).alias("normalized"))
 
 
-_ER = "er AS (SELECT b.item_id AS left_id, d.doc_id AS right_id, list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{M}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(d.text), '[\\p{L}\\p{M}\\p{N}_]+')) AS w, contains(d.text, b.text) AS novel FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"
+_GRAM_SET = "list_distinct([substr({0}, i, 3) for i in range(1, len({0}) - 1)])"
+_ER = f"""er AS (SELECT c_nationkey = s_nationkey AS novel, {_GRAM_SET.format("coalesce(c_name, '')")} AS a, {_GRAM_SET.format("coalesce(s_name, '')")} AS w FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 120)"""
 
 
-@query("eval_er_threshold_sweep", f"WITH {_ER}, scores AS (SELECT novel, round(len(list_intersect(a, w)) / len(list_distinct(list_concat(a, w))), 6) AS score FROM er), th AS (SELECT i / 10.0::DOUBLE AS t FROM range(1, 10) r(i)), sw AS (SELECT t AS threshold, sum((score >= t AND novel)::INT)::BIGINT AS tp, sum((score >= t AND NOT novel)::INT)::BIGINT AS fp, sum((score < t AND novel)::INT)::BIGINT AS fn, sum((score < t AND NOT novel)::INT)::BIGINT AS tn FROM scores, th GROUP BY t) SELECT *, {_RATES} FROM sw")
+@query("eval_er_threshold_sweep", f"WITH {_ER}, scores AS (SELECT coalesce(novel, false) AS novel, CASE WHEN len(a) + len(w) = 0 THEN 0 ELSE round(len(list_intersect(a, w)) / len(list_distinct(list_concat(a, w))), 6) END AS score FROM er), th AS (SELECT i / 10.0::DOUBLE AS t FROM range(1, 10) r(i)), sw AS (SELECT t AS threshold, sum((score >= t AND novel)::INT)::BIGINT AS tp, sum((score >= t AND NOT novel)::INT)::BIGINT AS fp, sum((score < t AND novel)::INT)::BIGINT AS fn, sum((score < t AND NOT novel)::INT)::BIGINT AS tn FROM scores, th GROUP BY t) SELECT *, {_RATES} FROM sw")
 def eval_er_threshold_sweep(t):
-    left = t("benchmark").select((F.col("item_id") % 40).alias("m"), F.col("text").alias("a"))
-    right = t("documents").select((F.col("doc_id") % 40).alias("m"), F.col("text").alias("b"))
-    tokens = lambda c: F.array_distinct(T.tokens(F.col(c)))
-    rows = left.join(right, "m").select(F.round(T.jaccard(tokens("a"), tokens("b")), 6).alias("score"), F.col("b").contains(F.col("a")).alias("novel"))
+    """All labelled pairs, scored by the Jaccard similarity of the names' 3-grams."""
+    k = F.col("c_custkey")
+    left = t("customer").select(k.alias("id"), F.col("c_name").alias("text"), "c_nationkey")
+    right = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"), "s_nationkey")
+    labels = t("customer").join(right.withColumnRenamed("id", "right_id"), (k % 120) == F.col("right_id"), "left")
+    pairs = labels.select(k.alias("left_id"), (k % 120).alias("right_id"), F.coalesce(F.col("c_nationkey") == F.col("s_nationkey"), F.lit(False)).alias("novel"))
+    grams = lambda c: F.array_distinct(T.char_ngrams(F.col(c), 3))
+    rows = E.er_pairs(pairs, left, right).select("novel", F.round(T.jaccard(grams("left"), grams("right")), 6).alias("score"))
     return E.threshold_sweep(rows, [i / 10 for i in range(1, 10)])
 
 
@@ -112,28 +116,18 @@ def compare_to_baseline(t):
 SELECT source, CAST(floor((k - 1) / 20) AS BIGINT) AS part, count(*) AS members, CAST(sum(n) AS BIGINT) AS chars, min(doc_id) AS first_id FROM k GROUP BY ALL""")
 def proposal_group_summary(t):
     """Members of each group in chunks of twenty."""
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = t("documents").select("source", "doc_id", F.length("text").alias("n"), k.alias("k"))
+    rows = running(t("documents").select("source", "doc_id", F.length("text").alias("n")), ["source"], [F.col("doc_id")], {"k": F.lit(1)})
     return rows.groupBy("source", F.floor((F.col("k") - 1) / 20).alias("part")).agg(F.count("*").alias("members"), F.sum("n").alias("chars"), F.min("doc_id").alias("first_id"))
 
 
 @query("retrieval_by_class", f"""WITH {SQL_EMB} SELECT a.vec_id AS query_id, b.label, b.vec_id AS ref_id, round(round(list_cosine_similarity(a.v, b.v), 9), 6) AS score FROM e a, ref b WHERE a.label >= 8
 QUALIFY row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) = 1""")
 def retrieval_by_class(t):
-    """The nearest example of each known class for every novel vector."""
-    novel, refs = probes(t).where("label >= 8").select("query_id", "v"), references(t)
-    out = None
-    for label in sorted(r[0] for r in refs.select("label").distinct().collect()):
-        one = M.nearest(novel, refs.where(F.col("label") == label), 1).select("query_id", F.lit(label).alias("label"), "ref_id", F.round("score", 6).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The nearest example of each known class for every novel vector, in one search."""
+    novel = probes(t).where("label >= 8").select("query_id", "v")
+    return M.nearest(novel, references(t), 1, each="label").select("query_id", "label", "ref_id", F.round("score", 6).alias("score"))
 
 
 @query("split_detection_by_share", _RUN + " SELECT round(sum(CASE WHEN fp <= floor(0.01 * neg) THEN p ELSE 0 END) / any_value(tot), 6) AS detection_rate FROM r")
 def split_detection_by_share(t):
     return E.detection_rate_budget(_scores(t), 0.01, at_least=0)
-
-
-@query("ood_strategies_registered")
-def ood_strategies_registered(t):
-    return t.spark.createDataFrame([(n, K.WEIGHTS[n]) for n in sorted(S.STRATEGIES)], "strategy string, weight double")

@@ -80,7 +80,7 @@ _COHESION = "co AS (SELECT label, any_value(n) AS n, (sum(s * s) - any_value(n))
 
 
 @query("ood_clustering", f"""WITH {SQL_EMB}, {_COHESION.format(src='ref')}, b AS (SELECT vec_id, min_by(label, (round(1 - c, 9), label)) AS label, min(round(1 - c, 9)) AS d FROM cd GROUP BY vec_id), l AS (SELECT quantile_cont(d, 0.9) AS lim FROM b)
-SELECT vec_id AS query_id, CASE WHEN d > lim THEN -1 ELSE b.label END AS cluster, round(d, 6) AS distance, round(cohesion, 6) AS cohesion, d > lim OR NOT (n >= 5 AND cohesion >= 0.45) AS is_novel FROM b JOIN co ON co.label = b.label, l""")
+SELECT vec_id AS query_id, CASE WHEN d > lim THEN -1 ELSE b.label END AS cluster, round(d, 6) AS distance, round(cohesion, 6) AS cohesion, d > lim OR NOT (n >= 5 AND cohesion >= 0.45) OR cohesion > 0.45 AS is_novel FROM b JOIN co ON co.label = b.label, l""")
 def ood_clustering(t):
     return S.clustering(probes(t), references(t), DIMS)
 
@@ -96,19 +96,35 @@ def ood_lof(t):
 
 
 def _nation_texts(t):
-    return t("nation").select(F.col("n_nationkey").alias("query_id"), F.lower(F.concat_ws(" ", "n_name", F.lit("bolt"))).alias("text"))
+    """Names of all lengths: of two characters, which have no n-grams, of three, and longer ones."""
+    name, k = F.lower("n_name"), F.col("n_nationkey") % 5
+    text = F.when(k == 0, F.left(name, F.lit(2))).when(k == 1, F.left(name, F.lit(3))).when(k == 2, F.upper(name)).otherwise(F.concat_ws(" ", name, F.lit("bolt and more of it")))
+    return t("nation").select(F.col("n_nationkey").alias("query_id"), text.alias("text"))
 
 
-@query("ood_pattern", """WITH k AS (SELECT DISTINCT p_name AS text FROM part), st AS (SELECT avg(len(text)) AS m, stddev_pop(len(text)) AS s, count(*) AS n FROM k),
-q AS (SELECT n_nationkey AS query_id, lower(n_name || ' bolt') AS text FROM nation), g3 AS (SELECT DISTINCT unnest([substr(text, i, 3) for i in range(1, len(text) - 1)]) AS g FROM k), g4 AS (SELECT DISTINCT unnest([substr(text, i, 4) for i in range(1, len(text) - 2)]) AS g FROM k),
+def _pattern_sql(case: str) -> str:
+    return f"""WITH k AS (SELECT DISTINCT p_name AS text FROM part), st AS (SELECT min(len(text)) AS low, max(len(text)) AS high, bool_and(lower(text) = text) AS all_lower, count(*) FILTER (len(text) >= 3) AS n FROM k),
+q AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 5 WHEN 0 THEN left(lower(n_name), 2) WHEN 1 THEN left(lower(n_name), 3) WHEN 2 THEN upper(n_name) ELSE lower(n_name) || ' bolt and more of it' END AS text FROM nation),
+g3 AS (SELECT DISTINCT unnest([substr(text, i, 3) for i in range(1, len(text) - 1)]) AS g FROM k), g4 AS (SELECT DISTINCT unnest([substr(text, i, 4) for i in range(1, len(text) - 2)]) AS g FROM k),
 q3 AS (SELECT query_id, 1 - sum((g IN (SELECT g FROM g3))::INT) / count(*) AS a FROM (SELECT DISTINCT query_id, unnest([substr(text, i, 3) for i in range(1, len(text) - 1)]) AS g FROM q) GROUP BY query_id),
 q4 AS (SELECT query_id, 1 - sum((g IN (SELECT g FROM g4))::INT) / count(*) AS b FROM (SELECT DISTINCT query_id, unnest([substr(text, i, 4) for i in range(1, len(text) - 2)]) AS g FROM q) GROUP BY query_id),
-z AS (SELECT query_id, round(0.25 * a + 0.2 * b + 0.15 * least(abs(len(text) - m) / (3 * s), 1) + 0.1 * 0.3 + 0.15 * (1 - coalesce((SELECT count(*) FROM k WHERE left(k.text, 3) = left(q.text, 3)) / n, 0))
-+ 0.15 * (1 - coalesce((SELECT count(*) FROM k WHERE right(k.text, 3) = right(q.text, 3)) / n, 0)), 6) AS score FROM q JOIN q3 USING (query_id) JOIN q4 USING (query_id), st) SELECT query_id, score, score >= 0.5 AS is_novel FROM z""")
+fp AS (SELECT left(text, 3) AS k, count(*) AS c FROM k WHERE len(text) >= 3 GROUP BY 1), fs AS (SELECT right(text, 3) AS k, count(*) AS c FROM k WHERE len(text) >= 3 GROUP BY 1),
+y AS (SELECT query_id, list_filter([a::DOUBLE, b::DOUBLE, CASE WHEN high > low THEN least(1, CASE WHEN len(text) < low THEN (low - len(text)) / low WHEN len(text) > high THEN (len(text) - high) / high ELSE 0 END) END, {case},
+1 - coalesce(fp.c, 0) / n, 1 - coalesce(fs.c, 0) / n], lambda x: x IS NOT NULL) AS s FROM q LEFT JOIN q3 USING (query_id) LEFT JOIN q4 USING (query_id) LEFT JOIN fp ON fp.k = left(q.text, 3) LEFT JOIN fs ON fs.k = right(q.text, 3), st),
+z AS (SELECT query_id, round(list_sum([s[i] * ([0.25, 0.2, 0.15, 0.1, 0.15, 0.15])[i] for i in range(1, len(s) + 1)]) / list_sum(([0.25, 0.2, 0.15, 0.1, 0.15, 0.15])[1 : len(s)]), 6)::DOUBLE AS score FROM y) SELECT query_id, score, score >= 0.5 AS is_novel FROM z"""
+
+
+@query("ood_pattern", _pattern_sql("0.7"))
 def ood_pattern(t):
     return S.pattern(_nation_texts(t), catalog_of_parts(t).select(F.col("name").alias("text")))
 
 
+@query("ood_pattern_by_case", _pattern_sql("CASE WHEN all_lower AND lower(q.text) = q.text AND upper(q.text) <> q.text THEN 0.0 ELSE 0.3 END"))
+def ood_pattern_by_case(t):
+    """All part names are lower case, so that lower case is known and any other is not."""
+    return S.pattern(_nation_texts(t), catalog_of_parts(t).select(F.col("name").alias("text")), by_case=True)
+
+
 @query("ood_mahalanobis")
 def ood_mahalanobis(t):
     return S.mahalanobis(_predicted(t), references(t), DIMS)
@@ -119,6 +135,30 @@ def ood_mixture_gaussian(t):
     return S.mixture_gaussian(probes(t), references(t), DIMS, ridge=1e-3)
 
 
+# Two dimensions, where SQL can invert the matrices.
+SQL_TWO = """e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), ref AS (SELECT * FROM e WHERE label < 8),
+mo AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) * count(*) AS xx, covar_pop(x, y) * count(*) AS xy, covar_pop(y, y) * count(*) AS yy FROM ref GROUP BY label)"""
+
+
+def _two(df):
+    return df.withColumn("v", F.slice("v", 1, 2))
+
+
+@query("ood_mahalanobis_two", f"""WITH {SQL_TWO}, w AS (SELECT sum(xx) / (sum(n) - count(*)) + 1e-4 AS a, sum(xy) / (sum(n) - count(*)) AS b, sum(yy) / (sum(n) - count(*)) + 1e-4 AS d FROM mo), f AS (SELECT avg(mx) AS mx, avg(my) AS my FROM mo),
+g AS (SELECT vec_id, x - coalesce(mo.mx, f.mx) AS x, y - coalesce(mo.my, f.my) AS y FROM e LEFT JOIN mo USING (label), f), m AS (SELECT vec_id, round(sqrt((d * x * x - 2 * b * x * y + a * y * y) / (a * d - b * b)), 6) AS m FROM g, w)
+SELECT vec_id AS query_id, m AS distance, round(1 - exp(-m / 3), 6) AS score, m >= 3 AS is_novel FROM m""")
+def ood_mahalanobis_two(t):
+    """The predicted class is the true one, which is unseen for novel rows."""
+    return S.mahalanobis(_two(probes(t)).withColumn("predicted", F.col("label")), _two(references(t)), 2)
+
+
+@query("ood_mixture_gaussian_two", f"""WITH {SQL_TWO}, c AS (SELECT label, mx, my, xx / (n - 1) + 1e-3 AS a, xy / (n - 1) AS b, yy / (n - 1) + 1e-3 AS d, ln(n / sum(n) OVER ()) AS p FROM mo),
+ll AS (SELECT vec_id, e.label < 8 AS known, max(-0.5 * ((d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b) + ln(a * d - b * b) + 2 * ln(2 * pi())) + p) AS l FROM e, c GROUP BY vec_id, e.label),
+lim AS (SELECT avg(l) - 2 * stddev_pop(l) AS lim FROM ll WHERE known) SELECT vec_id AS query_id, round(l, 4) AS log_likelihood, l < lim AS is_novel FROM ll, lim""")
+def ood_mixture_gaussian_two(t):
+    return S.mixture_gaussian(_two(probes(t)), _two(references(t)), 2, ridge=1e-3)
+
+
 @query("ood_self_knowledge")
 def ood_self_knowledge(t):
     return S.self_knowledge(probes(t), references(t))
@@ -219,9 +259,10 @@ def report_signal_counts(t):
     return K.signal_counts(_signals(t), FLAGS)
 
 
-@query("report_novel_samples")
+@query("report_novel_samples", _SIG + f" SELECT query_id, round({_W}, 6) AS score, f_confidence, f_uncertainty, f_knn, f_centroid FROM sig WHERE f_confidence OR f_uncertainty OR f_knn OR f_centroid")
 def report_novel_samples(t):
-    return K.report(_signals(t).withColumn("score", F.round(_weighted(), 6)), FLAGS)
+    rows = K.report(_signals(t).withColumn("score", F.round(_weighted(), 6)), FLAGS)
+    return rows.select("query_id", "score", *[F.col("signals")[f].alias(f) for f in FLAGS])
 
 
 @query("weights_adaptive", f"""WITH {SQL_EMB}, {_KNN.replace('e a, ref b', 'ref a, ref b WHERE a.vec_id <> b.vec_id')}, km AS (SELECT avg(mean_distance) AS m FROM knn),
@@ -231,7 +272,7 @@ unnest([0.45 * (1 + 0.5 / (1 + m)), 0.45 * (1 + 0.5 * least(inter / intra / 3, 1
 def weights_adaptive(t):
     refs = references(t)
     means = M.class_means(refs, DIMS)
-    own = refs.join(F.broadcast(means.select("label", "mean")), "label").agg(F.avg(1 - V.cosine(F.col("v"), F.col("mean")))).first()[0]
+    own = refs.join(means.select("label", "mean"), "label").agg(F.avg(1 - V.cosine(F.col("v"), F.col("mean")))).first()[0]
     pairs = M.against_classes(means.select(F.col("label").alias("query_id"), F.col("mean").alias("v")), means, [], lambda a, b: 1 - V.cosine(a, b))
     inter = pairs.select("query_id", F.explode("scores").alias("s")).where("query_id < s.label").agg(F.avg("s.score")).first()[0]
     knn = S.knn_distance(refs.withColumnRenamed("ref_id", "query_id"), refs, skip_same=True).agg(F.avg("mean_distance")).first()[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,14 +9,14 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import catalog as C
 from tessera.operators import matching as M
-from tessera.plans.matching_queries import _typo_queries
-from tessera.plans.registry import DIMS, catalog_of_parts, query, references
+from tessera.operators.order import shared_dir
+from tessera.plans.matching_queries import _BEST, _LEX, _typo_queries
+from tessera.plans.registry import DIMS, SQL_EMB, catalog_of_parts, query, references
 from tessera.streaming import jobs
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(t, table, folder):
@@ -27,7 +26,7 @@ def _stream(t, table, folder):
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
 
 
-@query("stream_match")
+@query("stream_match", f"SELECT query_id, id, score FROM ({_LEX + _BEST.format(src='rowz', thr=0.5, k=1)})")
 def stream_match(t):
     folder = _folder(t.spark)
     _typo_queries(t).write.parquet(f"{folder}/in")
@@ -36,7 +35,7 @@ def stream_match(t):
     return t.spark.read.parquet(f"{folder}/out").select("query_id", "id", "score")
 
 
-@query("stream_incremental_cluster")
+@query("stream_incremental_cluster", f"WITH {SQL_EMB}, b AS (SELECT vec_id AS id, min_by(label, (-round(c, 9), label)) AS l, max(round(c, 9)) AS s FROM cd GROUP BY vec_id) SELECT id, CASE WHEN s >= 0.4 THEN l ELSE -1 END AS cluster, round(s, 6) AS similarity FROM b")
 def stream_incremental_cluster(t):
     folder = _folder(t.spark)
     stream = _stream(t, "embeddings", folder).select(F.col("vec_id").alias("id"), V.dbl(F.col("embedding")).alias("v"))
@@ -44,7 +43,8 @@ def stream_incremental_cluster(t):
     return t.spark.read.parquet(f"{folder}/assigned").select("id", "cluster", "similarity")
 
 
-@query("stream_drift")
+@query("stream_drift", f"""WITH {SQL_EMB}, m AS (SELECT i, avg(v[i]) FILTER (label < 8) AS b, avg(v[i]) AS c FROM e, range(1, 65) r(i) GROUP BY i), d AS (SELECT round(sum((c - b) * (c - b)), 6) AS mmd_linear, round(1 - sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) AS cosine_centroid FROM m)
+SELECT *, CASE WHEN mmd_linear <= 0.05 THEN 'monitor' WHEN mmd_linear > 3 * 0.05 THEN 'retrain' ELSE 'add_entities' END AS recommendation FROM d""")  # the table is one file, so one batch
 def stream_drift(t):
     folder = _folder(t.spark)
     stream = _stream(t, "embeddings", folder).select(V.dbl(F.col("embedding")).alias("v"))

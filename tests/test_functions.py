@@ -20,7 +20,10 @@ def one(spark, value, expr, kind="string"):
         ("  hello   world  ", {}, "hello world"),
         ("United States (USA)", {}, "united states usa"),
         (None, {}, ""),
-        ("Ｆｕｌｌ Ñandú", {"any_script": True}, "full nandu"),
+        ("Ｆｕｌｌ Ñandú", {}, "full nandu"),
+        ("ﬁn … Żółw ½ ß", {}, "fin zołw 1 2 ß"),
+        ("Café, Été", {"accents": False, "punctuation": False}, "cafe\u0301, e\u0301te\u0301"),
+        ("привет Ёж", {}, "привет еж"),
     ],
 )
 def test_normalize(spark, raw, kwargs, expected):
@@ -32,7 +35,7 @@ def test_tokens(spark):
     assert one(spark, "Hello,   World!  ", T.clean) == "hello world"
     assert set(one(spark, "USA (United States), UK (United Kingdom)", T.aliases_of)) >= {"USA", "UK"}
     assert one(spark, " a | b||", T.split_aliases) == ["a", "b"]
-    assert one(spark, "The big cat and it", T.evidence_tokens) == ["big", "cat"]
+    assert one(spark, "The big cat was into it", T.evidence_tokens) == ["big", "cat", "was"]
 
 
 def test_variants(spark):

@@ -183,9 +183,14 @@ def test_hierarchy(spark):
 
 
 def test_proposals_and_reviews(spark):
-    p = spark.createDataFrame([("Tech Startup", [1, 2, 3]), ("techstartup", [9]), ("Other", [2, 3, 4])], "name string, source_ids array<int>")
-    kinds = {(r["a"], r["b"]): r["kind"] for r in D.conflicts(p).collect()}
-    assert kinds == {("Tech Startup", "techstartup"): "duplicate", ("Other", "Tech Startup"): "partial"}
+    rows = [("Tech Startup", [1, 2, 3], ["x"], 0.9, 5), ("techstartup", [9], ["y"], 0.5, 2), ("Other", [2, 3, 4], ["x"], 0.4, 9), ("Nested", [2, 3], [], 0.7, 1), ("startup", [77], [], 0.2, 1), ("Alone", [50], ["x"], 0.9, 9)]
+    p = spark.createDataFrame(rows, "name string, source_ids array<int>, examples array<string>, confidence double, sample_count int")
+    got = {(r["a"], r["b"]): (r["overlap"], r["kind"], r["recommendation"]) for r in D.conflicts(p).collect()}
+    assert got == {
+        ("Tech Startup", "techstartup"): (1.0, "duplicate", "keep_a"), ("Other", "Tech Startup"): (1.0, "partial", "keep_b"), ("Nested", "Tech Startup"): (0.666667, "nested", "keep_b"), ("Nested", "Other"): (0.666667, "nested", "keep_b"),
+        ("Tech Startup", "startup"): (1.0, "duplicate", "keep_a"), ("startup", "techstartup"): (1.0, "duplicate", "keep_b"),
+    }
+    assert {r["name"] for r in D.resolved(p).collect()} == {"Tech Startup", "Alone"}
     reviews = spark.createDataFrame([("x", "pending"), ("y", "rejected")], "review_id string, state string")
     moves = spark.createDataFrame([("x", "approved"), ("y", "promoted")], "review_id string, to string")
     assert {r["review_id"]: (r["state"], r["ok"]) for r in D.moved(reviews, moves).collect()} == {"x": ("approved", True), "y": ("rejected", False)}
@@ -340,3 +345,60 @@ def test_fuzzy_scores_all_pairs(spark):
             scores = [(-round(B.indel_ratio(key(text), key(t)), 6), j) for j, t in enumerate(names) if key(text) and key(t)]
             assert got.get(i, []) == [(j, -s) for s, j in sorted(scores)[:3] if -s >= 70]
         assert (0, 80.0) in got[0] and (1, 80.0) in got[1] and (2, 75.0) in got[2]
+
+
+def test_hierarchy_of_any_depth(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(40)] + [("x", "y", 1.0), ("y", "x", 1.0)], "src string, dst string, weight double")
+    assert H.closure(chain).agg(F.max("depth")).first()[0] == 40 and H.closure(chain, 3).agg(F.max("depth")).first()[0] == 3
+    paths = {r["id"]: r["path"] for r in H.root_paths(chain).collect()}
+    assert len(paths["n40"]) == 41 and paths["n40"][0] == "n00" and paths["x"] == ["y", "x"]
+
+
+def test_percentile_and_running_sums(spark, monkeypatch):
+    from tessera.operators import order
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=700), np.full(300, 0.25)])
+    rows = spark.createDataFrame([(i, i % 3, float(v)) for i, v in enumerate(x)], "id long, k int, x double").repartition(7)
+    for limit in (1_000_000, 20):
+        monkeypatch.setattr(order, "SMALL", limit)
+        for share in (0.0, 0.05, 0.5, 0.937, 1.0):
+            assert order.percentile(rows, "x", share) == pytest.approx(np.quantile(x, share))
+    assert order.percentile(rows.limit(0), "x", 0.5) is None
+    got = {r["id"]: r["s"] for r in order.running(rows, ["k"], [F.desc("id")], {"s": F.col("x")}).collect()}
+    for i in (0, 500, 999):
+        assert got[i] == pytest.approx(sum(x[j] for j in range(i, 1000) if j % 3 == i % 3))
+
+
+def test_scatter_sums_partitions(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    rows = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "label int, v array<double>").repartition(9)
+    n, s, q = S.scatter(rows, 5, "label")["1"]
+    part = x[1::3]
+    assert n == 100 and np.allclose(s, part.sum(0)) and np.allclose(q, part.T @ part) and S.scatter(rows, 5)[None][0] == 300
+    with pytest.raises(ValueError):
+        S.scatter(rows, 5, "label", most_bytes=100)
+
+
+def test_bm25_in_blocks_equals_formula(spark, monkeypatch):
+    from tessera.operators import blocking as B
+
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocab, int(rng.integers(0, 12)), p=np.arange(1, 31) / 465)) for _ in range(60)]
+    queries = [" ".join(rng.choice(vocab + ["new"], 5)) for _ in range(15)]
+    words = [t.split() for t in texts]
+    n, mean = len(texts), np.mean([len(w) for w in words])
+    df = {v: sum(v in w for w in words) for v in vocab if any(v in w for w in words)}
+    raw = {v: np.log((n - d + 0.5) / (d + 0.5)) for v, d in df.items()}
+    idf = {v: r if r >= 0 else 0.25 * np.mean(list(raw.values())) for v, r in raw.items()}
+    score = lambda q, w: sum(idf.get(v, 0) * w.count(v) * 2.5 / (w.count(v) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for v in q.split())
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    qs = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
+    for cells in (8_000_000, 40):
+        monkeypatch.setattr(B, "BLOCK_CELLS", cells)
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in B.bm25(qs, docs, 4).collect()}
+        for i, q in enumerate(queries):
+            best = sorted(((-round(score(q, w), 9), j) for j, w in enumerate(words) if round(score(q, w), 9)), key=lambda x: x)[:4]
+            assert [got.get((i, k + 1)) for k in range(len(best))] == [(j, pytest.approx(-s, abs=1e-6)) for s, j in best] and (i, len(best) + 1) not in got
