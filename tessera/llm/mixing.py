@@ -69,8 +69,9 @@ def _array(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = 1 << 14, max_labelled: int = 20_000, sharpness: float = 50.0, grid: int = 256) -> DataFrame:
-    """doc_id, n_tokens and for each domain its share of grid, as a whole number, for every row of docs.
+def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], buckets: int = 1 << 14, max_labelled: int = 20_000, sharpness: float = 50.0, grid: int | None = 256) -> DataFrame:
+    """doc_id, n_tokens and for each domain its share of grid, as a whole number (of 1 and as it is, without a grid), for
+    every row of docs.
 
     The log odds are summed over a text's distinct words, as if it had at most `sharpness` of them, so that long texts
     don't become certain by length alone. A text without words has the priors."""
@@ -85,27 +86,32 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], buckets:
     top = F.greatest(*[F.col(f"z{k}") for k in range(len(domains))])
     exps = [F.exp(F.col(f"z{k}") - top) for k in range(len(domains))]
     total = reduce(lambda a, b: a + b, exps)
+    if grid is None:
+        return rows.select("doc_id", "n_tokens", *[(e / total).alias(f"g{k}") for k, e in enumerate(exps)])
     rows = rows.select("doc_id", "n_tokens", *[F.round(grid * e / total).cast("int").alias(f"g{k}") for k, e in enumerate(exps) if k])
     # the first domain has the rest, so that the shares add up to grid
     rest = F.lit(grid) - reduce(lambda a, b: a + b, [F.col(f"g{k}") for k in range(1, len(domains))])
     return rows.withColumn("g0", rest)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = 25, tolerance: float = 2e-4, grid: int = 256, **model) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = 25, tolerance: float = 2e-4, grid: int | None = 256, **model) -> DataFrame:
     """doc_id, n_tokens, p_<domain> for each domain, rate and copies for every row of docs (doc_id, text).
 
     labels (doc_id, quality, toxic) names the domains, see domain(). The targets are shares of the tokens of docs, that
     is, words between ASCII white space. rate: how often a document is to be used, fitted to minimise the sum over
     domains of (expected tokens - target)**2 / tokens now, over rates of 0 or more, from 1. copies: rate rounded up or
-    down by a hash of doc_id. Null and empty texts have no tokens and the priors' posterior. Without labels all
+    down by a hash of doc_id. grid: posteriors are rounded to parts of it, so that the steps run over its cells; None
+    leaves them exact, and each step runs over all documents. Null and empty texts have no tokens and the priors' posterior. Without labels all
     domains are equally likely. A domain that no document is in can't be reached. Repeated rows are mixed each; extra
     columns are ignored; an empty table gives no rows.
     """
     domains = list(targets)
     rows = written(posteriors(docs, labels, domains, grid=grid, **model), "posteriors")
     shares = [f"g{k}" for k in range(len(domains))]
-    cells = written(rows.groupBy(*shares).agg(F.sum("n_tokens").alias("tokens")).repartition(8), "cells")
-    p = [F.col(c) / F.lit(float(grid)) for c in shares]
+    cells = rows.select(*shares, F.col("n_tokens").alias("tokens"))
+    if grid is not None:
+        cells = written(rows.groupBy(*shares).agg(F.sum("n_tokens").alias("tokens")).repartition(8), "cells")
+    p = [F.col(c) / F.lit(float(grid or 1)) for c in shares]
     rate: Column = F.lit(1.0)
     totals = lambda r: [x or 0.0 for x in cells.agg(*[F.sum(r * F.col("tokens") * q) for q in p]).first()]
     now = base = totals(rate)

@@ -231,17 +231,64 @@ def test_quality_classifier(spark, odd, empty):
     assert sorted(rows) == sorted(again)
     kept = quality_classifier.accepted(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in rows)
-    assert quality_classifier.scored(odd, labels).count() == odd.count()
-    assert quality_classifier.accepted(empty, labels).count() == 0
+    odd_rows = quality_classifier.scored(odd, labels).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"]) for r in odd_rows) == sorted((str(r["doc_id"]), r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in odd.collect())
+    assert all(0 <= r["score"] <= 1 for r in odd_rows) and len({r["score"] for r in odd_rows if r["doc_id"] in (0, 1, 2)}) == 1 and len({r["score"] for r in odd_rows if r["doc_id"] == 3}) == 1
+    assert quality_classifier.accepted(empty, labels).count() == 0 and quality_classifier.scored(empty, labels).count() == 0
     assert {r["score"] for r in quality_classifier.scored(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_scores_equal_numpy(spark):
+    """Moments, counts, prior, risk and scores over all documents at once, without Spark."""
+    q = quality_classifier
+    clean = corpus(6, 200, 120)
+    texts = [t if i % 4 else " ".join(f"{w.upper()}!!" for w in t.split()) for i, t in enumerate(clean)] + ["", None, "  "]
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 200, 2)]
+    got = {r["doc_id"]: r["score"] for r in q.scored(docs_of(spark, texts).repartition(7), labels_of(spark, labels)).collect()}
+    raw = [(t or "").encode() for t in texts]
+    x = q.Basis()(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert x.shape == (203, q.SIZE)
+    # a ratio and a bucket by hand
+    words = re.findall(WORD, texts[1])
+    assert x[1, 1] == pytest.approx((np.log1p(len(words)) - 5.5) / 1.5)
+    assert (x[1, 1 + 10 + 96 :][:128] ** 2).sum() == pytest.approx(0.09) and (x[1, 1 + 10 + 96 + 128 :] ** 2).sum() == pytest.approx(0.09 * (len(words) - 1) / len(words))
+    learned = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(203)])
+    trusted = np.array([i in {a for a, g in labels if g} for i in range(203)]) & learned
+    even = (q.mix(np.arange(203).astype(np.int64).view(np.uint64)) & np.uint64(1)) == 0
+    of = lambda rows: (int(rows.sum()), x[rows].T @ x[rows])
+    first, everything, positives = of(trusted & even), of(learned), of(trusted)
+    g = x @ q.against_unlabelled(first, everything)
+    bins = lambda rows: np.bincount(np.clip(((g[rows] + 4) * 500).astype(int), 0, 3999), minlength=4000)
+    prior = q.class_prior(bins(trusted & ~even), bins(learned))
+    p, u = positives[1] / positives[0], everything[1] / everything[0]
+    w = q.minimised(p, u, prior, q._ridge(positives[0]))
+    assert [got[i] for i in range(203)] == pytest.approx(np.clip((x @ w + 1) / 2, 0, 1), abs=2e-9)
+    # the risk, from the outputs themselves
+    out = x @ w
+    positive, negative = q.risk(w, p, u, prior)
+    assert positive == pytest.approx(prior * ((out[trusted] - 1) ** 2).mean()) and negative == pytest.approx(((out[learned] + 1) ** 2).mean() - prior * ((out[trusted] + 1) ** 2).mean())
+
+
+def test_non_negative_risk():
+    """Where the unbiased risk's negative part goes below zero, its minimum is not taken."""
+    q = quality_classifier
+    rng = np.random.default_rng(1)
+    x, y = (np.hstack([np.ones((n, 1)), rng.normal(size=(n, 12))]) for n in (8, 400))
+    p, u = x.T @ x / 8, y.T @ y / 400
+    plain = np.linalg.solve(u + 1e-3 * np.eye(13), 2 * 0.9 * p[0] - u[0])
+    assert q.risk(plain, p, u, 0.9)[1] < 0
+    total = lambda w: (lambda a, b: a + max(0, b) + 1e-3 * w @ w)(*q.risk(w, p, u, 0.9))
+    w = q.minimised(p, u, 0.9, 1e-3)
+    assert total(w) < total(plain) and all(total(w) <= total(w + 0.05 * rng.normal(size=13)) + 0.02 for _ in range(50))
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
+    counts = lambda x: np.histogram(x, 1000, (-8, 8))[0]
     for share in (0.3, 0.8):
         n = int(4000 * share)
-        got = quality_classifier.class_prior(pos, np.concatenate([rng.normal(2, 1, n), neg[: 4000 - n]]))
+        got = quality_classifier.class_prior(counts(pos), counts(np.concatenate([rng.normal(2, 1, n), neg[: 4000 - n]])))
         assert abs(got - share) < 0.08
 
 
@@ -662,11 +709,61 @@ def test_mixing(spark, odd, empty):
     assert all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 and abs(r["p_good"] + r["p_junk"] + r["p_toxic"] - 1) < 1e-9 for r in rows)
     right = [max(("good", "junk", "toxic"), key=lambda d: r[f"p_{d}"]) == ("toxic" if labels[r["doc_id"]][2] else "good" if labels[r["doc_id"]][1] else "junk") for r in rows if r["doc_id"] >= 200]
     assert np.mean(right) > 0.9
-    assert mixing.mixed(odd, lab).count() == odd.count() and mixing.mixed(empty, lab).count() == 0
+    odd_rows = mixing.mixed(odd, lab).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in odd_rows) == sorted((str(r["doc_id"]), len(re.findall(WORD, r["text"] or ""))) for r in odd.collect())
+    assert len({r["p_good"] for r in odd_rows if r["n_tokens"] == 0}) == 1 and mixing.mixed(empty, lab).count() == 0
     alike = mixing.mixed(docs_of(spark, texts), lab.limit(0)).first()
     assert abs(alike["p_good"] - 1 / 3) < 0.01
 
 
+def test_mixing_equals_numpy(spark):
+    """The classifier, and the projected gradient over every document instead of the grid's cells, by NumPy."""
+    rng = np.random.default_rng(2)
+    texts, labels = [], []
+    for i in range(120):
+        kind = ("good", "junk", "toxic")[0 if i % 3 else 1 + (i // 3) % 2]
+        texts.append(" ".join([f"{kind}{j}" for j in rng.integers(0, 20, 6)] + [f"W{j}" for j in rng.integers(0, 50, int(rng.integers(0, 90)))]))
+        labels.append((i, int(kind == "good"), int(kind == "toxic")))
+    texts += ["", None]
+    lab = spark.createDataFrame(labels[:100], "doc_id long, quality int, toxic int")
+    targets, buckets = {"good": 0.7, "junk": 0.2, "toxic": 0.1}, 512
+    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if w] for t in texts]
+    sets = [sorted({(x - (1 << 64) if x >= 1 << 63 else x) % buckets for x in [xxhash.xxh64_intdigest(w.encode(), 42)]}.pop() for w in dict.fromkeys(ws)) for ws in words]
+    counts, docs_of_kind = np.zeros((3, buckets)), np.zeros(3)
+    for i, q, tox in labels[:100]:
+        k = 2 if tox else 0 if q else 1
+        docs_of_kind[k] += 1
+        for x in sets[i]:
+            counts[k, x] += 1
+    total = counts.sum(1)
+    rate = np.log((counts + 200 * (counts.sum(0) + 1) / (total.sum() + buckets)) / (total[:, None] + 200))
+    z = np.array([[np.log((docs_of_kind[k] + 1) / 103) + min(1, 50 / max(1, len(xs))) * sum(rate[k, x] - rate[0, x] for x in xs) for k in range(3)] for xs in sets])
+    post = np.exp(z - z.max(1, keepdims=True))
+    post /= post.sum(1, keepdims=True)
+    tokens = np.array([len(ws) for ws in words], float)
+
+    def fitted(p):
+        r, goal = np.ones(len(p)), np.array(list(targets.values())) * tokens.sum()
+        base = now = (tokens[:, None] * p).sum(0)
+        for _ in range(25):
+            if np.abs(now - goal).max() <= 2e-4 * tokens.sum():
+                break
+            r = np.maximum(0, r - p @ (1.5 * (now - goal) / np.maximum(base, 1)))
+            before, now = now, ((r * tokens)[:, None] * p).sum(0)
+            if np.abs(now - before).max() <= 1e-5 * tokens.sum():
+                break
+        return r
+
+    for grid in (None, 256):
+        rows = sorted(mixing.mixed(docs_of(spark, texts), lab, targets, grid=grid, buckets=buckets).collect(), key=lambda r: r["doc_id"])
+        p = np.array([[r["p_good"], r["p_junk"], r["p_toxic"]] for r in rows])
+        bad = np.abs(p - post).max(1)
+        assert bad.max() < (1e-4 if grid is None else 1 / 128), (grid, np.argsort(-bad)[:5], np.sort(-bad)[:5], p[bad.argmax()], post[bad.argmax()], len(words[bad.argmax()]))
+        assert [r["rate"] for r in rows] == pytest.approx(fitted(p), abs=1e-4)
+        assert [r["n_tokens"] for r in rows] == tokens.tolist() and all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in rows)
+        assert rows[-1]["p_good"] == rows[-2]["p_good"] and abs(rows[-1]["p_good"] - (docs_of_kind[0] + 1) / 103) < 1 / 128
+
+
 def test_word_buckets_are_those_of_xxhash(spark):
     got = spark.createDataFrame([(1, "Éa b")], "doc_id long, text string")
     row = mixing._words(got).select(mixing._buckets(97).alias("b")).first()
