@@ -197,26 +197,31 @@ def hub_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bo
 
 def block_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
     """Links (a, b) that connect what is linked between different components of each family; rows (hub, member,
-    component, size)."""
-    dealt, _ = _in_blocks(rows)
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("at")
-    dealt = dealt.select("hub", "member", "component", "block", meet).select("hub", "member", "component", "block", "at.i", "at.j")
+    component, of_hub, size), of_hub being the component of the hub.
+
+    Members that are not of their hub's component meet all members of the family, block by block; those that are have
+    nothing to meet among themselves."""
+    apart = rows.where("component <> of_hub").select("hub", "member", "component", "size")
+    rows = rows.join(apart.select("hub").distinct(), "hub", "left_semi").select("hub", "member", "component", "size")
+    (left, lefts), (right, rights) = _in_blocks(apart), _in_blocks(rows)
+    all_of = lambda sizes, name: sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name))
+    columns = ["hub", "member", "component", "i", "j", "side"]
+    dealt = left.withColumnRenamed("block", "i").join(all_of(rights, "j"), "hub").withColumn("side", F.lit(0)).select(*columns)
+    dealt = dealt.unionByName(right.withColumnRenamed("block", "j").join(all_of(lefts, "i"), "hub").withColumn("side", F.lit(1)).select(*columns))
 
     def run(key, group):
-        ids, blocks, parts = (group.column(c).to_numpy() for c in ("member", "block", "component"))
-        order = np.lexsort((ids, blocks))
-        ids, blocks, parts = ids[order], blocks[order], parts[order]
+        ids, side, parts = (group.column(c).to_numpy() for c in ("member", "side", "component"))
+        order = np.lexsort((ids, side))
+        ids, side, parts = ids[order], side[order], parts[order]
         found: list[tuple[int, int]] = []
         if len(ids) and (parts != parts[0]).any():
             family = Family(_sets(group, order, k, lower), percent)
             # members of one component are connected from the start
             _, first, same = np.unique(parts, return_index=True, return_inverse=True)
             family.parent = first[same].tolist()
-            everyone = np.arange(len(ids))
-            for x in everyone:
-                others = everyone[x + 1 :]
-                others = others[(parts[others] != parts[x]) & ((blocks[others] != blocks[x]) | (key[1].as_py() == key[2].as_py()))]
-                found += family.links(int(x), others)
+            others = np.flatnonzero(side == 1)
+            for x in np.flatnonzero(side == 0):
+                found += family.links(int(x), others[parts[others] != parts[x]])
         return _link_table(ids, found)
 
     return _with_text(dealt, docs).groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
@@ -244,7 +249,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # buckets whose members are not all of one component
     of = buckets.join(found.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     apart = of.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    left = written(of.join(apart, "h", "left_semi").select("hub", "member", "component", "size").distinct(), "apart")
+    left = of.join(apart, "h", "left_semi").select("hub", "member", "component", "size").distinct()
+    left = left.join(found.select(F.col("node").alias("hub"), F.col("component").alias("of_hub")), "hub", "left")
+    left = written(left.withColumn("of_hub", F.coalesce("of_hub", "hub")), "apart")
     if not left.isEmpty():
         more = written(block_links(left, docs, k, percent), "links")
         if not more.isEmpty():

@@ -117,7 +117,7 @@ def test_families_in_blocks(spark, monkeypatch):
     texts = corpus(3, 40)
     docs = docs_of(spark, texts)
     want = brute_components(enumerate(texts), 3, 60)
-    rows = spark.createDataFrame([(i, 0, i, 50) for i in range(40)], "member long, hub long, component long, size int")
+    rows = spark.createDataFrame([(i, 0, i, 0, 50) for i in range(40)], "member long, hub long, component long, of_hub long, size int")
 
     def parts(links):
         got = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -130,7 +130,7 @@ def test_families_in_blocks(spark, monkeypatch):
         first = shingles(texts[0], 3)
         assert near == {(i, 0) for i in range(1, 40) if 100 * len(first & shingles(texts[i], 3)) >= 60 * len(first | shingles(texts[i], 3))}
     of = {i: c for i, (_, c) in want.items()}
-    merged = spark.createDataFrame([(i, 0, of[i], 50) for i in range(40)], rows.schema)
+    merged = spark.createDataFrame([(i, 0, of[i], of[0], 50) for i in range(40)], rows.schema)
     assert minhash.block_links(merged, docs, 3, 60).count() == 0
 
 
