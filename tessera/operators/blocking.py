@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -184,15 +186,20 @@ def fuzzy(queries: DataFrame, entities: DataFrame, k: int, cutoff: float = 70.0,
     return ranked(scores, k).select("query_id", "rank", "id", "score")
 
 
-def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, score, rerank_score): candidates by the Jaccard similarity of token sets."""
-    tokens = lambda df, id_, name: df.select(id_, F.array_distinct(T.tokens(F.col("text"))).alias(name))
-    rows = candidates.join(tokens(queries, "query_id", "tq"), "query_id").join(tokens(docs, "id", "td"), "id")
-    rows = rows.select("query_id", "id", "score", F.round(T.jaccard(F.col("tq"), F.col("td")), 9).alias("rerank_score"))
+def token_overlap(query: Column, text: Column) -> Column:
+    """The Jaccard similarity of token sets."""
+    return T.jaccard(F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(text)))
+
+
+def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int, reranker: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
+    """(query_id, rank, id, score, rerank_score): candidates by reranker(text of the query, text of the document)."""
+    rows = candidates.join(queries.select("query_id", F.col("text").alias("tq")), "query_id").join(docs.select("id", F.col("text").alias("td")), "id")
+    rows = rows.select("query_id", "id", "score", F.round(reranker(F.col("tq"), F.col("td")), 9).alias("rerank_score"))
     return ranked(rows, k, score="rerank_score").select("query_id", "rank", "id", "score", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, block_k: int = 50, retrieve_k: int = 10, k: int = 3) -> DataFrame:
-    """Block by BM25, retrieve by tf-idf cosine, rerank by token overlap."""
+def hybrid(queries: DataFrame, docs: DataFrame, block_k: int = 50, retrieve_k: int = 10, k: int = 3, threshold: float | None = None, reranker: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
+    """Block by BM25, retrieve by tf-idf cosine, rerank by token overlap or what else; threshold: the least cosine."""
     blocked = cut(bm25(queries, docs, block_k))
-    return reranked(tfidf(queries, docs, retrieve_k, blocked).drop("rank"), queries, docs, k)
+    found = tfidf(queries, docs, retrieve_k, blocked).drop("rank")
+    return reranked(found if threshold is None else found.where(F.col("score") >= threshold), queries, docs, k, reranker)

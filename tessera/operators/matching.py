@@ -8,8 +8,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import encode
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators.order import cut
 
 #: Rows of queries and of references that meet in one block of an exact search.
 BLOCK_ROWS = 4096
@@ -65,6 +67,27 @@ def best_of_ids(rows: DataFrame, k: int, fetch: int = 3) -> DataFrame:
     return out.select("query_id", "rank", "id", F.col("entity_text").alias("text"), F.round("score", 6).alias("score"))
 
 
+def encoded_match(queries: DataFrame, entities: DataFrame, encoder, k: int = 1, threshold: float = 0.5) -> DataFrame:
+    """(query_id, rank, id, text, score): as lexical_match, by the cosine of the vectors that encoder, a function of a text
+    column, gives; queries (query_id, text), entities (id, text). Distinct texts are encoded once."""
+    texts = cut(entities.select("text").distinct().withColumn("ref_id", F.monotonically_increasing_id()))
+    asked = cut(queries.select("query_id", "text").withColumn("at", F.monotonically_increasing_id()))
+    near = nearest(encode.encoded(asked.select(F.col("at").alias("query_id"), "text"), encoder), encode.encoded(texts, encoder), 3 * k)
+    rows = near.where(F.col("score") >= threshold).select(F.col("query_id").alias("at"), "ref_id", "score").join(texts, "ref_id").withColumnRenamed("text", "entity_text")
+    rows = rows.join(asked.select("at", "query_id"), "at").join(entities.select("id", F.col("text").alias("entity_text")).distinct(), "entity_text")
+    return best_of_ids(rows.select("query_id", "id", "entity_text", "score"), k)
+
+
+def explanation(queries: DataFrame, entities: DataFrame, threshold: float, k: int = 5) -> DataFrame:
+    """(query_id, rank, id, text, score, matched, shared): the best k entities at any score, whether they match, and the
+    n-grams that they share with the query."""
+    best = lexical_match(queries, entities, k, 0.0)
+    rows = best.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    grams = lambda c: T.char_ngrams(F.lower(c), 3)
+    shared = F.array_sort(F.array_intersect(grams("query"), grams("text")))
+    return rows.select("query_id", "rank", "id", "text", "score", (F.col("score") >= threshold).alias("matched"), shared.alias("shared"))
+
+
 def restored(queries: DataFrame, matches: DataFrame) -> DataFrame:
     """Every query, with nulls where it has no match."""
     return queries.join(matches.withColumnRenamed("text", "match_text"), "query_id", "left")
@@ -144,8 +167,6 @@ def nearest_lsh(queries: DataFrame, refs: DataFrame, k: int, bucket_length: floa
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    from tessera.operators.order import cut
-
     vec = lambda df: df.withColumn("u", array_to_vector(V.unit(V.dbl(F.col("v")))))
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=42).fit(vec(refs))
     pairs = model.approxSimilarityJoin(vec(queries), vec(refs), max_distance or 2.1, "d")  # unit vectors are at most 2 apart
@@ -191,3 +212,27 @@ def latest_versions(events: DataFrame) -> DataFrame:
     """Of upserts and deletes (id, version, deleted, ...) the last of each id, unless that deletes it."""
     last = Window.partitionBy("id").orderBy(F.desc("version"))
     return events.withColumn("n", F.row_number().over(last)).where("n = 1 and not deleted").drop("n")
+
+
+class VectorStore:
+    """Vectors with metadata: rows (id, v, ...) of the last upsert of each id, without what was deleted."""
+
+    def __init__(self, rows: DataFrame | None = None):
+        self.rows = rows
+
+    def upsert(self, rows: DataFrame) -> VectorStore:
+        """Rows with new ids are added, others replace those of their id; of rows that repeat an id one is taken."""
+        rows = rows.dropDuplicates(["id"])
+        return VectorStore(rows if self.rows is None else self.rows.join(rows.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True))
+
+    def delete(self, ids: DataFrame) -> VectorStore:
+        return VectorStore(self.rows and self.rows.join(ids.select("id"), "id", "left_anti"))
+
+    def count(self) -> int:
+        return 0 if self.rows is None else self.rows.count()
+
+    def query(self, queries: DataFrame, k: int, where: Column | str | None = None, metric: str = "cosine") -> DataFrame:
+        """(query_id, rank, id, score, metadata ...): the k nearest of the rows that the filter on metadata leaves."""
+        rows = self.rows if where is None else self.rows.where(where)
+        near = nearest(queries, rows.select(F.col("id").alias("ref_id"), "v"), k, metric)
+        return near.withColumnRenamed("ref_id", "id").join(rows.drop("v"), "id").select("query_id", "rank", "id", "score", *[c for c in rows.columns if c not in ("id", "v")])

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions import encode
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import catalog as C
 from tessera.operators import combine as K
 from tessera.operators import evaluation as E
 from tessera.operators import matching as M
+from tessera.operators.heads import LogisticHead
 from tessera.operators.order import running
-from tessera.plans.matching_queries import _TYPO, _TYPO_TEXT, _typo_queries
+from tessera.plans.matching_queries import _LEX, _TYPO, _TYPO_TEXT, _typo_queries
 from tessera.plans.novelty_queries import _RATES, _RUN, _SIG, _scores, _signals
 from tessera.plans.registry import SQL_EMB, SQL_SCORES, catalog_of_parts, probes, query, references
 
@@ -131,3 +133,28 @@ def retrieval_by_class(t):
 @query("split_detection_by_share", _RUN + " SELECT round(sum(CASE WHEN fp <= floor(0.01 * neg) THEN p ELSE 0 END) / any_value(tot), 6) AS detection_rate FROM r")
 def split_detection_by_share(t):
     return E.detection_rate_budget(_scores(t), 0.01, at_least=0)
+
+
+@query("vector_store_query", f"""WITH {SQL_EMB} SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS INT) AS rank, b.vec_id AS id,
+round(round(list_cosine_similarity(a.v, b.v), 9), 6) AS score, b.kind FROM e a, (SELECT vec_id, v, CASE WHEN vec_id % 3 = 0 THEN 'late' ELSE 'early' END AS kind FROM e WHERE vec_id % 5 <> 0 AND label % 2 = 0) b WHERE a.label >= 8 QUALIFY rank <= 3""")
+def vector_store_query(t):
+    """Upserts replace, deletes remove, and a filter on metadata comes before the search."""
+    rows = probes(t).select(F.col("query_id").alias("id"), "v", F.lit("early").alias("kind"), "label")
+    store = M.VectorStore().upsert(rows).upsert(rows.where("id % 3 = 0").withColumn("kind", F.lit("late"))).delete(rows.where("id % 5 = 0"))
+    near = store.query(probes(t).where("label >= 8").select("query_id", "v"), 3, where="label % 2 = 0")
+    return near.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "kind")
+
+
+@query("match_explain", _LEX + """, best AS (SELECT query_id, id, text, round(score, 6) AS score FROM rowz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, text) = 1)
+SELECT query_id, id, b.text, score, score >= 0.7 AS matched, array_to_string(list_sort(list_intersect(list_distinct([substr(lower(q.text), i, 3) for i in range(1, len(q.text) - 1)]), list_distinct([substr(lower(b.text), i, 3) for i in range(1, len(b.text) - 1)]))), ' ') AS shared
+FROM best b JOIN q USING (query_id)""")
+def match_explain(t):
+    rows = M.explanation(_typo_queries(t), C.flatten(catalog_of_parts(t)).distinct(), 0.7, k=1)
+    return rows.select("query_id", "id", "text", "score", "matched", F.array_join("shared", " ").alias("shared"))
+
+
+@query("match_logistic_head")
+def match_logistic_head(t):
+    """A trained head over the known classes."""
+    head = LogisticHead(references(t).select("label", "v"))
+    return head.predict(probes(t)).select("query_id", "predicted", F.round("confidence", 4).alias("confidence"))

@@ -29,20 +29,23 @@ def matched(stream: DataFrame, entities: DataFrame, out: str, checkpoint: str, t
     in_batches(stream, checkpoint, each)
 
 
-def clustered(stream: DataFrame, means: DataFrame, dims: int, out: str, checkpoint: str, threshold: float = 0.7) -> None:
+def clustered(stream: DataFrame, means: DataFrame, dims: int, out: str, checkpoint: str, threshold: float = 0.7, found_of: int | None = None) -> None:
     """Assigns streamed vectors (id, v) to the nearest of means (label, n, mean), whose running means follow; the state
-    table is versioned by batch, so a batch that is repeated reads the same state."""
+    table is versioned by batch, so a batch that is repeated reads the same state. found_of: rows of a batch that no
+    cluster takes found new ones, where so many of them are that similar to each other."""
     spark = means.sparkSession
     means.write.mode("overwrite").parquet(f"{out}/state/version=0")
 
     def each(batch: DataFrame, n: int) -> None:
         state = spark.read.parquet(f"{out}/state/version={n}")
         got = G.assign(batch, state, threshold)
+        if found_of:
+            got = G.founded(batch, got, state, threshold, found_of)
         got.write.mode("overwrite").parquet(f"{out}/assigned/batch={n}")
         rows = spark.read.parquet(f"{out}/assigned/batch={n}").where("cluster >= 0").join(batch, "id").select(F.col("cluster").alias("label"), "v")
         fresh = rows.groupBy("label").agg(F.count("*").alias("m"), V.mean_vector(F.col("v"), dims).alias("new"))
         moved = F.zip_with("mean", "new", lambda a, b: (a * F.col("n") + b * F.col("m")) / (F.col("n") + F.col("m")))
-        after = state.join(fresh, "label", "left").select("label", F.when(F.col("m").isNull(), F.col("n")).otherwise(F.col("n") + F.col("m")).alias("n"), F.when(F.col("m").isNull(), F.col("mean")).otherwise(moved).alias("mean"))
+        after = state.join(fresh, "label", "full").select("label", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("m").isNull(), F.col("mean")).when(F.col("n").isNull(), F.col("new")).otherwise(moved).alias("mean"))
         after.write.mode("overwrite").parquet(f"{out}/state/version={n + 1}")
 
     in_batches(stream, checkpoint, each)

@@ -402,3 +402,62 @@ def test_bm25_in_blocks_equals_formula(spark, monkeypatch):
         for i, q in enumerate(queries):
             best = sorted(((-round(score(q, w), 9), j) for j, w in enumerate(words) if round(score(q, w), 9)), key=lambda x: x)[:4]
             assert [got.get((i, k + 1)) for k in range(len(best))] == [(j, pytest.approx(-s, abs=1e-6)) for s, j in best] and (i, len(best) + 1) not in got
+
+
+def test_vector_store(spark):
+    rows = [("a", [1.0, 0.0, 0.0], "x"), ("b", [0.0, 1.0, 0.0], "x"), ("c", [0.0, 0.0, 1.0], "y"), ("d", [0.5, 0.5, 0.0], "y")]
+    ids = {r[0]: i for i, r in enumerate(rows)}
+    make = lambda rs: spark.createDataFrame([(ids[a], v, m) for a, v, m in rs], "id long, v array<double>, type string")
+    store = M.VectorStore().upsert(make(rows))
+    asked = spark.createDataFrame([(7, [1.0, 0.0, 0.0])], "query_id long, v array<double>")
+    assert store.count() == 4 and [(r["id"], r["score"]) for r in store.query(asked, 2).orderBy("rank").collect()] == [(0, 1.0), (3, pytest.approx(0.5**0.5))]
+    assert [r["id"] for r in store.query(asked, 1, where="type = 'y'").collect()] == [3]
+    store = store.upsert(make([("a", [0.0, 0.0, 1.0], "z")])).delete(make(rows[3:]))
+    assert store.count() == 3 and [(r["id"], r["type"]) for r in store.query(asked, 1, where="type = 'z'").collect()] == [(0, "z")] and M.VectorStore().count() == 0
+
+
+def test_logistic_head(spark):
+    from tessera.operators.heads import LogisticHead
+
+    rng = np.random.default_rng(6)
+    make = lambda classes, n: spark.createDataFrame([("abc"[k], (np.eye(4)[k] * 3 + rng.normal(size=4) * 0.3).tolist()) for k in classes for _ in range(n * (1 + 4 * (k == 0)))], "label string, v array<double>")
+    head = LogisticHead(make([0, 1], 20))
+    asked = make([0, 1, 2], 5).withColumn("query_id", F.monotonically_increasing_id())
+    right = lambda h: {(r["label"], r["predicted"]) for r in h.predict(asked).join(asked, "query_id").collect()}
+    assert {("a", "a"), ("b", "b")} <= right(head) and right(head.add_class(make([2], 20))) == {("a", "a"), ("b", "b"), ("c", "c")}
+    row = head.predict(asked).first()
+    assert sum(row["probabilities"]) == pytest.approx(1) and row["confidence"] == max(row["probabilities"]) and sorted(row["labels"]) == ["a", "b"]
+    with pytest.raises(ValueError):
+        head.retrained(make([0, 2], 5))
+    with pytest.raises(ValueError):
+        LogisticHead(make([0], 5))
+
+
+def test_matcher_modes(spark):
+    """Threshold and candidates hold in every mode; encoder and reranker are plugged in."""
+    from tessera.functions import encode
+
+    catalog = spark.createDataFrame([("DE", "Germany", ["Deutschland"]), ("FR", "France", ["Frankreich"]), ("US", "United States", ["USA"])], "id string, name string, aliases array<string>")
+    asked = spark.createDataFrame([(1, "Germany"), (2, "united state")], "query_id long, text string")
+    only = spark.createDataFrame([("FR",)], "id string")
+    ids = lambda df: {r["query_id"]: r["id"] for r in df.collect()}
+    for m in (Matcher(catalog, 0.3), Matcher(catalog, 0.3, "hybrid"), Matcher(catalog, 0.3, encoder=lambda t: encode.lexical_vector(t, 128))):
+        assert ids(m.match(asked))[1] == "DE" and m.match(asked, threshold=0.9999).where("query_id = 2").count() == 0
+        assert m.match(asked, candidates=only).where("id <> 'FR'").count() == 0
+    calls = Matcher(catalog, 0.0, "hybrid", reranker=lambda q, t: F.length(t) * 1.0).match(asked)
+    assert calls.select("rerank_score").distinct().count() > 1 and calls.agg(F.max("rerank_score")).first()[0] > 1
+    vectors = spark.createDataFrame([("DE", [1.0, 0.1]), ("DE", [0.9, 0.0]), ("FR", [0.0, 1.0]), ("FR", [0.1, 0.9])], "label string, v array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>")
+    for m in (Matcher(catalog, 0.0).fit(vectors, 2), Matcher(catalog, 0.0).fit_head(vectors)):
+        assert ids(m.match(q)) == {1: "DE"} and ids(m.match(q, candidates=only)) == {1: "FR"}
+    why = Matcher(catalog, 0.99).explain(asked, k=2).orderBy("query_id", "rank").collect()
+    assert why[0]["id"] == "DE" and why[0]["matched"] and "ger" in why[0]["shared"] and not why[-1]["matched"]
+
+
+def test_new_clusters_are_founded(spark):
+    rng = np.random.default_rng(8)
+    point = lambda k: (np.eye(4)[k] * 10 + rng.normal(size=4) * 0.2).tolist()
+    means = spark.createDataFrame([(k, 20, (np.eye(4)[k] * 10).tolist()) for k in range(3)], "label long, n long, mean array<double>")
+    rows = spark.createDataFrame([(i, point(0)) for i in range(5)] + [(10 + i, point(3)) for i in range(6)] + [(30, [-9.0, -9.0, 0.0, 0.0])], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in G.founded(rows, G.assign(rows, means, 0.8), means, 0.8).collect()}
+    assert got == {**{i: 0 for i in range(5)}, **{10 + i: 3 for i in range(6)}, 30: -1}
