@@ -211,8 +211,32 @@ def test_quality_rules(spark, odd, empty):
         b = 1 << quality_rules.BITS
         want = np.mean([np.log((target[g] + 1) / (size[1][len(g)] + b)) - np.log((raw[g] + 1) / (size[0][len(g)] + b)) for g in grams])
         assert rows[i]["score"] == pytest.approx(want, abs=0.1)
-    assert all(not rows[60 + i]["kept"] for i in range(20))
-    assert quality_rules.judged(odd, labels).count() == odd.count()
+    # score and verdict of every document, from counts by bucket in dictionaries
+    rule, half, known = WordRule(SPACED, lower=False), quality_rules._SIZE, {}
+
+    def grams(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        hashes = rule.words(data, np.array([0, len(data)]))[0]
+        one, two = quality_rules._buckets(hashes, np.array([0, len(hashes)]))
+        return [x for pair in zip(one.tolist(), two.tolist()) for x in pair if x >= 0]
+
+    sums = [collections.Counter(), collections.Counter()]
+    for i, t in enumerate(texts):
+        known[i] = grams(t)
+        sums[0].update(known[i])
+        if i < 40:
+            sums[1].update(known[i])
+    total = [[sum(v for g, v in c.items() if (g >= half) == pairs) for pairs in (False, True)] for c in sums]
+    log_p = lambda c, g: np.log((sums[c][g] + 1) / (total[c][g >= half] + half))
+    for i in range(len(texts)):
+        score = sum(log_p(1, g) - log_p(0, g) for g in known[i]) / max(1, len(known[i]))
+        assert rows[i]["score"] == pytest.approx(score, abs=1e-9)
+        assert rows[i]["kept"] == (not rows[i]["base_failed"] and score >= -0.15) or abs(score + 0.15) < 1e-9
+    assert all(not rows[60 + i]["kept"] for i in range(20)) and any(r["kept"] for r in rows.values())
+    odd_rows = quality_rules.judged(odd, labels).collect()
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((str(r["doc_id"]), *(r[c] for c in columns)) for r in odd_rows) == sorted((str(r["doc_id"]), *base_counts(r["text"])) for r in odd.collect())
+    assert not any(r["kept"] for r in odd_rows if r["n_words"] == 0) and {r["score"] for r in odd_rows if r["n_words"] == 0} == {0.0}
     assert quality_rules.judged(empty, labels.limit(0)).count() == 0
 
 
@@ -314,6 +338,11 @@ def test_url_filter(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filtered(pages, RULES).collect()}
     assert got == {i: judge(u) for i, u in enumerate(urls)}
     assert url_filter.filtered(pages.limit(0), RULES).count() == 0
+    # repeated rows are judged each; very long urls
+    long = ["http://" + "a." * 20_000 + "example.com/de/" + "x/" * 50_000, "http://" + "b" * 100_000 + ".org/fr/" + "y" * 100_000, "x" * 200_000]
+    again = spark.createDataFrame([(i % 2, u) for u in long for i in range(4)] + [(None, long[0])], "page_id long, url string")
+    found = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filtered(again, RULES).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [judge(u) for u in long for _ in range(4)] + [judge(long[0])]))
     assert {r["verdict"] for r in url_filter.filtered(pages, [], default="block").collect()} == {"block"}
 
 
@@ -686,7 +715,9 @@ def test_decontamination(spark, odd, empty):
         assert (i in out) == (hit == 0 or hit < 0.5 * n)
         if i in out:
             assert out[i] == t if not hit else len(out[i]) < len(t)
-    assert decontaminate.contamination(odd, bench).count() == odd.count() and decontaminate.contamination(empty, bench).count() == 0
+    odd_rows = decontaminate.contamination(odd.where("doc_id <> 50 or doc_id is null"), bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in odd_rows) == sorted((str(r["doc_id"]), *brute_hits(r["text"], items, 13)[:2]) for r in odd.where("doc_id <> 50 or doc_id is null").collect())
+    assert decontaminate.contamination(odd, bench).where("doc_id = 50").first()["n_words"] == 500_000 and decontaminate.contamination(empty, bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
