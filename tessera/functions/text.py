@@ -13,6 +13,11 @@ from pyspark.sql.types import StringType
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
 
 
+#: Insides of character classes, spelled out with ASCII first, as they are faster than the flag for Unicode classes.
+_LETTERS = r"a-zA-Z0-9_\p{L}\p{N}"
+_SPACES = r"\x09-\x0d\x20\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _plain_latin() -> tuple[str, str]:
     """Accented letters of Latin-1 and Latin Extended-A whose decomposition is one letter and marks, and those letters."""
     pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x180)]
@@ -82,17 +87,18 @@ def clean(text: Column, lower: bool = True, punctuation: bool = True) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased word tokens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    """Lower-cased word tokens: runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{_LETTERS}]+"), F.lit(0))
 
 
 def spaced_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    """Lower-cased tokens between white space."""
+    return F.array_remove(F.split(F.lower(text), rf"[{_SPACES}]+"), "")
 
 
 def long_tokens(text: Column) -> Column:
     """Lower-cased word tokens of two characters or more."""
-    return F.filter(tokens(text), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{_LETTERS}]{{2,}}"), F.lit(0))
 
 
 def evidence_tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
