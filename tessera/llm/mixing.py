@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
-from math import log
+from math import comb, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from .common import written
 
 #: Fixed values of the mixing query: the share of the tokens that each domain of the labels table shall have.
 TARGETS = {"good": 0.96, "junk": 0.02, "toxic": 0.02}
+#: Cells that one task walks in a step; a grid of 256 has 33,153 of three domains, however many documents there are.
+FEW_CELLS = 1 << 16
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -94,6 +96,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], buckets:
     return rows.withColumn("g0", rest)
 
 
+def _rate(p: list[Column], taken: list[list[float]]) -> Column:
+    """The rate after the steps taken, from 1; each is its residuals times the length of a step.
+
+    The steps are one constant array that is walked, so that every plan is alike and none grows with the steps: nested in
+    each other, they would be compiled and printed anew by the driver for each step, and longer each time."""
+    if not taken:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*map(F.lit, step)) for step in taken])
+    return F.aggregate(steps, F.lit(1.0), lambda r, o: F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, [q * F.get(o, F.lit(k)) for k, q in enumerate(p)])))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = 25, tolerance: float = 2e-4, grid: int | None = 256, **model) -> DataFrame:
     """doc_id, n_tokens, p_<domain> for each domain, rate and copies for every row of docs (doc_id, text).
 
@@ -111,20 +124,22 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
     cells = rows.select(*shares, F.col("n_tokens").alias("tokens"))
     if grid is not None:
         cells = written(rows.groupBy(*shares).agg(F.sum("n_tokens").alias("tokens")).repartition(8), "cells")
+        if comb(grid + len(domains) - 1, len(domains) - 1) <= FEW_CELLS:
+            cells = cells.coalesce(1)  # each step is one task then, without an exchange
     p = [F.col(c) / F.lit(float(grid or 1)) for c in shares]
-    rate: Column = F.lit(1.0)
-    totals = lambda r: [x or 0.0 for x in cells.agg(*[F.sum(r * F.col("tokens") * q) for q in p]).first()]
-    now = base = totals(rate)
+    taken: list[list[float]] = []
+    totals = lambda: [x or 0.0 for x in cells.select("tokens", *shares, _rate(p, taken).alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * q) for q in p]).first()]
+    now = base = totals()
     goal = [w * sum(base) / sum(targets.values()) for w in targets.values()]
     for _ in range(steps):
         off = [(a - g) / max(c, 1.0) for a, g, c in zip(now, goal, base)]
         if max(abs(a - g) for a, g in zip(now, goal)) <= tolerance * max(1.0, sum(base)):
             break
         # the scaled normal matrix has no eigenvalue above 1, so any step below 2 descends
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [q * F.lit(1.5 * o) for q, o in zip(p, off)]))
-        before, now = now, totals(rate)
+        taken.append([1.5 * o for o in off])
+        before, now = now, totals()
         if max(abs(a - b) for a, b in zip(now, before)) <= tolerance / 20 * sum(base):
             break  # a target that can't be reached
-    out = rows.select("doc_id", "n_tokens", *[q.alias(f"p_{d}") for q, d in zip(p, domains)], F.round(rate, 6).alias("rate"))
+    out = rows.select("doc_id", "n_tokens", *[q.alias(f"p_{d}") for q, d in zip(p, domains)], F.round(_rate(p, taken), 6).alias("rate"))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return out.withColumn("copies", (F.floor("rate") + (F.col("rate") - F.floor("rate") > chance).cast("long")).cast("long"))

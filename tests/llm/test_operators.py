@@ -795,6 +795,21 @@ def test_mixing_equals_numpy(spark):
         assert rows[-1]["p_good"] == rows[-2]["p_good"] and abs(rows[-1]["p_good"] - (docs_of_kind[0] + 1) / 103) < 1 / 128
 
 
+def test_mixing_plans_do_not_grow_with_the_steps(spark, monkeypatch):
+    """The plan of 12 steps is that of 2 but for the constants, and steps in one task or in several come to the same rates."""
+    texts = [" ".join(f"{kind}{i % 7} w{i % 5}" for _ in range(1 + i % 9)) for i in range(60) for kind in [("good", "junk", "toxic")[i % 3]]]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 2)) for i in range(60)], "doc_id long, quality int, toxic int")
+
+    def fitted(steps):
+        got = mixing.mixed(docs_of(spark, texts), lab, {"good": 0.9, "junk": 0.06, "toxic": 0.04}, steps=steps, tolerance=0.0, buckets=512)
+        return got._jdf.queryExecution().analyzed().toString().lower().count("greatest("), {r["doc_id"]: r["rate"] for r in got.collect()}
+
+    (few, _), (many, rates) = fitted(2), fitted(12)
+    assert few == many == 1
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    assert fitted(12)[1] == pytest.approx(rates, abs=2e-6) and len(set(rates.values())) > 2
+
+
 def test_word_buckets_are_those_of_xxhash(spark):
     got = spark.createDataFrame([(1, "Éa b")], "doc_id long, text string")
     row = mixing._words(got).select(mixing._buckets(97).alias("b")).first()
