@@ -65,7 +65,7 @@ def own_class_threshold(refs: DataFrame, means: DataFrame, share: float = 0.95)
 
 def _nearest_mean(queries: DataFrame, means: DataFrame) -> DataFrame:
     """(query_id, label, distance) of the nearest class mean by cosine distance."""
-    rows = M.against_classes(queries, means, [], lambda a, b: 1 - V.cosine(a, b))
+    rows = M.against_classes(queries, means, [], distance=True)
     best = F.array_min(F.transform("scores", lambda s: F.struct(F.round(s["score"], 9).alias("d"), s["label"].alias("label"))))
     return rows.select("query_id", best["label"].alias("label"), best["d"].alias("distance"))
 
@@ -97,7 +97,7 @@ def prototypical(queries: DataFrame, refs: DataFrame, dims: int, threshold: floa
 
 def energies(queries: DataFrame, means: DataFrame, temperature: float = 1.0, scale: float = 25.0) -> DataFrame:
     """(query_id, energy): -T * logsumexp(scale * cosine / T) over class means."""
-    rows = M.against_classes(queries, means, [], V.cosine)
+    rows = M.against_classes(queries, means, [])
     return rows.select("query_id", (-temperature * V.logsumexp(F.transform("scores", lambda s: s["score"] * scale / temperature))).alias("energy"))
 
 

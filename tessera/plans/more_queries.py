@@ -30,7 +30,7 @@ def encode_lexical_match(t):
     names = encode.encoded(catalog_of_parts(t).select(F.col("name").alias("text"))).select(F.col("text").alias("label"), F.col("v").alias("mean"))
     # the names come in order: of equal scores the first is taken within the row, so that no pair leaves it
     best = F.array_max(F.transform("scores", lambda s, i: F.struct(F.round(s["score"], 6).alias("score"), (-i).alias("i"), s["label"].alias("name"))))
-    return M.against_classes(q, names, [], V.cosine).select("query_id", best["name"].alias("name"), best["score"].alias("score"))
+    return M.against_classes(q, names, []).select("query_id", best["name"].alias("name"), best["score"].alias("score"))
 
 
 _KS = (1, 5, 10, 20)

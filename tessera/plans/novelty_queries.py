@@ -273,7 +273,7 @@ def weights_adaptive(t):
     refs = references(t)
     means = M.class_means(refs, DIMS)
     own = refs.join(means.select("label", "mean"), "label").agg(F.avg(1 - V.cosine(F.col("v"), F.col("mean")))).first()[0]
-    pairs = M.against_classes(means.select(F.col("label").alias("query_id"), F.col("mean").alias("v")), means, [], lambda a, b: 1 - V.cosine(a, b))
+    pairs = M.against_classes(means.select(F.col("label").alias("query_id"), F.col("mean").alias("v")), means, [], distance=True)
     inter = pairs.select("query_id", F.explode("scores").alias("s")).where("query_id < s.label").agg(F.avg("s.score")).first()[0]
     knn = S.knn_distance(refs.withColumnRenamed("ref_id", "query_id"), refs, skip_same=True).agg(F.avg("mean_distance")).first()[0]
     total = refs.count()

@@ -461,3 +461,61 @@ def test_new_clusters_are_founded(spark):
     rows = spark.createDataFrame([(i, point(0)) for i in range(5)] + [(10 + i, point(3)) for i in range(6)] + [(30, [-9.0, -9.0, 0.0, 0.0])], "id long, v array<double>")
     got = {r["id"]: r["cluster"] for r in G.founded(rows, G.assign(rows, means, 0.8), means, 0.8).collect()}
     assert got == {**{i: 0 for i in range(5)}, **{10 + i: 3 for i in range(6)}, 30: -1}
+
+
+def test_exact_search_deals_no_pairs(spark):
+    """Ties, zero vectors, repeated vectors and classes without a name against brute force; each side is dealt once."""
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(90, 3)), 1)
+    v[40:70] = v[3]
+    v[7] = 0
+    classes = [None if i % 7 == 0 else f"c{i % 3}" for i in range(90)]
+    df = spark.createDataFrame([(i, v[i].tolist(), classes[i]) for i in range(90)], "id long, v array<double>, c string")
+    q, r = df.select(F.col("id").alias("query_id"), "v"), df.select(F.col("id").alias("ref_id"), "v", "c")
+    u = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
+    s = np.round(u @ u.T, 9)
+    for each in (None, "c"):
+        near = M.nearest(q, r, 4, block_rows=16, skip_same=True, each=each)
+        plan = near._jdf.queryExecution().toString()
+        assert "Generate" not in plan and "CoGroup" not in plan
+        got = sorted((x["query_id"], str(x["c"]) if each else "", x["rank"], x["ref_id"], x["score"]) for x in near.collect())
+        want = []
+        for i in range(90):
+            for c in sorted({str(x) for x in classes}) if each else [""]:
+                of = sorted((-s[i, j], j) for j in range(90) if j != i and (not each or str(classes[j]) == c))[:4]
+                want += [(i, c, rank, j, -x) for rank, (x, j) in enumerate(of, 1)]
+        assert [x[:4] for x in got] == [x[:4] for x in sorted(want)] and np.allclose([x[4] for x in got], [x[4] for x in sorted(want)], atol=2e-9)
+
+
+def test_lsh_equals_the_join_of_its_buckets(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from tessera.functions import vectors as V
+
+    v = np.random.default_rng(6).normal(size=(60, 5))
+    v[11] = v[12] = 0
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "id long, v array<double>")
+    near = M.nearest_lsh(df.select(F.col("id").alias("query_id"), "v"), df.select(F.col("id").alias("ref_id"), "v"), 3, bucket_length=0.4, tables=3, max_distance=1.2)
+    plan = near._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    unit = df.withColumn("u", array_to_vector(V.unit(F.col("v"))))
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=0.4, numHashTables=3, seed=42).fit(unit)
+    pairs = model.approxSimilarityJoin(unit, unit, 1.2, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round(1 - F.col("d") * F.col("d") / 2, 9).alias("score"))
+    key = lambda d, ref: sorted((x["query_id"], x["rank"], x[ref], round(x["score"], 8)) for x in d.collect())
+    assert key(near, "ref_id") == key(M.ranked(pairs, 3), "id")
+
+
+def test_class_scores_are_made_once_a_row(spark):
+    """Rows meet class means in matrix products, not in expressions that repeat each other; a row without a vector has no class."""
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "query_id long, v array<double>")
+    means = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [0.0, 2.0])], "label string, mean array<double>")
+    p = M.centroid_probabilities(q, means)
+    scored = M.against_classes(q, means, [], distance=True)
+    for df in (p, scored):
+        assert "lambda" not in df._jdf.queryExecution().toString()
+    got = {r["query_id"]: r for r in p.collect()}
+    assert [got[i]["predicted"] for i in (1, 2, 3, 4)] == ["b", "a", "a", None] and got[4]["confidence"] is None
+    assert got[1]["labels"] == ["a", "b"] and np.allclose(got[1]["probabilities"], [np.exp(-10) / (1 + np.exp(-10)), 1 / (1 + np.exp(-10))])
+    assert {r["query_id"]: [(s["label"], None if s["score"] is None else round(s["score"], 6)) for s in r["scores"]] for r in scored.collect()} == {
+        1: [("a", 1.0), ("b", 0.0)], 2: [("a", 0.292893), ("b", 0.292893)], 3: [("a", 1.0), ("b", 1.0)], 4: [("a", None), ("b", None)]
+    }
