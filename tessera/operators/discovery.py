@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators.order import cut
 from tessera.operators.strategies import scatter
 
 #: Allowed moves of a review.
@@ -35,19 +38,116 @@ def keywords(docs: DataFrame, by: str, top: int = 8, features: int = 1000) -> Da
     return mean.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(by, "rank", "token", F.round("score", 6).alias("score"))
 
 
+#: Words up to which runs are counted without hashes, hashes of runs that a task holds, and those sent to every task at most.
+FEW_WORDS, RUNS_HELD, SENT_HASHES = 10_000_000, 4_000_000, 5_000_000
+
+
 def rake(docs: DataFrame, by: str, top: int = 8) -> DataFrame:
     """(by, rank, phrase, score): runs of two or three evidence tokens of a sentence. A word's degree is the number of
     other words in its sentences; a run scores the sum of its words' degrees over the sum of their frequencies, times how
-    often it occurs. The end of a document ends a sentence."""
+    often it occurs. The end of a document ends a sentence.
+
+    Most runs occur once, so of many words they are counted by hashes first, which are 4 bytes a run where rows are a hundred. As runs of
+    one hash are counted together, the counts are upper bounds, and no run scores more than its count times the greatest
+    degree over frequency of a word of its group. The exact scores of the most frequent give the least that counts; the
+    runs that may reach it are counted and scored exactly, in the end by their words."""
+    docs = docs.where(F.col(by).isNotNull())
     sentences = docs.select(by, F.explode(F.split("text", r"[.!?;]+")).alias("s")).select(by, T.evidence_tokens(F.col("s")).alias("w")).where(F.size("w") > 0)
-    words = sentences.select(by, F.size("w").alias("len"), F.explode("w").alias("word")).groupBy(by, "word").agg(F.count("*").alias("freq"), F.sum(F.col("len") - 1).alias("degree"))
+    words = cut(sentences.select(by, F.size("w").alias("len"), F.explode("w").alias("word")).groupBy(by, "word").agg(F.count("*").alias("freq"), F.sum(F.col("len") - 1).alias("degree")))
     runs = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice("w", i + 1, n))
     rows = sentences.where(F.size("w") > 1).select(by, F.explode(F.when(F.size("w") > 2, F.concat(runs(2), runs(3))).otherwise(runs(2))).alias("run"))
-    counts = rows.groupBy(by, "run").agg(F.count("*").alias("n"))
-    each = counts.select(by, "run", "n", F.explode("run").alias("word")).join(words, [by, "word"])
-    scored = each.groupBy(by, "run").agg(F.round(F.max("n") * F.sum("degree") / F.sum("freq"), 6).alias("score")).select(by, F.array_join("run", " ").alias("phrase"), "score")
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(by, "rank", "phrase", "score")
+    rows = rows.select(by, "run", (F.xxhash64("run").bitwiseAND(0xFFFFFFFF)).alias("h"))
+
+    def exact(hashes: DataFrame | None) -> DataFrame:
+        some = rows
+        if hashes is not None:
+            hashes = cut(hashes)
+            some = rows.join(F.broadcast(hashes) if hashes.count() <= SENT_HASHES else hashes, [by, "h"], "left_semi")
+        counts = some.groupBy(by, "run").agg(F.count("*").alias("n"))
+        each = counts.select(by, "run", "n", F.explode("run").alias("word")).join(words, [by, "word"])
+        return each.groupBy(by, "run").agg(F.round(F.max("n") * F.sum("degree") / F.sum("freq"), 6).alias("score")).select(by, F.array_join("run", " ").alias("phrase"), "score")
+
+    def best(scored: DataFrame) -> DataFrame:
+        order = Window.partitionBy(by).orderBy(F.desc("score"), "phrase")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    n_words = words.agg(F.sum("freq")).first()[0] or 0
+    if n_words <= FEW_WORDS:
+        return best(exact(None)).select(by, "rank", "phrase", "score")
+    counted = cut(_hash_counts(rows.select(by, "h"), by, n_words))
+    first = _unpacked(counted, by, 4 * top).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "h"))).where(F.col("k") <= 4 * top)
+    least = best(exact(first.select(by, "h"))).groupBy(by).agg(F.count("*").alias("found"), F.min("score").alias("least"))
+    limits = words.groupBy(by).agg(F.max(F.col("degree") / F.col("freq")).alias("most")).join(least, by)
+    limits = limits.select(by, F.when(F.col("found") < top, 0).otherwise(F.floor((F.col("least") - 1e-5) / F.col("most"))).cast("long").alias("n_least"))
+    return best(exact(_unpacked(counted.join(F.broadcast(cut(limits)), by), by, None).select(by, "h"))).select(by, "rank", "phrase", "score")
+
+
+def _hash_counts(rows: DataFrame, by: str, n_words: int) -> DataFrame:
+    """(by, bucket, hashes, counts): of rows (by, h) with h of 32 bits how often each occurs, packed as unsigned integers.
+
+    Tasks count before they send; buckets are parts of the range of h, so many that one fits a task."""
+    kind = rows.schema[by].dataType
+    bits = max(0, int(np.ceil(np.log2(max(1.0, 2 * n_words / RUNS_HELD)))))
+    schema = StructType([StructField(by, kind), StructField("bucket", IntegerType()), StructField("hashes", BinaryType()), StructField("counts", BinaryType())])
+
+    def packed(values, keys, counts):
+        # keys: place in values above the hash, in order
+        part = keys >> np.uint64(32 - bits)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(keys) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(keys))
+        hashes, counts = keys.astype(np.uint32), counts.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([
+            values.take(pa.array((keys[starts] >> np.uint64(32)).astype(np.int64))), pa.array((part[starts] & np.uint64((1 << bits) - 1)).astype(np.int32)),
+            pa.array([hashes[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            pa.array([b"" if (counts[a:b] == 1).all() else counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+        ], names=schema.names)
+
+    def sent(batches):
+        seen: dict = {}
+        held, size = [], 0
+
+        def flush():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            return packed(pa.array(list(seen), kind_), keys, counts)
+
+        kind_ = None
+        for batch in batches:
+            coded = batch.column(by).dictionary_encode()
+            kind_ = batch.schema.field(by).type
+            place = np.array([seen.setdefault(v, len(seen)) for v in coded.dictionary.to_pylist()], np.uint64)
+            if batch.num_rows:
+                held.append(place[coded.indices.to_numpy()] << np.uint64(32) | batch.column("h").to_numpy().astype(np.uint64))
+                size += batch.num_rows
+            if size >= RUNS_HELD:
+                yield flush()
+                seen, held, size = {}, [], 0
+        if held:
+            yield flush()
+
+    def added(group: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.frombuffer(h, np.uint32) for h in group["hashes"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(len(h) // 4, np.uint32) for h, c in zip(group["hashes"].to_pylist(), group["counts"].to_pylist())])
+        found, at = np.unique(hashes, return_inverse=True)
+        n = np.bincount(at, weights=counts, minlength=len(found)).astype(np.uint32)
+        out = [group[by][:1].combine_chunks(), group["bucket"][:1].combine_chunks(), pa.array([found.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())]
+        return pa.Table.from_arrays(out, names=schema.names)
+
+    return rows.mapInArrow(sent, schema).groupBy(by, "bucket").applyInArrow(added, schema)
+
+
+def _unpacked(counted: DataFrame, by: str, most: int | None) -> DataFrame:
+    """(by, h, n) of packed counts: those of n_least or more, or of each pack the `most` greatest."""
+    schema = StructType([counted.schema[by], StructField("h", LongType()), StructField("n", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            least = [0] * batch.num_rows if most else batch.column("n_least").to_pylist()
+            for i in range(batch.num_rows):
+                h, n = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32).astype(np.int64) for c in ("hashes", "counts"))
+                keep = np.argsort(-n, kind="stable")[:most] if most else np.flatnonzero(n >= least[i])
+                yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array([i] * len(keep), pa.int64())), pa.array(h[keep]), pa.array(n[keep])], names=schema.names)
+
+    return counted.mapInArrow(run, schema)
 
 
 def representatives(docs: DataFrame, by: str, budget: int = 256, most: int = 4, dims: int | None = None) -> DataFrame:

@@ -519,3 +519,18 @@ def test_class_scores_are_made_once_a_row(spark):
     assert {r["query_id"]: [(s["label"], None if s["score"] is None else round(s["score"], 6)) for s in r["scores"]] for r in scored.collect()} == {
         1: [("a", 1.0), ("b", 0.0)], 2: [("a", 0.292893), ("b", 0.292893)], 3: [("a", 1.0), ("b", 1.0)], 4: [("a", None), ("b", None)]
     }
+
+
+def test_rake_by_hashes_equals_rake_by_runs(spark, monkeypatch):
+    """Runs that cannot be among the best are ruled out by packed counts of their hashes; the rest is exact."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"word{i}" for i in range(40)])
+    texts = [". ".join(" ".join(rng.choice(words, p=np.r_[np.full(5, 0.1), np.full(35, 0.5 / 35)], size=rng.integers(1, 9))) for _ in range(6)) for _ in range(60)]
+    docs = spark.createDataFrame([(None if i % 20 == 9 else i % 3, i, t) for i, t in enumerate(texts)] + [(7, 99, "alpha beta gamma")], "g int, id long, text string")
+    plain = sorted(tuple(r) for r in D.rake(docs, "g").collect())
+    monkeypatch.setattr(D, "FEW_WORDS", 0)
+    monkeypatch.setattr(D, "RUNS_HELD", 100)
+    assert sorted(tuple(r) for r in D.rake(docs, "g").collect()) == plain and len(plain) == 27
+    rows = spark.createDataFrame([("a", 5), ("a", 2**32 - 1), ("a", 5), ("b", 5), ("b", 2**31)] * 60, "g string, h long")
+    counts = D._unpacked(D._hash_counts(rows, "g", 150).withColumn("n_least", F.lit(61).cast("long")), "g", None)
+    assert [tuple(r) for r in counts.collect()] == [("a", 5, 120)]
