@@ -9,6 +9,7 @@ from tessera.operators import combine as K
 from tessera.operators import evaluation as E
 from tessera.operators import matching as M
 from tessera.operators import strategies as S
+from tessera.operators.order import cut
 from tessera.plans.registry import DIMS, SQL_EMB, SQL_PROBS, SQL_SCORES, catalog_of_parts, probes, query, references, vectors
 
 
@@ -237,7 +238,7 @@ def combine_flags(t):
 
 @query("combine_meta_learner")
 def combine_meta_learner(t):
-    rows = _signals(t)
+    rows = cut(_signals(t))  # the fit reads them again and again
     train = rows.where(~S.calibration_split(rows, "query_id"))
     return K.meta_learner(train, ["c", "u", "k", "d"])(rows).select("query_id", "meta_score", "novel")
 

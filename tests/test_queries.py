@@ -57,3 +57,8 @@ def test_streams_of_many_files_equal_their_sql(spark, db, many_files, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_meta_learner_reads_its_signals_once(spark):
+    """The fit and the scores read a checkpoint, not the searches that make the signals."""
+    assert "Join" not in catalog.QUERIES["combine_meta_learner"](spark, SF)._jdf.queryExecution().toString()
