@@ -534,3 +534,9 @@ def test_rake_by_hashes_equals_rake_by_runs(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 5), ("a", 2**32 - 1), ("a", 5), ("b", 5), ("b", 2**31)] * 60, "g string, h long")
     counts = D._unpacked(D._hash_counts(rows, "g", 150).withColumn("n_least", F.lit(61).cast("long")), "g", None)
     assert [tuple(r) for r in counts.collect()] == [("a", 5, 120)]
+
+
+def test_density_deals_no_pairs_of_blocks(spark):
+    rows = spark.createDataFrame([(i, [1.0, i % 7 / 50, float(i % 2)]) for i in range(40)], "id long, v array<double>")
+    plan = G._meeting(rows.withColumn("n", F.lit(1)), "n", None, "id long, near long", 8)._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
