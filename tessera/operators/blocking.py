@@ -100,27 +100,85 @@ def _best(scores: np.ndarray, query_ids: pa.Array, ids: pa.Array, k: int):
         yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(d)), pa.array(scores[d, q])], ["query_id", "id", "score"])
 
 
-def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, n_docs: int, id_: str) -> DataFrame:
-    """(id, token, w) of unit length; vocabulary (token, df); smooth idf ln((1 + n) / (1 + df)) + 1.
+#: Tokens of a vocabulary that are sent to every task, and tokens of documents that a task counts at a time.
+VOCABULARY_SENT, TOKENS_HELD = 2_000_000, 2_000_000
 
-    A document's weights meet in one row, so that its length needs no window."""
-    tf = docs.select(id_, F.explode(T.long_tokens(F.col("text"))).alias("token")).groupBy(id_, "token").agg(F.count("*").alias("tf"))
-    w = tf.join(vocabulary, "token").withColumn("w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
-    rows = w.groupBy(id_).agg(F.collect_list(F.struct("token", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return rows.select(id_, "length", F.explode("ws").alias("x")).select(id_, "x.token", (F.col("x.w") / F.col("length")).alias("w"))
+
+def token_counts(batch: pa.RecordBatch, column: str, most: int = TOKENS_HELD):
+    """(rows of the batch, row, code, count, distinct tokens) of the lists of tokens, some rows at a time: how often each
+    row has each of its tokens."""
+    size = np.diff(batch.column(column).offsets.to_numpy()).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
+        part = batch.slice(at, to - at)
+        coded = part.column(column).flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        cell, n = np.unique(np.repeat(np.arange(to - at), size[at:to]) * width + coded.indices.to_numpy(), return_counts=True)
+        yield part, cell // width, cell % width, n, coded.dictionary
+        at = to
+
+
+def one_text_an_id(docs: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, text); texts of equal keys become one."""
+    docs = docs.select(*keys, "text").where("text is not null")
+    again = docs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return docs if again.isEmpty() else docs.groupBy(*keys).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+
+
+def document_counts(tokens: DataFrame) -> DataFrame:
+    """(token, df) of rows (tokens); tasks count before they send."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, code, _, dictionary in token_counts(batch, "tokens"):
+                yield pa.RecordBatch.from_arrays([dictionary, pa.array(np.bincount(code, minlength=len(dictionary)))], ["token", "df"])
+
+    return tokens.select("tokens").where("tokens is not null").mapInArrow(run, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
+
+
+def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, n_docs: int, id_: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, token, w) of unit length, of the tokens of wanted (token), if given; vocabulary (token, df); smooth idf
+    ln((1 + n) / (1 + df)) + 1. Tokens that are not in the vocabulary don't count.
+
+    A document is weighed in the task that reads it: tokens of two documents or more are sent to every task, others of the
+    vocabulary have a df of 1. Where those are more than VOCABULARY_SENT, weights are joined and met by document."""
+    docs = one_text_an_id(docs, id_)
+    often = vocabulary.where("df <> 1").limit(VOCABULARY_SENT + 1).toArrow() if wanted is not None else None
+    some = wanted.select("token").distinct().limit(VOCABULARY_SENT + 1).toArrow() if wanted is not None else None
+    if wanted is None or max(len(often), len(some)) > VOCABULARY_SENT:
+        tf = docs.select(id_, F.explode(T.long_tokens(F.col("text"))).alias("token")).groupBy(id_, "token").agg(F.count("*").alias("tf"))
+        w = tf.join(vocabulary, "token").withColumn("w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
+        rows = w.groupBy(id_).agg(F.collect_list(F.struct("token", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        out = rows.select(id_, "length", F.explode("ws").alias("x")).select(id_, "x.token", (F.col("x.w") / F.col("length")).alias("w"))
+        return out if wanted is None else out.join(wanted.select("token").distinct(), "token", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast((often["token"].combine_chunks(), often["df"].to_numpy(), some["token"].combine_chunks()))
+
+    def run(batches):
+        vocabulary, df, some = sent.value
+        for batch in batches:
+            for part, row, code, n, dictionary in token_counts(batch, "tokens"):
+                place = pc.index_in(dictionary, vocabulary)
+                dfs = np.ones(len(dictionary))
+                dfs[place.is_valid().to_numpy(zero_copy_only=False)] = df[place.drop_null().to_numpy()]
+                w = n * (np.log((1.0 + n_docs) / (1.0 + dfs)) + 1.0)[code]
+                length = np.sqrt(np.bincount(row, w * w, minlength=part.num_rows))
+                keep = pc.is_in(dictionary, some).to_numpy(zero_copy_only=False)[code]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[keep])), dictionary.take(pa.array(code[keep])), pa.array(w[keep] / length[row[keep]])], [id_, "token", "w"])
+
+    return docs.select(id_, T.long_tokens(F.col("text")).alias("tokens")).mapInArrow(run, f"{id_} {docs.schema[id_].dataType.simpleString()}, token string, w double")
 
 
 def tfidf(queries: DataFrame, docs: DataFrame, k: int | None, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score): cosine of tf-idf vectors of tokens of two characters or more; candidates
     (query_id, id) restricts the pairs that are scored, and the documents whose vectors are made."""
-    tokens = docs.select(F.explode(F.concat(F.array_distinct(T.long_tokens(F.col("text"))), F.array(F.lit("")))).alias("token"))
-    vocabulary = cut(tokens.groupBy("token").agg(F.count("*").alias("df")))
-    n = (vocabulary.where("token = ''").first() or {"df": 0})["df"]  # the empty token counts the documents
+    vocabulary = cut(document_counts(docs.select(T.long_tokens(F.col("text")).alias("tokens"))))
+    n = docs.count()
     if candidates is not None:
         candidates = cut(candidates.select("query_id", "id"))
         docs = docs.join(candidates.select("id").distinct(), "id", "left_semi")
-    d = tfidf_vectors(docs, vocabulary, n, "id")
-    q = tfidf_vectors(queries, vocabulary, n, "query_id").withColumnRenamed("w", "wq")
+    q = cut(tfidf_vectors(queries, vocabulary, n, "query_id").withColumnRenamed("w", "wq"))
+    d = tfidf_vectors(docs, vocabulary, n, "id", q)
     rows = q.join(d, "token")
     if candidates is not None:
         rows = q.join(candidates, "query_id").join(d, ["id", "token"])

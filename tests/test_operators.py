@@ -540,3 +540,16 @@ def test_density_deals_no_pairs_of_blocks(spark):
     rows = spark.createDataFrame([(i, [1.0, i % 7 / 50, float(i % 2)]) for i in range(40)], "id long, v array<double>")
     plan = G._meeting(rows.withColumn("n", F.lit(1)), "n", None, "id long, near long", 8)._jdf.queryExecution().toString()
     assert "CoGroup" not in plan and "Generate" not in plan
+
+
+def test_tfidf_weighs_documents_where_they_are_read(spark, monkeypatch):
+    """One pass over the documents, without a row for each token; repeated ids are one document, as by the join of weights."""
+    docs = spark.createDataFrame([(i, f"common w{i % 3} w{i % 5} rare{i} common") for i in range(30)] + [(4, "w1 w1 late"), (50, None), (51, "x")], "id long, text string")
+    q = spark.createDataFrame([(1, "common w1 late rare7"), (2, "nothing here")], "query_id long, text string")
+    vocabulary = B.document_counts(docs.select(B.T.long_tokens(F.col("text")).alias("tokens")))
+    assert {r["token"]: r["df"] for r in vocabulary.where("token in ('common', 'w1', 'late')").collect()} == {"common": 30, "w1": 15, "late": 1}
+    wanted = q.select(F.explode(B.T.long_tokens(F.col("text"))).alias("token"))
+    fast = B.tfidf_vectors(docs, vocabulary, 33, "id", wanted)
+    monkeypatch.setattr(B, "VOCABULARY_SENT", 1)
+    key = lambda d: sorted((r["id"], r["token"], round(r["w"], 9)) for r in d.collect())
+    assert "Generate" not in fast._jdf.queryExecution().toString() and key(fast) == key(B.tfidf_vectors(docs, vocabulary, 33, "id", wanted))
